@@ -5,10 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orebody.llm import audio, chat, decontaminate, huffman, ngram_join, packing, shuffle
+from orebody.llm import audio, chat, decontaminate, huffman, line_dedup, ngram_join, packing, quality, shuffle, toxicity
 from orebody.llm.common import table
 
 
+def held_out():
+    """True for the rows whose labels the toxicity field must not learn from."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+
+
+def op1_toxic_span_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    field = toxicity.train(docs, table(spark, sf_dir, "labels"), held_out())
+    found = toxicity.tag(docs, field)
+    return found.select("doc_id", held_out().alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
+
+
+def op2_co_training_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_order_preserving_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).drop("ids")
 
@@ -25,6 +41,13 @@ def op6_suffix_automaton_decontamination(spark: SparkSession, sf_dir: str) -> Da
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_winnowing_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its lines, how many were removed as later repeats, and checks of what stays."""
+    cut = line_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.coalesce("text", F.lit(""))
+    return cut.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("removed_lines"), F.col("__words").alias("removed_words"), F.octet_length(kept).cast("long").alias("kept_bytes"), F.crc32(kept.cast("binary")).alias("kept_crc32"))
+
+
 def op8_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.digests(audio.store(table(spark, sf_dir, "documents")))
 
@@ -40,6 +63,12 @@ def op10_t_occurrence_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
-QUERIES = {f.__name__: f for f in (op3_order_preserving_packing, op4_huffman_token_files, op5_external_shuffle, op6_suffix_automaton_decontamination, op8_telephony_audio, op9_chat_state_machine, op10_t_occurrence_join)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_toxic_span_crf, op2_co_training_quality, op3_order_preserving_packing, op4_huffman_token_files, op5_external_shuffle, op6_suffix_automaton_decontamination, op7_winnowing_line_dedup, op8_telephony_audio, op9_chat_state_machine, op10_t_occurrence_join, pipeline)}
 
 ORACLES: dict[str, str] = {}
