@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orebody.llm.common import materialize
-from orebody.llm.tokens import default_vocabulary, encoder
+from orebody.llm.tokens import default_vocabulary, encoder, slices
 
 MAX_BITS = 20
 INTERVAL = 256
@@ -131,20 +131,20 @@ def decode_block(block: bytes, tables: tuple[np.ndarray, np.ndarray, int]) -> tu
 def tokenize(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     """(part, at, doc_id, ids): ascending doc_id inside ascending range partitions; ``at`` counts the ids before it in its partition."""
     ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, enc, before = TaskContext.get().partitionId(), encoder(vocabulary), 0
         wide = enc.tokenizer.get_vocab_size() > 1 << 16
+        end = np.array([end_id], dtype="<u4" if wide else "<u2").tobytes()
         for b in batches:
-            for s in range(0, b.num_rows, 512):
-                c = b.slice(s, 512)
-                raw = [x + end for x in enc.encode(c.column("text").to_pylist())]
-                if not wide:
-                    raw = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in raw]
-                ends = before + np.cumsum([len(x) // (4 if wide else 2) for x in raw])
+            for c in slices(b):
+                ids, cuts = enc.encode_flat(c.column("text"))
+                raw, width = memoryview(ids.astype("<u4" if wide else "<u2").tobytes()), 4 if wide else 2
+                cuts = np.concatenate([[0], cuts])
+                raw = [bytes(raw[width * x : width * y]) + end for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+                ends = before + np.cumsum(np.diff(cuts) + 1)
                 at, before = np.concatenate([[before], ends[:-1]]), int(ends[-1])
                 yield pa.RecordBatch.from_arrays([pa.array([part] * c.num_rows, pa.int32()), pa.array(at, pa.int64()), c.column("doc_id"), pa.array(raw, pa.binary())], ["part", "at", "doc_id", "ids"])
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orebody.llm.tokens import default_vocabulary, encoder, ending_ids
+from orebody.llm.tokens import default_vocabulary, encoder, ending_ids, slices
 
 WINDOW = 4096
 SENTENCE_PENALTY = 4
@@ -111,8 +111,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2, window
             return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), *(pa.array(x, pa.int64()) for x in (start, length, [zlib.crc32(c) for c in cut], tokens[doc], at, offset)), pa.array([bytes(c) for c in cut], pa.binary())], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
 
         for b in batches:
-            for s in range(0, b.num_rows, 256):
-                c = b.slice(s, 256)
+            for c in slices(b):
                 for doc_id, raw in zip(c.column("doc_id").to_pylist(), enc.encode(c.column("text").to_pylist()), strict=True):
                     held.append((doc_id, raw + end))
                     size += len(raw) // 4 + 1

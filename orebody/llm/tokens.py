@@ -5,19 +5,45 @@ a line feed (its normaliser composes nothing with them, its splitter stops at
 them), so the ids of a text are the ids of its pieces between these two
 characters, one after another. Pieces repeat; each Python worker keeps a
 two-generation table of their ids, bounded in entries and in piece length.
+
+A piece of letters below U+0130 needs no normaliser and no splitter: lower-cased
+it is one word of the library's model and goes there directly; every other
+piece goes through the whole tokenizer. In texts of such characters alone,
+case and the place between a word and the mark behind it don't matter either,
+so they are evened out before pieces are looked up. Both shortcuts are taken
+only for tokenizers built of exactly these parts.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 CACHE_PIECES = 250_000
 CACHED_LENGTH = 48
 
 
+#: Below it, letters are composed already and have a lower case of one letter.
+FIRST_ODD = "\u0130"
+#: Texts with other characters, or with what may be a special token, are only split.
+ODD = r"[^\x00-\x{12F}]|<\|"
+#: The splitter that the shortcut is valid for.
+SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others follow from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class TextEncoder:
     def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -25,41 +51,104 @@ class TextEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.limit, self.young, self.old = cache_pieces, {"": b""}, {}
-
-    def _ids(self, pieces: list[str]) -> list[bytes]:
+        self.letters = byte_letters()
+        parts = json.loads(self.tokenizer.to_str())
+        kinds = [n["type"] for n in (parts["normalizer"] or {}).get("normalizers", [])]
+        pre = (parts["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        self.direct = (
+            kinds == ["NFC", "Replace", "Lowercase"]
+            and [p.get("type") for p in pre] == ["Split", "ByteLevel"]
+            and pre[0]["pattern"] == {"Regex": SPLITTER}
+            and not pre[1]["add_prefix_space"]
+            and not pre[1]["use_regex"]
+            and parts["post_processor"] is None
+            and parts["model"]["type"] == "BPE"
+        )
+        self.model = self.tokenizer.model
+
+    def _whole(self, pieces: list[str]) -> list[bytes]:
         done = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in done]
 
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        if not self.direct:
+            return self._whole(pieces)
+        out: list[bytes] = [b""] * len(pieces)
+        rest = []
+        tokenize, letters = self.model.tokenize, self.letters
+        for i, piece in enumerate(pieces):
+            if piece.isalpha() and (piece.isascii() or max(piece) < FIRST_ODD):
+                word = piece.lower()
+                out[i] = array("I", [t.id for t in tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(letters))]).tobytes()
+            else:
+                rest.append(i)
+        for i, ids in zip(rest, self._whole([pieces[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
+
+    def _cut(self, texts: pa.Array) -> pa.Array:
+        """Texts with their pieces between single spaces; where nothing can change, in lower case and with marks apart from words."""
+        plain = pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), "\n", " ")
+        if not self.direct:
+            return plain
+        odd = pc.match_substring_regex(plain, ODD)
+        usual = pc.replace_substring_regex(pc.utf8_lower(plain), r"([\p{L}\p{N}])([.,;:!?])", r"\1 \2")
+        return pc.if_else(odd, plain, usual)
+
+    def encode_flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a string array (null is empty) in order, and the end of each text in them.
+
+        Splitting, counting and gathering are Arrow and numpy work; Python sees each different piece once.
+        """
+        split = pc.split_pattern(self._cut(texts), " ")
+        coded = split.flatten().dictionary_encode()
+        pieces = coded.dictionary.to_pylist()
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {"": b""}
+        young, old = self.young, self.old
+        found = list(map(young.get, pieces))
+        missing = [i for i, x in enumerate(found) if x is None]
+        fresh = []
+        for i in missing:
+            piece = pieces[i]
+            if (known := old.get(piece)) is None:
+                fresh.append(i)
+            else:
+                found[i] = young[piece] = known
+        names = [pieces[i] for i in fresh]
+        for i, piece, ids in zip(fresh, names, self._ids(names), strict=True):
+            found[i] = ids
+            if len(piece) <= CACHED_LENGTH:
+                young[piece] = ids
+        flat = np.frombuffer(b"".join(found), "<u4")
+        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) >> 2
+        begin = np.cumsum(size) - size
+        at = coded.indices.to_numpy()
+        n = size[at]
+        ends = np.cumsum(n)
+        out = flat[np.repeat(begin[at] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        offsets = split.offsets.to_numpy() - split.offsets[0].as_py() if len(split) else np.zeros(1, np.int64)
+        return out, np.concatenate([[0], ends])[offsets[1:]]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text; null is the empty text."""
+        """Little-endian unsigned 32-bit ids of each text."""
+        ids, ends = self.encode_flat(pa.array(texts, pa.large_string()))
+        raw, at = ids.tobytes(), 0
         out = []
-        for at in range(0, len(texts), 64):
-            split = [(t or "").replace("\n", " ").split(" ") for t in texts[at : at + 64]]
-            need = set().union(*split)
-            missing = need.difference(self.young)
-            if len(self.young) + len(missing) > self.limit:
-                self.old, self.young = self.young, {"": b""}
-                missing = need.difference(self.young)
-            kept = {p: self.old[p] for p in missing if p in self.old}
-            self.young.update(kept)
-            fresh = [p for p in missing if p not in kept]
-            look, long_ones = self.young, {}
-            for p, ids in zip(fresh, self._ids(fresh), strict=True):
-                (look if len(p) <= CACHED_LENGTH else long_ones)[p] = ids
-            if long_ones:
-                look = _Both(look, long_ones)
-            get = look.__getitem__
-            out += [b"".join(map(get, pieces)) for pieces in split]
+        for end in ends.tolist():
+            out.append(raw[4 * at : 4 * end])
+            at = end
         return out
 
 
-class _Both(dict):
-    def __init__(self, short: dict, long_ones: dict):
-        super().__init__(long_ones)
-        self.short = short
-
-    def __missing__(self, piece: str) -> bytes:
-        return self.short[piece]
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of at most ``most`` bytes of text, or one row."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = before = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(size, before + most, "right")))
+        yield batch.slice(at, end - at)
+        at, before = end, int(size[end - 1])
 
 
 _ENCODERS: dict[str, TextEncoder] = {}
