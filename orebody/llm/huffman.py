@@ -151,15 +151,23 @@ def tokenize(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     return ordered.mapInArrow(run, "part int, at long, doc_id long, ids binary")
 
 
+def flat_values(column: pa.Array, dtype: str) -> np.ndarray:
+    """All values of a binary column as one array, without a copy."""
+    if not len(column):
+        return np.empty(0, dtype)
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(dtype) if data is not None else np.empty(0, dtype)
+
+
 def id_counts(tokens: DataFrame, size: int, dtype: str) -> np.ndarray:
     """Global counts: one row per id and task, summed by Spark; at most one number per id reaches the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, dtype=np.int64)
         for b in batches:
-            for v in b.column("ids").to_pylist():
-                part = np.bincount(np.frombuffer(v, dtype))
-                total[: len(part)] += part
+            part = np.bincount(flat_values(b.column("ids"), dtype))
+            total[: len(part)] += part
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], ["id", "n"])
 
@@ -215,8 +223,8 @@ def write_token_files(docs: DataFrame, vocabulary: str | None = None, end_id: in
     return materialize(tokens.mapInArrow(run, "start long, block binary"), "blocks"), lengths
 
 
-def read_token_files(blocks: DataFrame, lengths: np.ndarray) -> DataFrame:
-    """Decode every block: (doc_id, start, n_tokens, ids_crc32, ids)."""
+def read_token_files(blocks: DataFrame, lengths: np.ndarray, keep_ids: bool = True) -> DataFrame:
+    """Decode every block: (doc_id, start, n_tokens, ids_crc32, ids); without ``keep_ids`` the ids stay in Python."""
     tables = blocks.sparkSession.sparkContext.broadcast(lengths)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,6 +235,9 @@ def read_token_files(blocks: DataFrame, lengths: np.ndarray) -> DataFrame:
                 ends = np.cumsum(n)
                 raw = memoryview(ids.astype("<u4").tobytes())
                 cut = [raw[4 * (e - k) : 4 * e] for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(start + ends - n, pa.int64()), pa.array(n, pa.int64()), pa.array([zlib.crc32(c) for c in cut], pa.int64()), pa.array([bytes(c) for c in cut], pa.binary())], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+                cols = [pa.array(docs, pa.int64()), pa.array(start + ends - n, pa.int64()), pa.array(n, pa.int64()), pa.array([zlib.crc32(c) for c in cut], pa.int64())]
+                if keep_ids:
+                    cols.append(pa.array([bytes(c) for c in cut], pa.binary()))
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(cols)])
 
-    return blocks.select("start", "block").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return blocks.select("start", "block").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * keep_ids)

@@ -31,7 +31,7 @@ SENTENCE_PENALTY = 4
 HARD_PENALTY = 64
 HARD_STEP = 256
 GROUP_TOKENS = 1 << 21
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 def cut_windows(ends: list[int], penalties: list[int], window: int = WINDOW) -> list[int]:
@@ -85,8 +85,8 @@ def pack_group(doc_tokens: np.ndarray, ids: np.ndarray, is_end: np.ndarray, wind
     return doc, begins - (doc_ends - doc_tokens)[doc], edges - begins, seq, begins - np.concatenate([[0], cuts[:-1]])[seq]
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2, window: int = WINDOW, sentence_penalty: int = SENTENCE_PENALTY, hard_penalty: int = HARD_PENALTY, group_tokens: int = GROUP_TOKENS) -> DataFrame:
-    """One row per piece with its ids (columns of PIECES); ``sequence_id`` ascends with the order and is unique, not gapless."""
+def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2, window: int = WINDOW, sentence_penalty: int = SENTENCE_PENALTY, hard_penalty: int = HARD_PENALTY, group_tokens: int = GROUP_TOKENS, keep_ids: bool = True) -> DataFrame:
+    """One row per piece (columns of PIECES, and its ids); ``sequence_id`` ascends with the order and is unique, not gapless."""
     vocabulary = vocabulary or default_vocabulary()
     ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     end = np.array([end_id], dtype="<u4").tobytes()
@@ -108,7 +108,10 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2, window
             names = [held[d][0] for d in doc.tolist()]
             held.clear()
             at, first = first + seq, first + int(seq[-1]) + 1
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), *(pa.array(x, pa.int64()) for x in (start, length, [zlib.crc32(c) for c in cut], tokens[doc], at, offset)), pa.array([bytes(c) for c in cut], pa.binary())], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
+            cols = [pa.array(x, pa.int64()) for x in (names, start, length, [zlib.crc32(c) for c in cut], tokens[doc], at, offset)]
+            if keep_ids:
+                cols.append(pa.array([bytes(c) for c in cut], pa.binary()))
+            return pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"][: len(cols)])
 
         for b in batches:
             for c in slices(b):
@@ -121,4 +124,4 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2, window
         if held:
             yield flush()
 
-    return ordered.mapInArrow(run, PIECES)
+    return ordered.mapInArrow(run, PIECES + ", ids binary" * keep_ids)

@@ -26,11 +26,11 @@ def op2_co_training_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_order_preserving_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents")).drop("ids")
+    return packing.pack(table(spark, sf_dir, "documents"), keep_ids=False)
 
 
 def op4_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return huffman.read_token_files(*huffman.write_token_files(table(spark, sf_dir, "documents"))).drop("ids")
+    return huffman.read_token_files(*huffman.write_token_files(table(spark, sf_dir, "documents")), keep_ids=False)
 
 
 def op5_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
