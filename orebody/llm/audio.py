@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orebody.llm.common import texts_of
+from orebody.llm.common import map_batches, texts_of
 
 UNIT = 64
 RATE = 8000
@@ -154,7 +154,7 @@ def store(docs: DataFrame, text: str = "text") -> DataFrame:
             media = [wrap(p, pick_codec(p)) for p in padded]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(map(len, raw), pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string")), run, "doc_id long, n_bytes long, media binary")
 
 
 def pcm_column(stored: DataFrame, out_rate: int = OUT_RATE) -> DataFrame:
@@ -166,7 +166,7 @@ def pcm_column(stored: DataFrame, out_rate: int = OUT_RATE) -> DataFrame:
             pcm = [resample(x, r, out_rate).astype("<i2").tobytes() for x, (_, r, _) in zip(expand([(c, p) for c, _, p in read]), read, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([out_rate] * len(read), pa.int32()), pa.array(pcm, pa.binary())], ["doc_id", "rate", "pcm"])
 
-    return stored.select("doc_id", "media").mapInArrow(run, "doc_id long, rate int, pcm binary")
+    return map_batches(stored.select("doc_id", "media"), run, "doc_id long, rate int, pcm binary")
 
 
 def digests(stored: DataFrame) -> DataFrame:
@@ -190,4 +190,4 @@ def digests(stored: DataFrame) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *cols], names)
 
-    return stored.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return map_batches(stored, run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orebody.llm.common import map_batches
+
 
 @dataclass(frozen=True)
 class Template:
@@ -97,7 +99,7 @@ def format_chats(turns: DataFrame, template: Template = CHAT) -> DataFrame:
                 turn += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 8, [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.bool_()], strict=True)], ["conv_id", "turn_no", "segment_no", "kind", "text", "loss", "state", "valid"])
 
-    return ordered.mapInArrow(run, SEGMENTS)
+    return map_batches(ordered, run, SEGMENTS)
 
 
 def role_of(template: Template, opening: str) -> str:
@@ -148,4 +150,4 @@ def digests(segments: DataFrame, template: Template = CHAT) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 7, kinds, strict=True)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid"])
 
-    return segments.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")
+    return map_batches(segments, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orebody.llm.common import texts_of
+from orebody.llm.common import map_batches, texts_of
 
 WINDOW = 8
 MIN_ITEMS = 2
@@ -173,7 +173,7 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_item
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return map_batches(rows, run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.5) -> DataFrame:
@@ -201,7 +201,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_cove
             cols = [pa.array(texts, pa.string()) if k == at else b.column(k) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(keep, pa.bool_()))
 
-    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(run, docs.schema)
+    return map_batches(docs.withColumn("text", F.col("text").cast("string")), run, docs.schema)
 
 
 def cut(raw: bytes, mapped: bytes, words: list[bytes], hit: np.ndarray) -> str:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orebody.llm.common import materialize
+from orebody.llm.common import map_batches, materialize
 from orebody.llm.tokens import default_vocabulary, encoder, slices
 
 MAX_BITS = 20
@@ -148,7 +148,7 @@ def tokenize(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
                 at, before = np.concatenate([[before], ends[:-1]]), int(ends[-1])
                 yield pa.RecordBatch.from_arrays([pa.array([part] * c.num_rows, pa.int32()), pa.array(at, pa.int64()), c.column("doc_id"), pa.array(raw, pa.binary())], ["part", "at", "doc_id", "ids"])
 
-    return ordered.mapInArrow(run, "part int, at long, doc_id long, ids binary")
+    return map_batches(ordered, run, "part int, at long, doc_id long, ids binary")
 
 
 def flat_values(column: pa.Array, dtype: str) -> np.ndarray:
@@ -172,7 +172,7 @@ def id_counts(tokens: DataFrame, size: int, dtype: str) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], ["id", "n"])
 
     counts = np.zeros(size, dtype=np.int64)
-    for r in tokens.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in map_batches(tokens.select("ids"), run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[r.id] = r.n
     return counts
 
@@ -220,7 +220,7 @@ def write_token_files(docs: DataFrame, vocabulary: str | None = None, end_id: in
             yield flush()
 
     # a scan may cut or join the written partitions, but keeps their runs of rows: a block is such a run, and its start its place
-    return materialize(tokens.mapInArrow(run, "start long, block binary"), "blocks"), lengths
+    return materialize(map_batches(tokens, run, "start long, block binary"), "blocks"), lengths
 
 
 def read_token_files(blocks: DataFrame, lengths: np.ndarray, keep_ids: bool = True) -> DataFrame:
@@ -240,4 +240,4 @@ def read_token_files(blocks: DataFrame, lengths: np.ndarray, keep_ids: bool = Tr
                     cols.append(pa.array([bytes(c) for c in cut], pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(cols)])
 
-    return blocks.select("start", "block").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * keep_ids)
+    return map_batches(blocks.select("start", "block"), run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * keep_ids)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orebody.llm.common import materialize
+from orebody.llm.common import map_batches, materialize
 
 WINDOW = 3
 MIN_WORDS = 24
@@ -121,7 +121,7 @@ def fingerprints(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 cols = [pa.array(np.concatenate(c).astype(np.int64) if c else [], pa.int64()) for c in out]
                 yield pa.RecordBatch.from_arrays([*cols, lists], ["print", "doc", "version", "place", "near"])
 
-    return docs.mapInArrow(run, "print long, doc long, version long, place long, near array<long>")
+    return map_batches(docs, run, "print long, doc long, version long, place long, near array<long>")
 
 
 def _extent(mine: str, first: str, window: int, back: bool):
@@ -136,7 +136,7 @@ def _extent(mine: str, first: str, window: int, back: bool):
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc, version, low, high): runs of lines, inclusive, that match a place before them; runs may overlap."""
-    prints = fingerprints(docs, window)
+    prints = materialize(fingerprints(docs, window), "lines")
     firsts = materialize(
         prints.select("print", F.struct("doc", "version", "place", "near").alias("at")).groupBy("print").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1").select("print", "first"),
         "prints",
@@ -161,8 +161,10 @@ def removal_plan(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return found.groupBy("doc", "version").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("runs"))
 
 
-def cut_runs(text: str, runs: list[tuple[int, int]], min_words: int) -> tuple[str, int, int, int]:
-    """Text without the runs of enough words; numbers of its lines, of removed lines and of removed words."""
+def cut_runs(text: str, runs: list[tuple[int, int]], min_words: int) -> tuple[str, int, int]:
+    """Text without the runs of enough words; numbers of removed lines and words."""
+    if not runs:
+        return text, 0, 0
     starts, lines, counts = lines_of(text)
     gone = np.zeros(len(lines) + 1, dtype=np.int64)
     for low, high in runs:
@@ -178,11 +180,11 @@ def cut_runs(text: str, runs: list[tuple[int, int]], min_words: int) -> tuple[st
         out.append(text[last : starts[a]])
         last = starts[b] if b < len(starts) else len(text)
         removed, words = removed + b - a, words + int(total[b] - total[a])
-    return "".join([*out, text[last:]]), len(lines), removed, words
+    return "".join([*out, text[last:]]), removed, words
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
-    """All columns of ``docs`` with the shortened text, plus __lines, __removed and __words."""
+    """All columns of ``docs`` with the shortened text, plus __removed and __words (lines and words cut out)."""
     names = docs.columns
     keyed = docs.select(*names, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("__doc"), F.xxhash64(F.col("text").cast("string")).alias("__version"))
     plan = removal_plan(docs, window).select(F.col("doc").alias("__d"), F.col("version").alias("__v"), F.col("runs").alias("__runs"))
@@ -195,23 +197,23 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WOR
             chars = b.column("n_chars").to_pylist() if has_chars else []
             told = []
             for i, runs in enumerate(b.column("__runs").to_pylist()):
-                text, n, removed, words = cut_runs(texts[i] or "", [(r["low"], r["high"]) for r in runs or ()], min_words)
+                text, removed, words = cut_runs(texts[i] or "", [(r["low"], r["high"]) for r in runs or ()], min_words)
                 if removed:
                     texts[i] = text
                     if has_chars:
                         chars[i] = len(text)
-                told.append((n, removed, words))
+                told.append((removed, words))
             cols = []
             for c in names:
                 kind = b.schema.field(c).type
                 cols.append(pa.array(texts, pa.string()) if c == "text" else pa.array(chars, kind) if c == "n_chars" else b.column(c))
-            cols += [pa.array([t[k] for t in told], pa.int64()) for k in range(3)]
-            yield pa.RecordBatch.from_arrays(cols, [*names, "__lines", "__removed", "__words"])
+            cols += [pa.array([t[k] for t in told], pa.int64()) for k in range(2)]
+            yield pa.RecordBatch.from_arrays(cols, [*names, "__removed", "__words"])
 
     from pyspark.sql import types as T
 
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in ("__lines", "__removed", "__words"))])
-    return joined.mapInArrow(run, schema)
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in ("__removed", "__words"))])
+    return map_batches(joined, run, schema)
 
 
 def drop_repeats(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:

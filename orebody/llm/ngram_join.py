@@ -8,8 +8,13 @@
    in both sets. A set with at most SLACK empty segments leaves those out, any
    other set names them too, so every linked pair shares a key (length class,
    segment, sum of the segment's elements). Length classes overlap by the size
-   bound of a link. Sets that share keys, directly or through others, form a
-   block; no link crosses blocks.
+   bound of a link. Documents that only share a common line or passage share
+   keys as well, so inside a key's sets a parity sketch decides: its bits differ
+   in at most |A xor B| places, hence in at most d for a link. Sets within d of
+   a leader are its followers, and everything within 2d of a leader is joined
+   to it, which by the triangle inequality joins every linked pair. What is
+   joined, directly or through others, is a block; no link crosses blocks. Keys
+   of very many sets are dealt over tasks, whose leaders then meet once more.
 3. T-occurrence inside a block: inverted lists over the block's shingles; for
    each set as query, T is the least overlap any partner needs. All but the T-1
    longest of its lists are merged by a heap (a counting merge when they are
@@ -40,13 +45,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orebody.llm.common import connected_components, materialize, texts_of
+from orebody.llm.common import connected_components, map_batches, materialize, texts_of
 
 SLACK = 2
 CLASS_RATIO = 1.35
-BLOCK_POSTINGS = 4_000_000
+BLOCK_POSTINGS = 1_500_000
 #: Most keys of three or more sets that are sent to every task; above it they are joined instead.
 BROADCAST_KEYS = 2_000_000
+LEAST_SKETCH = 512
+#: Sets of one key that one task takes; larger keys are dealt.
+KEY_SETS = 20_000
 COUNTING_FROM = 256
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -113,8 +121,28 @@ def block_keys(s: np.ndarray, percent: int, tops: list[int]) -> np.ndarray:
     return np.concatenate(out).view(np.int64) if out else np.empty(0, dtype=np.int64)
 
 
+def parity_sketch(s: np.ndarray) -> bytes:
+    """Parities of the numbers of elements in b classes, b the power of two from twice their number on.
+
+    Sketches of two sets differ in at most |A xor B| bits; a longer one folds to
+    a shorter by exclusive or of its halves.
+    """
+    bits = max(LEAST_SKETCH, 1 << (2 * len(s) - 1).bit_length()) if len(s) else LEAST_SKETCH
+    slots = (s & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(slots, minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of 64-bit words, all folded to the shortest."""
+    least = min(map(len, sketches))
+    rows = np.empty((len(sketches), least // 8), dtype=np.uint64)
+    for i, raw in enumerate(sketches):
+        rows[i] = np.bitwise_xor.reduce(np.frombuffer(raw, np.uint64).reshape(-1, least // 8), axis=0)
+    return rows
+
+
 def shingled(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, class_key, keys)."""
+    """(doc_id, n_shingles, class_key, sketch, keys)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tops = size_classes(percent, 64)
@@ -128,23 +156,89 @@ def shingled(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 keys = [block_keys(x, percent, tops) for x in sets]
                 flat = pa.array(np.concatenate(keys) if keys else [], pa.int64())
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in keys])]), pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(map(len, sets), pa.int64()), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), lists], ["doc_id", "n_shingles", "class_key", "keys"])
+                cols = [pa.array(map(len, sets), pa.int64()), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array(map(parity_sketch, sets), pa.binary())]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols, lists], ["doc_id", "n_shingles", "class_key", "sketch", "keys"])
+
+    return map_batches(docs, run, "doc_id long, n_shingles long, class_key binary, sketch binary, keys array<long>")
+
+
+def near_leaders(ids: np.ndarray, sketches: np.ndarray, follow: int, join: int) -> tuple[list[tuple[int, int]], list[int]]:
+    """(edges, leaders): greedy leaders so that each row is within ``follow`` bits of one; edges connect what is within ``join`` of a leader."""
+    lead = np.empty(len(ids), dtype=np.int64)
+    marks = np.empty_like(sketches)
+    group = np.empty(len(ids), dtype=np.int64)
+    n, edges = 0, []
+    for i in range(len(ids)):
+        far = np.bitwise_count(marks[:n] ^ sketches[i]).sum(axis=1)
+        close = np.flatnonzero(far <= join)
+        if len(close):
+            groups = np.unique(group[close])
+            first = int(lead[close[0]])
+            edges.append((int(ids[first]), int(ids[i])))
+            if len(groups) > 1:
+                edges += [(int(ids[lead[np.flatnonzero(group[:n] == g)[0]]]), int(ids[i])) for g in groups.tolist()]
+                group[:n][np.isin(group[:n], groups)] = groups[0]
+        if not len(close) or far[close].min() > follow:
+            lead[n], marks[n], group[n] = i, sketches[i], groups[0] if len(close) else i
+            n += 1
+    return edges, lead[:n].tolist()
+
+
+def group_edges(rows: DataFrame, percent: int, spread: int, leaders_too: bool = False) -> DataFrame:
+    """(of, rep, other): edges inside each group (``of``, ``deal``); with ``leaders_too`` rows of rep = other name the leaders.
+
+    ``rows``: of, deal, rep, n_shingles, sketch. ``spread``: 2 joins what is
+    within twice the bound of a leader; 3 is for leaders of dealt groups.
+    """
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, class_key binary, keys array<long>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def flush() -> pa.RecordBatch:
+            ids = np.array([h[0] for h in held])
+            most = 2 * max(h[1] for h in held) * (100 - percent) // (100 + percent)
+            edges, leaders = near_leaders(ids, folded([h[2] for h in held]), most, spread * most)
+            out = [(now[0], a, b) for a, b in edges if a != b] + [(now[0], held[i][0], held[i][0]) for i in leaders if leaders_too]
+            cols = list(zip(*out, strict=True)) if out else [[]] * 3
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["of", "rep", "other"])
+
+        for b in batches:
+            for of, deal, *item in zip(*(b.column(c).to_pylist() for c in ("of", "deal", "rep", "n_shingles", "sketch")), strict=True):
+                if (of, deal) != now:
+                    if held:
+                        yield flush()
+                    now, held = (of, deal), []
+                held.append(item)
+        if held:
+            yield flush()
 
+    ordered = rows.repartition("of", "deal").sortWithinPartitions("of", "deal", "n_shingles", "rep")
+    return map_batches(ordered, run, "of long, rep long, other long")
 
-def candidate_edges(reps: DataFrame) -> DataFrame:
-    """Star edges between classes that share a key; ``reps``: (rep, keys)."""
-    spark = reps.sparkSession
+
+def candidate_edges(reps: DataFrame, percent: int) -> DataFrame:
+    """Edges that connect all classes a link may join; ``reps``: (rep, n_shingles, sketch, keys).
+
+    Copies with the same companions under many keys make one group: equal
+    member lists are kept once.
+    """
     flat = reps.select("rep", F.explode("keys").alias("key"))
-    met = materialize(flat.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.count("*").alias("n")).filter("a < b"), "keys")
-    pairs = met.select("a", "b")
-    many = met.filter("n > 2").select("key", "a")
-    if many.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
-        rest = flat.join(F.broadcast(many), "key")
+    met = materialize(flat.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.count("*").alias("n")).filter("a < b").select("key", "n"), "keys")
+    if met.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        shared = flat.join(F.broadcast(met), "key")
     else:
-        rest = flat.hint("merge").join(many, "key")
-    return pairs.unionByName(rest.select("a", F.col("rep").alias("b")).filter("a <> b")).distinct()
+        shared = flat.hint("merge").join(met, "key")
+    sketches = reps.select("rep", "n_shingles", "sketch")
+    lists = shared.filter(F.col("n") <= KEY_SETS).groupBy("key").agg(F.sort_array(F.collect_list("rep")).alias("m")).select("m").distinct()
+    groups = lists.select(F.xxhash64("m").alias("of"), F.lit(0).cast("long").alias("deal"), F.explode("m").alias("rep"))
+    edges = group_edges(groups.join(sketches, "rep"), percent, 2).select("rep", "other")
+    if not met.filter(F.col("n") > KEY_SETS).isEmpty():
+        deal = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / KEY_SETS)).cast("long")
+        large = shared.filter(F.col("n") > KEY_SETS).select(F.col("key").alias("of"), deal.alias("deal"), "rep")
+        first = materialize(group_edges(large.join(sketches, "rep"), percent, 2, True), "dealt")
+        leaders = first.filter("rep = other").select("of", F.lit(0).cast("long").alias("deal"), "rep").join(sketches, "rep")
+        edges = edges.unionByName(first.filter("rep <> other").select("rep", "other")).unionByName(group_edges(leaders, percent, 3).select("rep", "other"))
+    return edges.distinct()
 
 
 class Sets:
@@ -277,7 +371,7 @@ def block_links(members: DataFrame, k: int, percent: int) -> DataFrame:
         if now:
             yield _pairs(flush())
 
-    return members.mapInArrow(run, "a long, b long")
+    return map_batches(members, run, "a long, b long")
 
 
 def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -289,8 +383,11 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, block_postings: i
     """One row per row of ``docs``: doc_id, n_shingles, component_id."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     sets = materialize(shingled(rows, k, percent), "sets")
-    reps = sets.filter("n_shingles > 0 and doc_id is not null").groupBy("class_key").agg(F.min(F.struct("doc_id", "n_shingles", "keys")).alias("r"))
-    edges = candidate_edges(reps.select(F.col("r.doc_id").alias("rep"), F.col("r.keys").alias("keys")))
+    reps = materialize(
+        sets.filter("n_shingles > 0 and doc_id is not null").groupBy("class_key").agg(F.min(F.struct("doc_id", "n_shingles", "sketch", "keys")).alias("r")).select("class_key", F.col("r.doc_id").alias("rep"), "r.n_shingles", "r.sketch", "r.keys"),
+        "reps",
+    )
+    edges = candidate_edges(reps, percent)
     blocks = materialize(connected_components(edges), "cand")
     sized = sets.select(F.col("doc_id").alias("node"), "n_shingles").join(blocks, "node").groupBy("root").agg(F.sum("n_shingles").alias("postings"))
     dealt = blocks.join(sized.select("root", F.ceil(F.col("postings") / block_postings).cast("int").alias("of")), "root")
@@ -299,7 +396,7 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, block_postings: i
     tasks = tasks.select("block", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "rep", "text").repartition("block", "lo", "hi").sortWithinPartitions("block", "lo", "hi")
     links = materialize(block_links(tasks, k, percent), "links")
     joined = connected_components(links).select(F.col("node").alias("rep"), F.col("root").alias("joined"))
-    least = reps.select("class_key", F.col("r.doc_id").alias("rep")).join(joined, "rep", "left").select("class_key", F.coalesce("joined", "rep").alias("least"))
+    least = reps.select("class_key", "rep").join(joined, "rep", "left").select("class_key", F.coalesce("joined", "rep").alias("least"))
     return sets.select("doc_id", "n_shingles", "class_key").join(least, "class_key", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orebody.llm.common import map_batches
 from orebody.llm.tokens import default_vocabulary, encoder, ending_ids, slices
 
 WINDOW = 4096
@@ -124,4 +125,4 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2, window
         if held:
             yield flush()
 
-    return ordered.mapInArrow(run, PIECES + ", ids binary" * keep_ids)
+    return map_batches(ordered, run, PIECES + ", ids binary" * keep_ids)

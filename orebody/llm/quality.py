@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orebody.llm import linear
-from orebody.llm.common import texts_of
+from orebody.llm.common import map_batches, texts_of
 
 MAX_LABELLED = 3000
 MAX_POOL = 2000
@@ -163,7 +163,7 @@ def _features(rows: DataFrame, more: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(b.column(c) for c in more), pa.array(xt, pa.list_(pa.float64())), pa.array(xm, pa.list_(pa.float64()))], ["doc_id", *more, "xt", "xm"])
 
     kinds = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in more)
-    return rows.mapInArrow(run, f"doc_id long{kinds}, xt array<double>, xm array<double>")
+    return map_batches(rows, run, f"doc_id long{kinds}, xt array<double>, xm array<double>")
 
 
 def _typed(docs: DataFrame) -> dict:
@@ -181,7 +181,7 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
             a, m, s = _score_batch(model.value, b)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(a), pa.array(m), pa.array(s), pa.array(s >= REJECT_BELOW)], ["doc_id", "text_score", "meta_score", "score", "keep"])
 
-    return rows.mapInArrow(run, "doc_id long, text_score double, meta_score double, score double, keep boolean")
+    return map_batches(rows, run, "doc_id long, text_score double, meta_score double, score double, keep boolean")
 
 
 def _score_batch(model: Model | None, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -194,15 +194,14 @@ def _score_batch(model: Model | None, b: pa.RecordBatch) -> tuple[np.ndarray, np
 
 def keep_good(docs: DataFrame, labels: DataFrame, below: float = REJECT_BELOW) -> DataFrame:
     """Rows of ``docs``, unchanged, but those scored below ``below``; no shuffle of the documents."""
-    typed = _typed(docs)
-    model = docs.sparkSession.sparkContext.broadcast(train(docs.select(*(e.alias(c) for c, e in typed.items())), labels))
-    names, inputs = docs.columns, list(typed)
-    hidden = docs.select(*names, *(e.alias(f"__in_{c}") for c, e in typed.items()))
+    model = docs.sparkSession.sparkContext.broadcast(train(docs.select(*(e.alias(c) for c, e in _typed(docs).items())), labels))
+    names = docs.columns
+    kinds = {"text": pa.string(), "source": pa.string(), "lang": pa.string(), "n_chars": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = pa.RecordBatch.from_arrays([b.column(f"__in_{c}") for c in inputs], inputs)
-            _, _, s = _score_batch(model.value, own)
-            yield b.select(names).filter(pa.array(s >= below))
+            own = [b.column(c).cast(k) if c in names else pa.nulls(b.num_rows, k) for c, k in kinds.items()]
+            _, _, s = _score_batch(model.value, pa.RecordBatch.from_arrays(own, list(kinds)))
+            yield b.filter(pa.array(s >= below))
 
-    return hidden.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

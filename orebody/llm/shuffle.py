@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orebody.llm.common import map_batches
+
 BUCKET_BYTES = 48 << 20
 SHARDS = 16
 
@@ -54,7 +56,7 @@ def shuffled(docs: DataFrame, shards: int = SHARDS, seed: int = 17, bucket_bytes
         base[b], before = before, before + counts.get(b, 0)
     bases = spark.sparkContext.broadcast(base)
     names = docs.columns
-    scattered = docs.withColumn("__bucket", bucket).repartition(buckets, "__bucket").sortWithinPartitions("__bucket", "doc_id", "text")
+    scattered = docs.withColumn("__bucket", bucket).repartitionById(buckets, "__bucket").sortWithinPartitions("__bucket", "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def finish(bucket_id: int, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,7 +85,7 @@ def shuffled(docs: DataFrame, shards: int = SHARDS, seed: int = 17, bucket_bytes
     from pyspark.sql import types as T
 
     schema = T.StructType([*docs.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
-    return scattered.mapInArrow(run, schema)
+    return map_batches(scattered, run, schema)
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = 17) -> None:

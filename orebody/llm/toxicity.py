@@ -35,6 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orebody.llm.common import map_batches
 from orebody.llm import linear
 
 MAX_DOCS = 1500
@@ -312,4 +313,4 @@ def tag(docs: DataFrame, field: Field | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(score, pa.float64()), pa.array((score >= TOXIC_FROM).astype(np.int32)), pa.array(spans, kind)], ["doc_id", "score", "predicted", "spans"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, score double, predicted int, spans array<struct<start: int, end: int>>")
+    return map_batches(rows, run, "doc_id long, score double, predicted int, spans array<struct<start: int, end: int>>")

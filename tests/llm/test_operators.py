@@ -258,8 +258,9 @@ def brute_components(rows, k, percent):
     return {i: top(i) for i in ids}, sets
 
 
-@pytest.mark.parametrize("k,percent,postings", [(3, 90, 4_000_000), (5, 80, 1500), (1, 80, 4_000_000)])
-def test_join_against_brute_force(docs, k, percent, postings):
+@pytest.mark.parametrize("k,percent,postings,key_sets", [(3, 90, 4_000_000, 20_000), (5, 80, 1500, 3), (1, 80, 4_000_000, 20_000)])
+def test_join_against_brute_force(docs, k, percent, postings, key_sets, monkeypatch):
+    monkeypatch.setattr(ngram_join, "KEY_SETS", key_sets)
     rows = [(i, t) for i, t, *_ in documents() if i is not None and i != 904]
     want, sets = brute_components(rows, k, percent)
     got = ngram_join.components(docs.filter("doc_id is not null and doc_id <> 904"), k, percent, postings).collect()
@@ -286,6 +287,28 @@ def test_join_keys_lose_no_link():
             assert set(ngram_join.block_keys(a, percent, tops).tolist()) & set(ngram_join.block_keys(b, percent, tops).tolist()), (n, d, left)
 
 
+def test_leaders_connect_all_near_sketches():
+    rng = np.random.default_rng(2)
+    for trial in range(20):
+        base = rng.integers(0, 2, (4, 512))
+        bits = np.array([b ^ (rng.random(512) < rng.choice([0, 0.01, 0.03])) for b in base[rng.integers(0, 4, 60)]])
+        marks = np.packbits(bits, axis=1).view(np.uint64)
+        ids, d = np.arange(100, 160), 12
+        edges, leaders = ngram_join.near_leaders(ids, marks, d, 2 * d)
+        root = list(range(60))
+
+        def top(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in edges:
+            root[top(a - 100)] = top(b - 100)
+        gap = (bits[:, None] ^ bits[None]).sum(axis=2)
+        assert all(top(i) == top(j) for i, j in zip(*np.nonzero(gap <= d), strict=True))
+        assert (gap[:, leaders].min(axis=1) <= d).all()
+
+
 def test_keep_one(docs):
     kept = ngram_join.keep_one(docs)
     assert kept.columns == docs.columns
