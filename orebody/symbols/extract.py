@@ -83,13 +83,15 @@ RULES: dict[str, list[tuple[str, str]]] = {
     ],
     "rust": [(rf"\bfn\s+(?P<n>{_W})", "function"), (rf"\bstruct\s+(?P<n>{_W})", "struct"), (rf"\benum\s+(?P<n>{_W})", "enum"), (rf"\bunion\s+(?P<n>{_W})\s*\{{", "union"), (rf"\btrait\s+(?P<n>{_W})", "trait"), (rf"^\s*(?:pub(?:\([^)]*\))?\s+)?type\s+(?P<n>{_W})", "type"), (rf"\bconst\s+(?P<n>{_W})\s*:", "const"), (rf"\bstatic\s+(?:mut\s+)?(?P<n>{_W})\s*:", "static"), (rf"\bmod\s+(?P<n>{_W})", "module"), (rf"\bmacro_rules!\s*(?P<n>{_W})", "macro")],
     "go": [(rf"^func\s+(?P<n>{_W})\s*[\[(]", "function"), (rf"^func\s+\([^)]*\)\s*(?P<n>{_W})\s*\(", "method"), (rf"^(?:type\s+|\t)(?P<n>{_W})(?:\[[^\]]*\])?\s+(?:struct|interface)\s*\{{", "type"), (rf"^type\s+(?P<n>{_W})(?:\[[^\]]*\])?\s+(?!struct|interface)=?\s*[\w\[\]*.(]", "type"), (rf"^const\s+(?P<n>{_W})\b", "const")],
-    "java": [(rf"\bclass\s+(?P<n>{_W})", "class"), (rf"(?<!@)\binterface\s+(?P<n>{_W})", "interface"), (rf"\benum\s+(?P<n>{_W})", "enum"), (rf"\brecord\s+(?P<n>{_W})\s*[(<]", "record"), (rf"^\s*(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:public|private|protected|static|final|abstract|synchronized|native|default)\s+)*(?:<[^>]+>\s*)?(?!return\b|new\b|else\b|throw\b)[\w.$]+(?:<[^;{{}}()]*>)?(?:\[\])*\s+(?P<n>{_W})\s*\([^;{{}}]*\)\s*(?:throws[^{{;]+)?[{{;]", "method"), (rf"^\s*(?:public|private|protected)\s+(?P<n>[A-Z]\w*)\s*\([^;{{}}]*\)\s*(?:throws[^{{]+)?\{{", "constructor")],
-    "csharp": [(rf"\bclass\s+(?P<n>{_W})", "class"), (rf"\binterface\s+(?P<n>{_W})", "interface"), (rf"\bstruct\s+(?P<n>{_W})", "struct"), (rf"\benum\s+(?P<n>{_W})", "enum"), (rf"\brecord\s+(?:struct\s+|class\s+)?(?P<n>{_W})\s*[({{;:<]", "record"), (rf"^\s*(?:\[[^\]]*\]\s*)*(?:(?:public|private|protected|internal|static|virtual|override|abstract|async|sealed|partial|extern|new)\s+)+(?!class\b|struct\b|record\b|enum\b|interface\b)[\w.]+(?:<[^;{{}}()]*>)?[\[\]?]*\s+(?P<n>{_W})\s*(?:<[^>]*>)?\([^;{{}}]*\)\s*(?:where[^{{]+)?(?:\{{|=>|;)", "method"), (rf"^\s*(?:(?:public|private|protected|internal|static|virtual|override|abstract|required)\s+)+(?!class\b|struct\b|record\b|enum\b|interface\b)[\w.]+(?:<[^;{{}}()]*>)?[\[\]?]*\s+(?P<n>{_W})\s*(?:\{{\s*(?:get|set|init)|=>)", "property"), (r"^\s*(?:public|private|protected|internal|static)\s+(?P<n>[A-Z]\w*)\s*\([^;{}]*\)\s*(?::[^{]+)?\{", "constructor")],
+    "java": [(rf"\bclass\s+(?P<n>{_W})", "class"), (rf"(?<!@)\binterface\s+(?P<n>{_W})", "interface"), (rf"\benum\s+(?P<n>{_W})", "enum"), (rf"\brecord\s+(?P<n>{_W})\s*[(<]", "record"), (rf"^\s*(?:public|private|protected)\s+(?P<n>[A-Z]\w*)\s*\([^;{{}}]*\)\s*(?:throws[^{{]+)?\{{", "constructor"), (rf"^\s*(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:public|private|protected|static|final|abstract|synchronized|native|default)\s+)*(?:<[^>]+>\s*)?(?!return\b|new\b|else\b|throw\b)[\w.$]+(?:<[^;{{}}()]*>)?(?:\[\])*\s+(?P<n>{_W})\s*\([^;{{}}]*\)\s*(?:throws[^{{;]+)?[{{;]", "method")],
+    "csharp": [(r"^\s*(?:public|private|protected|internal|static)\s+(?P<n>[A-Z]\w*)\s*\([^;{}]*\)\s*(?::[^{]+)?\{", "constructor"), (rf"\bclass\s+(?P<n>{_W})", "class"), (rf"\binterface\s+(?P<n>{_W})", "interface"), (rf"\bstruct\s+(?P<n>{_W})", "struct"), (rf"\benum\s+(?P<n>{_W})", "enum"), (rf"\brecord\s+(?:struct\s+|class\s+)?(?P<n>{_W})\s*[({{;:<]", "record"), (rf"^\s*(?:\[[^\]]*\]\s*)*(?:(?:public|private|protected|internal|static|virtual|override|abstract|async|sealed|partial|extern|new)\s+)+(?!class\b|struct\b|record\b|enum\b|interface\b)[\w.]+(?:<[^;{{}}()]*>)?[\[\]?]*\s+(?P<n>{_W})\s*(?:<[^>]*>)?\([^;{{}}]*\)\s*(?:where[^{{]+)?(?:\{{|=>|;)", "method"), (rf"^\s*(?:(?:public|private|protected|internal|static|virtual|override|abstract|required)\s+)+(?!class\b|struct\b|record\b|enum\b|interface\b)[\w.]+(?:<[^;{{}}()]*>)?[\[\]?]*\s+(?P<n>{_W})\s*(?:\{{\s*(?:get|set|init)|=>)", "property")],
     "c": [(rf"^(?!typedef\b|return\b|else\b)(?:[A-Za-z_][\w\s*]*?[\s*])(?P<n>{_W})\s*\([^;{{}}]*\)\s*\{{", "function"), (rf"\bstruct\s+(?P<n>{_W})\s*\{{", "struct"), (rf"\bunion\s+(?P<n>{_W})\s*\{{", "union"), (rf"\benum\s+(?P<n>{_W})\s*\{{", "enum"), (rf"^typedef\b[^;{{]*(?:\{{[^}}]*\}})?[^;]*?\b(?P<n>{_W})\s*;", "type"), (rf"^\s*#\s*define\s+(?P<n>{_W})", "macro")],
 }
 RULES["tsx"] = RULES["ts"]
 
-_CALL = re.compile(rf"(?P<new>\bnew\s+)?(?P<q>(?:{_W}(?:\(\))?\s*(?:\?\.|\.|::|->)\s*)*)(?P<n>{_W})(?P<bang>!)?\s*(?:<[\w\s,.\[\]]*>)?(?:::<[^>]*>)?\(")
+_CALL = re.compile(rf"(?P<new>\bnew\s+)?(?P<q>(?:{_W}\s*(?:\?\.|\.|::|->)\s*)*)(?P<n>{_W})(?P<bang>!)?\s*(?:<[\w\s,.\[\]]*>)?(?:::<[^>]*>)?\(")
+
+_MADE = re.compile(rf"\bnew\s+({_W})\s*\([^()]*\)\s*\.\s*$")
 
 
 def braces(text: str, lang: str) -> Found:
@@ -143,12 +145,16 @@ def braces(text: str, lang: str) -> Found:
             kind = "call"
         before = path[-1] if path else None
         receiver = None
-        if kind == "method":
+        if not path and not m["new"] and clean[max(0, m.start("n") - 80) : m.start("n")].rstrip().endswith("."):
+            kind = "method" if lang != "c" else "call"
+            made = _MADE.search(clean[max(0, m.start("n") - 160) : m.start("n")])
+            receiver, before = (made[1] if made else None), ""
+        if kind == "method" and receiver is None and before != "":
             if before in ("this", "self") and len(path) == 1 or lang == "java" and not path:
                 receiver = enclosing(line)
             elif before and len(path) <= 2:
                 receiver = typed.get(before)
-        out.refs.append((name, kind, line, receiver, before if kind != "macro" else None))
+        out.refs.append((name, kind, line, receiver, before or None if kind != "macro" else None))
     if lang == "rust":
         for m in re.finditer(rf"\b(?P<n>{_W})!\s*[\[{{]", clean):
             if m["n"] != "macro_rules":
