@@ -238,7 +238,7 @@ def references_view(t):
 
 _AUTH = ", au AS (SELECT author_id, min(name) AS name, min(email) AS email FROM observations GROUP BY 1)"
 _COMP = _AUTH + r""", norm AS (SELECT DISTINCT author_id, lower(trim(regexp_replace(name, '\s+', ' ', 'g'))) AS k FROM observations), lg AS (SELECT author_id, nullif(regexp_extract(lower(email), '^(?:.*\+)?([^+]+)@users\.noreply\.github\.com$', 1), '') AS k FROM au),
- e AS (SELECT x.author_id AS a, y.author_id AS b, 0.9 AS c, 'name-exact' AS m FROM norm x JOIN norm y USING (k) WHERE x.author_id <> y.author_id UNION ALL SELECT x.author_id, y.author_id, 0.95, 'forge-noreply' FROM lg x JOIN lg y USING (k) WHERE x.author_id <> y.author_id),
+ e AS (SELECT x.author_id AS a, y.author_id AS b, CAST(0.9 AS DOUBLE) AS c, 'name-exact' AS m FROM norm x JOIN norm y USING (k) WHERE x.author_id <> y.author_id UNION ALL SELECT x.author_id, y.author_id, CAST(0.95 AS DOUBLE), 'forge-noreply' FROM lg x JOIN lg y USING (k) WHERE x.author_id <> y.author_id),
  w AS (SELECT author_id AS a, author_id AS r FROM au UNION SELECT e.b, w.r FROM w JOIN e ON w.a = e.a), root AS (SELECT a AS author_id, min(r) AS root FROM w GROUP BY 1),
  cl AS (SELECT root, min(email) AS email, min(name) AS name, count(*) AS n, min(cf) AS cf FROM (SELECT au.*, root, coalesce((SELECT min(c) FROM e WHERE e.a = au.author_id), 1.0) AS cf FROM au JOIN root USING (author_id)) GROUP BY 1),
  ids AS (SELECT *, row_number() OVER (ORDER BY email, name, root) AS identity_id FROM cl)"""
@@ -362,14 +362,18 @@ def chunk_dedup_ratio(t):
     return content.dedup_ratio(parts, content.chunk_store(parts))
 
 
+def _commit():
+    return F.expr("concat(split(path, '/')[0], '-', CAST((file_id div 2) % 4 AS STRING))")
+
+
 def _changes(t):
-    """Even documents as deletions and odd ones as additions of the commit of their source."""
+    """Even documents as deletions and odd ones as additions; a commit is a language and a quarter of its documents."""
     sha = F.sha1(F.col("text").cast("binary"))
     gone = F.col("file_id") % 2 == 0
-    return t["head_texts"].select(F.split("path", "/")[1].alias("commit_sha"), F.when(gone, "D").otherwise("A").alias("change_type"), "path", F.when(gone, sha).otherwise(F.lit("0" * 40)).alias("src_blob_sha"), F.when(gone, F.lit("0" * 40)).otherwise(sha).alias("dst_blob_sha"))
+    return t["head_texts"].select(_commit().alias("commit_sha"), F.when(gone, "D").otherwise("A").alias("change_type"), "path", F.when(gone, sha).otherwise(F.lit("0" * 40)).alias("src_blob_sha"), F.when(gone, F.lit("0" * 40)).otherwise(sha).alias("dst_blob_sha"))
 
 
-_CHG = ", g AS (SELECT split_part(path, '/', 2) AS commit_sha, path, sha1(text) AS blob_sha, row_number() OVER (PARTITION BY split_part(path, '/', 2), sha1(text), file_id % 2 ORDER BY path) AS k, file_id % 2 AS side FROM head_texts)"
+_CHG = ", g AS (SELECT split_part(path, '/', 1) || '-' || CAST((file_id // 2) % 4 AS VARCHAR) AS commit_sha, path, sha1(text) AS blob_sha, row_number() OVER (PARTITION BY split_part(path, '/', 1) || '-' || CAST((file_id // 2) % 4 AS VARCHAR), sha1(text), file_id % 2 ORDER BY path) AS k, file_id % 2 AS side FROM head_texts)"
 
 
 @query("head_texts", _CHG + " SELECT d.commit_sha, d.blob_sha, d.path AS old_path, a.path FROM g d JOIN g a ON d.commit_sha = a.commit_sha AND d.blob_sha = a.blob_sha AND d.k = a.k AND d.side = 0 AND a.side = 1")
@@ -385,7 +389,7 @@ def inexact_renames(t):
 
 
 @query("head_texts", r""", b AS (SELECT DISTINCT sha1(text) AS s, text FROM head_texts), l AS (SELECT s, x, count(*) AS n FROM (SELECT s, unnest(regexp_extract_all(text, '[^\n]*\n|[^\n]+$')) AS x FROM b) GROUP BY 1, 2), z AS (SELECT s, sum(n) AS t FROM l GROUP BY 1),
- p AS (SELECT DISTINCT split_part(d.path, '/', 2) AS commit_sha, sha1(d.text) AS x, sha1(a.text) AS y FROM head_texts d JOIN head_texts a ON split_part(d.path, '/', 2) = split_part(a.path, '/', 2) AND d.file_id % 2 = 0 AND a.file_id % 2 = 1 WHERE d.text <> a.text)
+ p AS (SELECT DISTINCT split_part(d.path, '/', 1) || '-' || CAST((d.file_id // 2) % 4 AS VARCHAR) AS commit_sha, sha1(d.text) AS x, sha1(a.text) AS y FROM head_texts d JOIN head_texts a ON split_part(d.path, '/', 1) || '-' || CAST((d.file_id // 2) % 4 AS VARCHAR) = split_part(a.path, '/', 1) || '-' || CAST((a.file_id // 2) % 4 AS VARCHAR) AND d.file_id % 2 = 0 AND a.file_id % 2 = 1 WHERE d.text <> a.text)
  SELECT commit_sha, p.x AS a_blob, p.y AS b_blob, round(CAST(sum(least(u.n, v.n)) AS DOUBLE) / greatest(any_value(zx.t), any_value(zy.t)), 6) AS similarity FROM p JOIN l u ON u.s = p.x JOIN l v ON v.s = p.y AND u.x = v.x JOIN z zx ON zx.s = p.x JOIN z zy ON zy.s = p.y GROUP BY 1, 2, 3""")
 def rename_similarity(t):
     blobs = t["head_texts"].select(F.sha1(F.col("text").cast("binary")).alias("blob_sha"), "text")
