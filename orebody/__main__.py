@@ -3,6 +3,7 @@
     python -m orebody index REPO --out DIR [--level basic|mid|high] [--refs head|active|all|auto] [--full]
     python -m orebody ask DIR SURFACE [--path P] [--query Q] [--days N] [--limit N] [--json]
     python -m orebody sql DIR "SELECT ..."
+    python -m orebody serve DIR [--port N] [--key K] | --tools
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import json
 
 from pyspark.sql import SparkSession
 
-from orebody.plans import build, render, surfaces
+from orebody.plans import build, render, service, surfaces
 
 
 def session() -> SparkSession:
@@ -43,6 +44,11 @@ def main(args: list[str] | None = None) -> None:
     p = sub.add_parser("sql")
     p.add_argument("index")
     p.add_argument("text")
+    p = sub.add_parser("serve")
+    p.add_argument("index")
+    p.add_argument("--port", type=int, default=8765)
+    p.add_argument("--key")
+    p.add_argument("--tools", action="store_true", help="answer tool calls on standard input instead of HTTP")
     a = parser.parse_args(args)
     spark = session()
     if a.command == "index":
@@ -52,6 +58,9 @@ def main(args: list[str] | None = None) -> None:
         tables = build.open_index(spark, a.index)
         found = surfaces.envelope(a.surface, tables, limit=a.limit, **{k: v for k, v in {"path": a.path, "query": a.query, "days": a.days}.items() if v is not None})
         print(json.dumps(found) if a.json else render.render(found))
+    elif a.command == "serve":
+        tables = build.open_index(spark, a.index)
+        service.serve_lines(tables) if a.tools else service.http_server(spark, tables, port=a.port, key=a.key).serve_forever()
     else:
         build.open_index(spark, a.index)
         spark.sql(a.text).show(1000, truncate=False)
