@@ -36,12 +36,34 @@ def shared_dir(spark: SparkSession) -> str:
     return _TEST_DIR[0]
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return it as a scan, so that its lineage ends there."""
+    """Write ``df`` to the shared folder and return it as a scan, so that its lineage ends there.
+
+    Shuffle files of the write are of no further use and go with its end.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._orebody_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written intermediates that nothing reads any more."""
+    for df in tables:
+        jvm, path = df.sparkSession._jvm, getattr(df, "_orebody_path", None)
+        if path:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def trim() -> None:
@@ -87,7 +109,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         nxt = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        cur = materialize(nxt, "cc")
+        last, cur = cur, materialize(nxt, "cc")
+        discard(last)
         mark = cur.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if seen == mark:
             break

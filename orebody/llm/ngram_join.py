@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orebody.llm.common import connected_components, map_batches, materialize, texts_of
+from orebody.llm.common import connected_components, discard, map_batches, materialize, texts_of
 
 SLACK = 2
 CLASS_RATIO = 1.35
@@ -216,8 +216,8 @@ def group_edges(rows: DataFrame, percent: int, spread: int, leaders_too: bool =
     return map_batches(ordered, run, "of long, rep long, other long")
 
 
-def candidate_edges(reps: DataFrame, percent: int) -> DataFrame:
-    """Edges that connect all classes a link may join; ``reps``: (rep, n_shingles, sketch, keys).
+def candidate_edges(reps: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """A written intermediate to discard in the end, and edges that connect all classes a link may join; ``reps``: (rep, n_shingles, sketch, keys).
 
     Copies with the same companions under many keys make one group: equal
     member lists are kept once.
@@ -238,7 +238,7 @@ def candidate_edges(reps: DataFrame, percent: int) -> DataFrame:
         first = materialize(group_edges(large.join(sketches, "rep"), percent, 2, True), "dealt")
         leaders = first.filter("rep = other").select("of", F.lit(0).cast("long").alias("deal"), "rep").join(sketches, "rep")
         edges = edges.unionByName(first.filter("rep <> other").select("rep", "other")).unionByName(group_edges(leaders, percent, 3).select("rep", "other"))
-    return edges.distinct()
+    return met, edges.distinct()
 
 
 class Sets:
@@ -387,8 +387,9 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, block_postings: i
         sets.filter("n_shingles > 0 and doc_id is not null").groupBy("class_key").agg(F.min(F.struct("doc_id", "n_shingles", "sketch", "keys")).alias("r")).select("class_key", F.col("r.doc_id").alias("rep"), "r.n_shingles", "r.sketch", "r.keys"),
         "reps",
     )
-    edges = candidate_edges(reps, percent)
+    met, edges = candidate_edges(reps, percent)
     blocks = materialize(connected_components(edges), "cand")
+    discard(met)
     sized = sets.select(F.col("doc_id").alias("node"), "n_shingles").join(blocks, "node").groupBy("root").agg(F.sum("n_shingles").alias("postings"))
     dealt = blocks.join(sized.select("root", F.ceil(F.col("postings") / block_postings).cast("int").alias("of")), "root")
     dealt = dealt.select(F.col("root").alias("block"), F.col("node").alias("rep"), "of", F.pmod(F.xxhash64("node"), F.col("of")).cast("int").alias("part"))
