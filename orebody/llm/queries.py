@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orebody.llm import audio, chat, decontaminate, huffman, line_dedup, ngram_join, packing, quality, shuffle, toxicity
+from orebody.llm import audio, chat, decontaminate, huffman, line_dedup, ngram_join, oracles, packing, quality, shuffle, toxicity
 from orebody.llm.common import table
 
 
@@ -71,4 +71,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_toxic_span_crf, op2_co_training_quality, op3_order_preserving_packing, op4_huffman_token_files, op5_external_shuffle, op6_suffix_automaton_decontamination, op7_winnowing_line_dedup, op8_telephony_audio, op9_chat_state_machine, op10_t_occurrence_join, pipeline)}
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op6_suffix_automaton_decontamination": oracles.DECONTAMINATION, "op9_chat_state_machine": oracles.CHAT, "op10_t_occurrence_join": oracles.JOIN}
