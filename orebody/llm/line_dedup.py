@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orebody.llm.common import map_batches, materialize
+from orebody.llm.common import discard, map_batches, materialize
 
 WINDOW = 3
 MIN_WORDS = 24
@@ -40,30 +40,67 @@ MIN_LINE_WORDS = 4
 LONG_LINE = 24
 #: Most fingerprints with two places or more that are sent to every task; above it they are joined instead.
 BROADCAST_PRINTS = 2_000_000
-_CUT = re.compile(r"\n+|(?<=[.!?])[ \t\r\f\v]+")
+_CUT = re.compile(r"[.!?][ \t\r\f\v]+|\n+")
 
 
 def lines_of(text: str) -> tuple[list[int], list[str], list[int]]:
     """Start offsets, normalised lines and their numbers of words."""
     starts, lines, counts = [], [], []
+    low = text.lower()
+    same = len(low) == len(text)  # a letter whose lower case is longer moves the offsets
     at = 0
-    cuts = [m.span() for m in _CUT.finditer(text)]
+    cuts = [(m.start() + (text[m.start()] != "\n"), m.end()) for m in _CUT.finditer(text)]
     for a, b in [*cuts, (len(text), len(text))]:
-        words = text[at:a].split()
-        if words:
-            if len(words) > LONG_LINE:
+        line = low[at:a] if same else text[at:a].lower()
+        if not line.isprintable() or "  " in line or line[:1] == " " or line[-1:] == " ":
+            line = " ".join(line.split())
+        if line:
+            n = line.count(" ") + 1
+            if n > LONG_LINE and len(line) == a - at:
+                _cut_words(line, at, starts, lines, counts)
+            elif n > LONG_LINE:
                 _long(text, at, a, starts, lines, counts)
-            elif len(words) < MIN_LINE_WORDS and lines:
-                lines[-1] += "\n" + " ".join(words).lower()
-                counts[-1] += len(words)
+            elif n < MIN_LINE_WORDS and lines:
+                lines[-1] += "\n" + line
+                counts[-1] += n
             else:
                 starts.append(at)
-                lines.append(" ".join(words).lower())
-                counts.append(len(words))
+                lines.append(line)
+                counts.append(n)
         at = b
     return starts, lines, counts
 
 
+_ENDS: dict[str, bool] = {}
+
+
+def _ends_line(word: str) -> bool:
+    """Whether a line may be cut after this word; remembered for words seen before."""
+    known = _ENDS.get(word)
+    if known is None:
+        if len(_ENDS) > 200_000:
+            _ENDS.clear()
+        known = _ENDS[word] = xxhash.xxh32_intdigest(word) % 8 == 0
+    return known
+
+
+def _cut_words(line: str, begin: int, starts: list[int], lines: list[str], counts: list[int]) -> None:
+    """Cut a line whose words stand between single spaces."""
+    words = line.split(" ")
+    first = pos = at = 0
+    for k, word in enumerate(words, 1):
+        pos += len(word) + 1
+        if k - first >= MIN_LINE_WORDS and _ends_line(word):
+            starts.append(begin + at)
+            lines.append(line[at : pos - 1])
+            counts.append(k - first)
+            first, at = k, pos
+    if first < len(words):
+        starts.append(begin + at)
+        lines.append(line[at:])
+        counts.append(len(words) - first)
+
+
 def _long(text: str, begin: int, end: int, starts: list[int], lines: list[str], counts: list[int]) -> None:
     run: list[str] = []
     at = begin
@@ -71,7 +108,7 @@ def _long(text: str, begin: int, end: int, starts: list[int], lines: list[str],
         if not run:
             at = m.start()
         run.append(m[0].lower())
-        if len(run) >= MIN_LINE_WORDS and xxhash.xxh32_intdigest(run[-1]) % 8 == 0:
+        if len(run) >= MIN_LINE_WORDS and _ends_line(run[-1]):
             starts.append(at)
             lines.append(" ".join(run))
             counts.append(len(run))
@@ -134,16 +171,10 @@ def _extent(mine: str, first: str, window: int, back: bool):
     return run
 
 
-def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def repeats(prints: DataFrame, firsts: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc, version, low, high): runs of lines, inclusive, that match a place before them; runs may overlap."""
-    prints = materialize(fingerprints(docs, window), "lines")
-    firsts = materialize(
-        prints.select("print", F.struct("doc", "version", "place", "near").alias("at")).groupBy("print").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1").select("print", "first"),
-        "prints",
-    )
     if firsts.limit(BROADCAST_PRINTS + 1).count() <= BROADCAST_PRINTS:
-        known = firsts.select("print")
-        prints = prints.join(F.broadcast(known), "print", "left_semi")
+        prints = prints.join(F.broadcast(firsts.select("print")), "print", "left_semi")
     both = prints.hint("merge").join(firsts, "print").filter(F.struct("doc", "version", "place") > F.struct("first.doc", "first.version", "first.place"))
     both = both.withColumn("theirs", F.col("first.near"))
     low = F.col("place") - _extent("near", "theirs", window, True)
@@ -157,8 +188,13 @@ def _with_version(docs: DataFrame) -> DataFrame:
 
 def removal_plan(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc, version, runs): per document the runs that repeat earlier places; at most one row per document."""
-    found = repeats(_with_version(docs), window)
-    return found.groupBy("doc", "version").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("runs"))
+    prints = materialize(fingerprints(_with_version(docs), window), "lines")
+    at = F.struct("doc", "version", "place", "near")
+    firsts = materialize(prints.select("print", at.alias("at")).groupBy("print").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1").select("print", "first"), "prints")
+    found = repeats(prints, firsts, window)
+    plan = materialize(found.groupBy("doc", "version").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("runs")), "plan")
+    discard(prints, firsts)
+    return plan
 
 
 def cut_runs(text: str, runs: list[tuple[int, int]], min_words: int) -> tuple[str, int, int]:
