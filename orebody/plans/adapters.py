@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 _WHO = """CASE WHEN {k} % 11 = 0 THEN CAST({k} AS STRING) || '+login' || CAST({k} % 90 AS STRING) || '@users.noreply.github.com'
  WHEN {k} % 13 = 0 THEN 'name' || CAST({k} % 40 AS STRING) || '@h' || CAST({k} % 7 AS STRING) || '.example'
  ELSE 'dev' || CAST({k} % 700 AS STRING) || '@mail' || CAST({k} % 4 AS STRING) || '.example' END"""
-_NAME = """'Given' || CAST({k} % 29 AS STRING) || ' ' || CASE WHEN {k} % 5 = 0 THEN 'Mid ' ELSE '' END || 'Family' || CAST({k} % 370 AS STRING)"""
+_NAME = """'Given' || CAST({k} % 29 AS STRING) || ' ' || CASE WHEN {k} % 5 = 0 THEN 'Mid ' ELSE '' END || 'Family' || CAST({k} % 23 AS STRING)"""
 
 ADAPTERS: dict[str, str] = {
     "commits": """SELECT CAST(o_orderkey AS STRING) AS commit_sha, CAST(o_custkey AS STRING) AS author_id, EPOCH(o_orderdate) AS authored_at_epoch,

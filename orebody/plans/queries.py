@@ -493,3 +493,82 @@ def surface_risks(t):
 def surface_markers(t):
     files = t["head_texts"].select("file_id", "path")
     return surfaces.markers({"code_markers": t["code_markers"], "files": files}, "en/src1")
+
+
+# -- scalar rules, joins and recipes --------------------------------------------------------------
+
+
+@query("observations", r""" SELECT author_id, name, email, nullif(regexp_extract(lower(email), '^(?:.*\+)?([^+]+)@users\.noreply\.github\.com$', 1), '') AS login, lower(trim(regexp_replace(name, '\s+', ' ', 'g'))) AS norm,
+ lower(name) LIKE '%[bot]%' OR lower(email) LIKE '%[bot]%' OR regexp_matches(lower(email), 'dependabot|renovate|github-actions') OR lower(name) IN ('dependabot', 'renovate', 'github-actions', 'github actions') AS is_bot FROM observations""")
+def people_rules(t):
+    return t["observations"].select("author_id", "name", "email", fc.forge_login(F.col("email")).alias("login"), fc.normal_name(F.col("name")).alias("norm"), fc.is_bot(F.col("name"), F.col("email")).alias("is_bot"))
+
+
+@query("files", f""" SELECT file_id, {_AREA} AS area, CASE WHEN path LIKE '%/%' THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS dir, regexp_extract(path, '[^/]*$') AS base, regexp_extract(path, '\\.([^./]*)$', 1) AS ext,
+ CASE WHEN file_id % 5 = 0 THEN 'executable' WHEN file_id % 5 = 1 THEN 'symlink' WHEN file_id % 5 = 2 THEN 'submodule' WHEN file_id % 5 = 3 THEN 'tree' ELSE 'blob' END AS entry_type FROM files""")
+def path_rules(t):
+    mode = F.element_at(F.array(*(F.lit(m) for m in ("100755", "120000", "160000", "040000", "100644"))), (F.col("file_id") % 5 + 1).cast("int"))
+    p = F.col("path")
+    return t["files"].select("file_id", fp.area_of(p).alias("area"), fp.dir_of(p).alias("dir"), fp.base_of(p).alias("base"), fp.extension_of(p).alias("ext"), fp.entry_type(mode).alias("entry_type"))
+
+
+@query("observations", r""", n AS (SELECT DISTINCT author_id, lower(trim(regexp_replace(name, '\s+', ' ', 'g'))) AS k FROM observations), e AS (SELECT k, lag(author_id) OVER (PARTITION BY k ORDER BY author_id) AS a, author_id AS b FROM n) SELECT a, b, CAST(0.9 AS DOUBLE) AS confidence FROM e WHERE a IS NOT NULL""")
+def identity_edges(t):
+    groups = identity.alias_groups(t["observations"], identity.authors_of(t["observations"])).filter("method = 'name-exact'")
+    return identity.adjacent_edges(groups).select("a", "b", "confidence")
+
+
+@query("symbols", " SELECT name, start_line, min(file_id) AS file_id FROM symbols GROUP BY 1, 2 HAVING count(DISTINCT file_id) = 1")
+def unique_names(t):
+    return code_graph.unique_by(t["symbols"], ["name", "start_line"], "file_id")
+
+
+@query("", "SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 3 = 0 AND EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey * 2) THEN o_custkey * 2 ELSE o_custkey END AS BIGINT) AS hit FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)")
+def first_existing(t):
+    tries = F.when(F.col("o_orderkey") % 3 == 0, F.array(F.col("o_custkey") * 2, F.col("o_custkey"))).otherwise(F.array("o_custkey"))
+    rows = t.source("orders").select("o_orderkey", tries.alias("tries"))
+    return code_graph.first_existing(rows, "o_orderkey", "tries", t.source("customer").select(F.col("c_custkey").alias("hit")), "hit")
+
+
+@query("", "WITH RECURSIVE s AS (SELECT DISTINCT o_custkey AS p, o_custkey // 2 AS q FROM orders WHERE o_custkey % 4 <> 1 AND o_custkey > 1), f AS (SELECT c_custkey AS key, c_custkey AS p, 0 AS depth FROM customer UNION ALL SELECT key, q, depth + 1 FROM f JOIN s USING (p)) SELECT key, arg_max(p, depth) AS \"at\", CAST(max(depth) AS INT) AS depth FROM f GROUP BY 1")
+def followed_chains(t):
+    steps = t.source("orders").filter("o_custkey % 4 <> 1 and o_custkey > 1").select(F.col("o_custkey").alias("at"), F.expr("o_custkey div 2").alias("to")).distinct()
+    return code_graph.follow(t.source("customer").select(F.col("c_custkey").alias("key"), F.col("c_custkey").alias("at")), steps)
+
+
+@query("", "SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS window_start_epoch, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
+def windowed_activity(t):
+    from orebody.streaming.activity import windowed_activity as windows
+
+    return windows(t.source("events")).withColumn("total", F.round("total", 6))
+
+
+def _sql(t, names: str, text: str):
+    return views.sql(t.spark, {n: t[n] for n in names.split()}, text)
+
+
+@query("commits authors", " SELECT a.name, count(*) AS c FROM commits JOIN authors a USING (author_id) GROUP BY 1 ORDER BY c DESC, name LIMIT 10")
+def recipe_commits_per_author(t):
+    return _sql(t, "commits authors", "SELECT a.name, count(*) AS c FROM commits JOIN authors a USING (author_id) GROUP BY 1 ORDER BY c DESC, name LIMIT 10")
+
+
+@query("commit_files files", " SELECT path, count(*) AS n FROM commit_files JOIN files USING (file_id) WHERE change_type = 'R' GROUP BY 1 ORDER BY n DESC, path LIMIT 10")
+def recipe_most_renamed(t):
+    return _sql(t, "commit_files files", "SELECT path, count(*) AS n FROM commit_files JOIN files USING (file_id) WHERE change_type = 'R' GROUP BY 1 ORDER BY n DESC, path LIMIT 10")
+
+
+@query("blame commits authors identities files", _FO + " SELECT path, i.name AS owner, owned_lines, round(CAST(owned_lines AS DOUBLE) / file_lines, 2) AS share FROM fo JOIN files USING (file_id) JOIN identities i USING (identity_id) QUALIFY row_number() OVER (PARTITION BY path ORDER BY owned_lines DESC, identity_id) = 1 ORDER BY owned_lines DESC, path LIMIT 10")
+def recipe_dominant_owner(t):
+    rows = t["file_ownership"].join(t["files"], "file_id").join(t["identities"].select("identity_id", F.col("name").alias("owner")), "identity_id")
+    first = insights.dominant_owner(rows, ["path"], [F.desc("owned_lines"), F.col("identity_id")])
+    return first.orderBy(F.desc("owned_lines"), "path").limit(10).select("path", "owner", "owned_lines", F.round("ownership_share", 2).alias("share"))
+
+
+@query("symbols symbol_refs files", ORACLES["symbol_edges"].split("FROM lineitem)", 1)[1].replace(" SELECT h.file_id AS src_file_id", ", se AS (SELECT h.file_id AS src_file_id", 1) + ") SELECT path AS caller_file, src_name AS caller, line FROM se JOIN files ON src_file_id = file_id WHERE dst_name = 'fn12' AND ref_kind IN ('call', 'new')")
+def recipe_callers(t):
+    return _sql(t, "symbol_edges files", "SELECT path AS caller_file, src_name AS caller, line FROM symbol_edges JOIN files ON src_file_id = file_id WHERE dst_name = 'fn12' AND ref_kind IN ('call', 'new')")
+
+
+@query("symbol_refs files", " SELECT a.path AS used_in, line, b.path AS defined_in FROM symbol_refs r JOIN files a ON r.file_id = a.file_id JOIN files b ON r.def_file_id = b.file_id WHERE name = 'fn12'")
+def recipe_find_usages(t):
+    return _sql(t, "symbol_refs files", "SELECT a.path AS used_in, line, b.path AS defined_in FROM symbol_refs r JOIN files a ON r.file_id = a.file_id JOIN files b ON r.def_file_id = b.file_id WHERE name = 'fn12'")
