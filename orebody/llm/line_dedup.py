@@ -14,6 +14,11 @@ extension by ``window`` lines to each side reaches the next one: the union of
 the extended matches is the whole run. Runs of at least ``min_words`` words
 that repeat an earlier place are cut out, the first place stays.
 
+A fingerprint's first place may have other lines around it than the run, so
+passages of ``MIN_WORDS`` words at the start and the end of every line (and all
+along a longer line) are joined with their own first places, too. They cover
+every run of whole lines that has ``MIN_WORDS`` words and an earlier copy.
+
 Defined results: null and empty texts have no lines and stay as they are; rows
 of equal doc_id and text are one document (each is kept, neither repeats the
 other); null doc_ids come first; a text that wholly repeats earlier ones
@@ -40,6 +45,8 @@ MIN_LINE_WORDS = 4
 LONG_LINE = 24
 #: Most fingerprints with two places or more that are sent to every task; above it they are joined instead.
 BROADCAST_PRINTS = 2_000_000
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(int(_BASE), -1, 2**64))
 _CUT = re.compile(r"[.!?][ \t\r\f\v]+|\n+")
 
 
@@ -132,22 +139,53 @@ def winnow(h: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return np.unique(np.arange(len(views)) + window - 1 - np.argmin(views, axis=1))
 
 
+def grams(words: np.ndarray) -> np.ndarray:
+    """Hashes of all passages of ``MIN_WORDS`` words, from the words' hashes."""
+    n = len(words)
+    if n < MIN_WORDS:
+        return np.empty(0, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        up = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n - 1, _BASE)]))
+        down = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n - MIN_WORDS, _BACK)]))
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(words * up, dtype=np.uint64)])
+        g = (sums[MIN_WORDS:] - sums[:-MIN_WORDS]) * down
+        g = (g ^ (g >> np.uint64(31))) * _BASE
+        return g ^ (g >> np.uint64(29))
+
+
+def passages(lines: list[str], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and first words of the passages of ``MIN_WORDS`` words at each line's start and end, and all along longer lines."""
+    if sum(counts) < MIN_WORDS:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    g = grams(hashes(" ".join(lines).split()).view(np.uint64))
+    ends = np.cumsum(counts)
+    along = [np.arange(e - n, e - MIN_WORDS, MIN_WORDS) for e, n in zip(ends.tolist(), counts, strict=True) if n > 2 * MIN_WORDS]
+    at = np.unique(np.concatenate([ends - counts, ends - MIN_WORDS, *along]))
+    at = at[(at >= 0) & (at < len(g))]
+    return g[at].view(np.int64), at
+
+
 def fingerprints(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(print, doc, version, place, near): near holds the hashes of the lines up to ``window`` away."""
+    """(print, doc, version, place, near): near holds the hashes of the lines up to ``window`` away.
+
+    Rows without near are passages; their place is that of a word.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for s in range(0, whole.num_rows, 256):
                 b = whole.slice(s, 256)
-                out = [[], [], [], []]
+                out, more = [[], [], [], []], [[], [], [], []]
                 near, sizes = [], []
                 for doc, version, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "version", "text")), strict=True):
-                    h = hashes(lines_of(text or "")[1])
+                    _, lines, counts = lines_of(text or "")
+                    h = hashes(lines)
                     places = winnow(h, window)
-                    out[0].append(h[places])
-                    out[1].append(np.full(len(places), -(2**63) if doc is None else doc))
-                    out[2].append(np.full(len(places), version))
-                    out[3].append(places)
+                    for cols, keys, at in ((out, h[places], places), (more, *passages(lines, counts))):
+                        cols[0].append(keys)
+                        cols[1].append(np.full(len(at), -(2**63) if doc is None else doc))
+                        cols[2].append(np.full(len(at), version))
+                        cols[3].append(at)
                     wide = np.concatenate([np.zeros(window, np.int64), h, np.zeros(window, np.int64)])
                     if len(places):
                         near.append(np.lib.stride_tricks.sliding_window_view(wide, 2 * window + 1)[places].reshape(-1))
@@ -156,8 +194,11 @@ def fingerprints(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 flat = pa.array(np.concatenate(near) if near else np.empty(0, np.int64), pa.int64())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(total + 1) * (2 * window + 1), pa.int32()), flat)
                 cols = [pa.array(np.concatenate(c).astype(np.int64) if c else [], pa.int64()) for c in out]
-                yield pa.RecordBatch.from_arrays([*cols, lists], ["print", "doc", "version", "place", "near"])
+                yield pa.RecordBatch.from_arrays([*cols, lists], names)
+                cols = [pa.array(np.concatenate(c).astype(np.int64) if c else [], pa.int64()) for c in more]
+                yield pa.RecordBatch.from_arrays([*cols, pa.nulls(len(cols[0]), pa.list_(pa.int64()))], names)
 
+    names = ["print", "doc", "version", "place", "near"]
     return map_batches(docs, run, "print long, doc long, version long, place long, near array<long>")
 
 
@@ -171,60 +212,88 @@ def _extent(mine: str, first: str, window: int, back: bool):
     return run
 
 
+def _few(prints: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Only the rows that have a partner, while the partners' keys are few enough to be sent."""
+    if firsts.limit(BROADCAST_PRINTS + 1).count() <= BROADCAST_PRINTS:
+        return prints.join(F.broadcast(firsts.select("print")), "print", "left_semi")
+    return prints
+
+
 def repeats(prints: DataFrame, firsts: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc, version, low, high): runs of lines, inclusive, that match a place before them; runs may overlap."""
-    if firsts.limit(BROADCAST_PRINTS + 1).count() <= BROADCAST_PRINTS:
-        prints = prints.join(F.broadcast(firsts.select("print")), "print", "left_semi")
-    both = prints.hint("merge").join(firsts, "print").filter(F.struct("doc", "version", "place") > F.struct("first.doc", "first.version", "first.place"))
+    both = _few(prints, firsts).hint("merge").join(firsts, "print").filter(F.struct("doc", "version", "place") > F.struct("first.doc", "first.version", "first.place"))
     both = both.withColumn("theirs", F.col("first.near"))
     low = F.col("place") - _extent("near", "theirs", window, True)
     high = F.col("place") + _extent("near", "theirs", window, False)
     return both.select("doc", "version", low.alias("low"), high.alias("high")).distinct()
 
 
+def repeated_passages(prints: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(doc, version, word): passages that stand, without overlap, at a place before them too."""
+    both = _few(prints, firsts).hint("merge").join(firsts, "print").filter(F.struct("doc", "version", "place") > F.struct("first.doc", "first.version", "first.place"))
+    apart = (F.col("doc") != F.col("first.doc")) | (F.col("version") != F.col("first.version")) | (F.col("place") >= F.col("first.place") + MIN_WORDS)
+    return both.filter(apart).select("doc", "version", F.col("place").alias("word"))
+
+
 def _with_version(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("version", F.xxhash64("text"))
 
 
+def _firsts(prints: DataFrame, *columns: str) -> DataFrame:
+    """(print, first): the first place of each print that has two places or more."""
+    return materialize(prints.select("print", F.struct(*columns).alias("at")).groupBy("print").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1").select("print", "first"), "prints")
+
+
 def removal_plan(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc, version, runs): per document the runs that repeat earlier places; at most one row per document."""
+    """(doc, version, runs, words): per document the runs of lines, and the first words of the passages, that repeat earlier places; at most one row per document."""
     prints = materialize(fingerprints(_with_version(docs), window), "lines")
-    at = F.struct("doc", "version", "place", "near")
-    firsts = materialize(prints.select("print", at.alias("at")).groupBy("print").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1").select("print", "first"), "prints")
-    found = repeats(prints, firsts, window)
-    plan = materialize(found.groupBy("doc", "version").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("runs")), "plan")
-    discard(prints, firsts)
+    lines, passages_ = prints.filter("near is not null"), prints.filter("near is null").drop("near")
+    firsts, others = _firsts(lines, "doc", "version", "place", "near"), _firsts(passages_, "doc", "version", "place")
+    run = F.struct("low", "high")
+    found = repeats(lines, firsts, window).select("doc", "version", run.alias("run"), F.lit(None).cast("long").alias("word"))
+    found = found.unionByName(repeated_passages(passages_, others).select("doc", "version", F.lit(None).cast("struct<low:long,high:long>").alias("run"), "word"))
+    plan = materialize(found.groupBy("doc", "version").agg(F.sort_array(F.collect_list("run")).alias("runs"), F.sort_array(F.collect_list("word")).alias("words")), "plan")
+    discard(prints, firsts, others)
     return plan
 
 
-def cut_runs(text: str, runs: list[tuple[int, int]], min_words: int) -> tuple[str, int, int]:
+def _covered(pairs: list[tuple[int, int]], n: int) -> np.ndarray:
+    """Mask of what lies in a pair, from its first to before its second."""
+    edge = np.zeros(n + 1, dtype=np.int64)
+    if pairs:
+        low, high = np.array(pairs).T
+        np.add.at(edge, low, 1)
+        np.add.at(edge, high, -1)
+    return np.cumsum(edge)[:-1] > 0
+
+
+def cut_runs(text: str, runs: list[tuple[int, int]], words: list[int], min_words: int) -> tuple[str, int, int]:
     """Text without the runs of enough words; numbers of removed lines and words."""
-    if not runs:
+    if not runs and not words:
         return text, 0, 0
     starts, lines, counts = lines_of(text)
-    gone = np.zeros(len(lines) + 1, dtype=np.int64)
-    for low, high in runs:
-        gone[low] += 1
-        gone[high + 1] -= 1
-    mask = np.cumsum(gone)[:-1] > 0
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]])))
     total = np.concatenate([[0], np.cumsum(counts)])
-    out, last, removed, words = [], 0, 0, 0
+    mask = _covered([(low, high + 1) for low, high in runs], len(lines))
+    if words:
+        seen = np.concatenate([[0], np.cumsum(_covered([(w, w + MIN_WORDS) for w in words], int(total[-1])))])
+        mask |= seen[total[1:]] - seen[total[:-1]] == counts
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]])))
+    out, last, removed, gone = [], 0, 0, 0
     for a, b in zip(edges[0::2].tolist(), edges[1::2].tolist(), strict=True):
         if total[b] - total[a] < min_words:
             continue
         out.append(text[last : starts[a]])
         last = starts[b] if b < len(starts) else len(text)
-        removed, words = removed + b - a, words + int(total[b] - total[a])
-    return "".join([*out, text[last:]]), removed, words
+        removed, gone = removed + b - a, gone + int(total[b] - total[a])
+    return "".join([*out, text[last:]]), removed, gone
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
     """All columns of ``docs`` with the shortened text, plus __removed and __words (lines and words cut out)."""
     names = docs.columns
     keyed = docs.select(*names, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("__doc"), F.xxhash64(F.col("text").cast("string")).alias("__version"))
-    plan = removal_plan(docs, window).select(F.col("doc").alias("__d"), F.col("version").alias("__v"), F.col("runs").alias("__runs"))
-    joined = keyed.join(plan, (F.col("__doc") == F.col("__d")) & (F.col("__version") == F.col("__v")), "left").select(*names, "__runs")
+    plan = removal_plan(docs, window).select(F.col("doc").alias("__d"), F.col("version").alias("__v"), F.col("runs").alias("__runs"), F.col("words").alias("__at"))
+    joined = keyed.join(plan, (F.col("__doc") == F.col("__d")) & (F.col("__version") == F.col("__v")), "left").select(*names, "__runs", "__at")
     has_chars = "n_chars" in names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,8 +301,8 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WOR
             texts = b.column("text").to_pylist()
             chars = b.column("n_chars").to_pylist() if has_chars else []
             told = []
-            for i, runs in enumerate(b.column("__runs").to_pylist()):
-                text, removed, words = cut_runs(texts[i] or "", [(r["low"], r["high"]) for r in runs or ()], min_words)
+            for i, (runs, at) in enumerate(zip(b.column("__runs").to_pylist(), b.column("__at").to_pylist(), strict=True)):
+                text, removed, words = cut_runs(texts[i] or "", [(r["low"], r["high"]) for r in runs or ()], at or [], min_words)
                 if removed:
                     texts[i] = text
                     if has_chars:

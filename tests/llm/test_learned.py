@@ -217,6 +217,41 @@ def test_line_dedup_against_dictionary_version(spark):
             assert r.n_chars == len(r.text or "")
 
 
+def repeated_lines(rows, min_words):
+    """Per row, which lines lie in a run of enough words that stands at any earlier place: brute force over all places."""
+    before, out = [], []
+    for _, text in rows:
+        _, lines, counts = line_dedup.lines_of(text)
+        hit = [False] * len(lines)
+        for other in before:
+            for a in range(len(lines)):
+                for b in range(len(other)):
+                    n = 0
+                    while a + n < len(lines) and b + n < len(other) and lines[a + n] == other[b + n]:
+                        n += 1
+                    if sum(counts[a : a + n]) >= min_words:
+                        hit[a : a + n] = [True] * n
+        before.append(lines)
+        out.append((lines, hit))
+    return out
+
+
+def test_runs_match_every_earlier_place(spark):
+    rng = random.Random(8)
+    plain = lambda n: prose(rng, n).replace(".", "")
+    common = [plain(rng.randrange(5, 11)) for _ in range(8)]
+    blocks = [[rng.choice(common) if rng.random() < 0.5 else plain(9) for _ in range(rng.randrange(3, 7))] for _ in range(12)]
+    lines = [[x] for x in common]
+    lines += [[plain(9), *rng.choice(blocks), rng.choice(common), plain(7)] if i % 3 else rng.choice(blocks) for i in range(60)]
+    rows = [(i, "\n".join(x)) for i, x in enumerate(lines)]
+    got = dict(line_dedup.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    found = repeated_lines(rows, line_dedup.MIN_WORDS)
+    assert sum(sum(hit) for _, hit in found) > 100
+    for (i, _), (own, hit) in zip(rows, found, strict=True):
+        left = iter([x for x, h in zip(own, hit, strict=True) if not h])
+        assert all(x in left for x in line_dedup.lines_of(got[i])[1]), i
+
+
 def test_repeated_passages_go_and_clean_documents_stay(spark):
     rng = random.Random(12)
     passage = prose(rng, 70)
