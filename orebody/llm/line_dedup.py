@@ -19,6 +19,12 @@ passages of ``MIN_WORDS`` words at the start and the end of every line (and all
 along a longer line) are joined with their own first places, too. They cover
 every run of whole lines that has ``MIN_WORDS`` words and an earlier copy.
 
+A passage may begin and end inside lines. Of every ``MIN_WORDS`` passages that
+start at consecutive words the least is a key as well, so a repeat of
+2 * ``MIN_WORDS`` - 1 words or more shares one wherever it stands. Without
+``whole_lines`` what is covered is cut by words; of a repeat's partial first and
+last line up to ``MIN_WORDS`` - 1 words may stay.
+
 Defined results: null and empty texts have no lines and stay as they are; rows
 of equal doc_id and text are one document (each is kept, neither repeats the
 other); null doc_ids come first; a text that wholly repeats earlier ones
@@ -47,6 +53,7 @@ LONG_LINE = 24
 BROADCAST_PRINTS = 2_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(int(_BASE), -1, 2**64))
+_WORD = re.compile(r"\S+")
 _CUT = re.compile(r"[.!?][ \t\r\f\v]+|\n+")
 
 
@@ -153,14 +160,31 @@ def grams(words: np.ndarray) -> np.ndarray:
         return g ^ (g >> np.uint64(29))
 
 
+def least_of(g: np.ndarray, window: int) -> np.ndarray:
+    """As ``winnow``; equals may all be named, which keeps its promise. Halves instead of views: long texts have many passages."""
+    if len(g) <= window:
+        return winnow(g, window)
+    low, span = g, 1
+    while span < window:
+        step = min(span, window - span)
+        low, span = np.minimum(low[:-step], low[step:]), span + step
+    pad = np.zeros(window - 1, dtype=g.dtype)  # the greatest of the least of all windows that hold a place is the place's own value
+    high, span = np.concatenate([pad, low, pad]), 1
+    while span < window:
+        step = min(span, window - span)
+        high, span = np.maximum(high[:-step], high[step:]), span + step
+    at = np.flatnonzero(high == g)
+    return at if len(at) * 6 < len(g) + 6 * window else winnow(g, window)
+
+
 def passages(lines: list[str], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and first words of the passages of ``MIN_WORDS`` words at each line's start and end, and all along longer lines."""
+    """Hashes and first words of the passages of ``MIN_WORDS`` words at each line's start and end, all along longer lines, and the least of every ``MIN_WORDS`` in a row."""
     if sum(counts) < MIN_WORDS:
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
     g = grams(hashes(" ".join(lines).split()).view(np.uint64))
     ends = np.cumsum(counts)
     along = [np.arange(e - n, e - MIN_WORDS, MIN_WORDS) for e, n in zip(ends.tolist(), counts, strict=True) if n > 2 * MIN_WORDS]
-    at = np.unique(np.concatenate([ends - counts, ends - MIN_WORDS, *along]))
+    at = np.unique(np.concatenate([ends - counts, ends - MIN_WORDS, *along, least_of(g, MIN_WORDS)]))
     at = at[(at >= 0) & (at < len(g))]
     return g[at].view(np.int64), at
 
@@ -267,16 +291,22 @@ def _covered(pairs: list[tuple[int, int]], n: int) -> np.ndarray:
     return np.cumsum(edge)[:-1] > 0
 
 
-def cut_runs(text: str, runs: list[tuple[int, int]], words: list[int], min_words: int) -> tuple[str, int, int]:
-    """Text without the runs of enough words; numbers of removed lines and words."""
+def cut_runs(text: str, runs: list[tuple[int, int]], words: list[int], min_words: int, whole_lines: bool = True) -> tuple[str, int, int]:
+    """Text without the runs of enough words, of whole lines or also of parts of them; numbers of removed (whole) lines and words."""
     if not runs and not words:
         return text, 0, 0
     starts, lines, counts = lines_of(text)
-    total = np.concatenate([[0], np.cumsum(counts)])
+    total, bounds = np.concatenate([[0], np.cumsum(counts)]), None
     mask = _covered([(low, high + 1) for low, high in runs], len(lines))
     if words:
-        seen = np.concatenate([[0], np.cumsum(_covered([(w, w + MIN_WORDS) for w in words], int(total[-1])))])
-        mask |= seen[total[1:]] - seen[total[:-1]] == counts
+        inside = _covered([(w, w + MIN_WORDS) for w in words], int(total[-1]))
+        if not whole_lines:
+            inside |= np.repeat(mask, counts)
+            starts = [m.start() for m in _WORD.finditer(text)]
+            bounds, mask, total = total, inside, np.arange(len(starts) + 1)
+        else:
+            seen = np.concatenate([[0], np.cumsum(inside)])
+            mask |= seen[total[1:]] - seen[total[:-1]] == counts
     edges = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]])))
     out, last, removed, gone = [], 0, 0, 0
     for a, b in zip(edges[0::2].tolist(), edges[1::2].tolist(), strict=True):
@@ -284,11 +314,12 @@ def cut_runs(text: str, runs: list[tuple[int, int]], words: list[int], min_words
             continue
         out.append(text[last : starts[a]])
         last = starts[b] if b < len(starts) else len(text)
-        removed, gone = removed + b - a, gone + int(total[b] - total[a])
+        whole = b - a if bounds is None else int(((bounds[:-1] >= a) & (bounds[1:] <= b)).sum())
+        removed, gone = removed + whole, gone + int(total[b] - total[a])
     return "".join([*out, text[last:]]), removed, gone
 
 
-def deduplicated(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
+def deduplicated(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS, whole_lines: bool = True) -> DataFrame:
     """All columns of ``docs`` with the shortened text, plus __removed and __words (lines and words cut out)."""
     names = docs.columns
     keyed = docs.select(*names, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("__doc"), F.xxhash64(F.col("text").cast("string")).alias("__version"))
@@ -302,7 +333,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WOR
             chars = b.column("n_chars").to_pylist() if has_chars else []
             told = []
             for i, (runs, at) in enumerate(zip(b.column("__runs").to_pylist(), b.column("__at").to_pylist(), strict=True)):
-                text, removed, words = cut_runs(texts[i] or "", [(r["low"], r["high"]) for r in runs or ()], at or [], min_words)
+                text, removed, words = cut_runs(texts[i] or "", [(r["low"], r["high"]) for r in runs or ()], at or [], min_words, whole_lines)
                 if removed:
                     texts[i] = text
                     if has_chars:
@@ -321,6 +352,6 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WOR
     return map_batches(joined, run, schema)
 
 
-def drop_repeats(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
+def drop_repeats(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS, whole_lines: bool = True) -> DataFrame:
     """``docs`` with later repeated runs cut out of ``text``; ``n_chars`` follows the text."""
-    return deduplicated(docs, window, min_words).select(*docs.columns)
+    return deduplicated(docs, window, min_words, whole_lines).select(*docs.columns)

@@ -43,7 +43,7 @@ def op6_suffix_automaton_decontamination(spark: SparkSession, sf_dir: str) -> Da
 
 def op7_winnowing_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: lines and words removed as later repeats, and checks of what stays."""
-    cut = line_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    cut = line_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), whole_lines=False)
     kept = F.coalesce("text", F.lit(""))
     return cut.select("doc_id", F.col("__removed").alias("removed_lines"), F.col("__words").alias("removed_words"), F.octet_length(kept).cast("long").alias("kept_bytes"), F.crc32(kept.cast("binary")).alias("kept_crc32"))
 

@@ -264,6 +264,29 @@ def test_repeated_passages_go_and_clean_documents_stay(spark):
     assert all(len(got[i].split()) >= 75 for i, _ in dirty)
 
 
+def test_passages_inside_sentences_go(spark):
+    rng = random.Random(15)
+    fresh = iter(range(10**6))
+    own = lambda n: " ".join(f"own{next(fresh)}" for _ in range(n))
+    rows, cases = [], []
+    for i in range(60):
+        words = [f"p{i}x{k}" for k in range(rng.randrange(51, 65))]
+        first = rng.randrange(10, 26)
+        for k in (first, first + rng.randrange(18, 25)):
+            words[k] += "."
+        passage = " ".join(words)
+        cases.append(words)
+        rows += [(2 * i, f"{own(9)} {passage} {own(9)}. {own(20)}"), (2 * i + 1, f"{own(30)}. {own(5)} {passage} {own(7)}")]
+    got = dict(corpus_pipeline.line_deduplication(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "").collect())
+    edge = line_dedup.MIN_WORDS - 1
+    for i, words in enumerate(cases):
+        assert got[2 * i] == rows[2 * i][1]
+        left = got[2 * i + 1].split()
+        assert not set(words[edge:-edge]) & set(left), i
+        assert len(set(words) - set(left)) >= line_dedup.MIN_WORDS
+        assert [w for w in left if w.startswith("own")] == [w for w in rows[2 * i + 1][1].split() if w.startswith("own")]
+
+
 # -- pipeline -------------------------------------------------------------------------------------
 
 
