@@ -188,7 +188,10 @@ def group_edges(rows: DataFrame, percent: int, spread: int, leaders_too: bool =
     """(of, rep, other): edges inside each group (``of``, ``deal``); with ``leaders_too`` rows of rep = other name the leaders.
 
     ``rows``: of, deal, rep, n_shingles, sketch. ``spread``: 2 joins what is
-    within twice the bound of a leader; 3 is for leaders of dealt groups.
+    within twice the bound of a leader; 3 is for leaders of dealt groups, of
+    which only equal sketches follow one another (what follows at a distance
+    would be compared with its leader alone). The bound is that of the largest
+    ``n_shingles``, or ``largest`` where the rows have it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,14 +199,14 @@ def group_edges(rows: DataFrame, percent: int, spread: int, leaders_too: bool =
 
         def flush() -> pa.RecordBatch:
             ids = np.array([h[0] for h in held])
-            most = 2 * max(h[1] for h in held) * (100 - percent) // (100 + percent)
-            edges, leaders = near_leaders(ids, folded([h[2] for h in held]), most, spread * most)
+            most = 2 * max(h[3] for h in held) * (100 - percent) // (100 + percent)
+            edges, leaders = near_leaders(ids, folded([h[2] for h in held]), most if spread == 2 else 0, spread * most)
             out = [(now[0], a, b) for a, b in edges if a != b] + [(now[0], held[i][0], held[i][0]) for i in leaders if leaders_too]
             cols = list(zip(*out, strict=True)) if out else [[]] * 3
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["of", "rep", "other"])
 
         for b in batches:
-            for of, deal, *item in zip(*(b.column(c).to_pylist() for c in ("of", "deal", "rep", "n_shingles", "sketch")), strict=True):
+            for of, deal, *item in zip(*(b.column(c).to_pylist() for c in ("of", "deal", "rep", "n_shingles", "sketch", "largest")), strict=True):
                 if (of, deal) != now:
                     if held:
                         yield flush()
@@ -212,6 +215,8 @@ def group_edges(rows: DataFrame, percent: int, spread: int, leaders_too: bool =
         if held:
             yield flush()
 
+    if "largest" not in rows.columns:
+        rows = rows.withColumn("largest", F.col("n_shingles"))
     ordered = rows.repartition("of", "deal").sortWithinPartitions("of", "deal", "n_shingles", "rep")
     return map_batches(ordered, run, "of long, rep long, other long")
 
@@ -237,6 +242,7 @@ def candidate_edges(reps: DataFrame, percent: int) -> tuple[DataFrame, DataFrame
         large = shared.filter(F.col("n") > KEY_SETS).select(F.col("key").alias("of"), deal.alias("deal"), "rep")
         first = materialize(group_edges(large.join(sketches, "rep"), percent, 2, True), "dealt")
         leaders = first.filter("rep = other").select("of", F.lit(0).cast("long").alias("deal"), "rep").join(sketches, "rep")
+        leaders = leaders.join(large.join(sketches, "rep").groupBy("of").agg(F.max("n_shingles").alias("largest")), "of")
         edges = edges.unionByName(first.filter("rep <> other").select("rep", "other")).unionByName(group_edges(leaders, percent, 3).select("rep", "other"))
     return met, edges.distinct()
 

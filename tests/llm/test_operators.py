@@ -309,6 +309,17 @@ def test_leaders_connect_all_near_sketches():
         assert (gap[:, leaders].min(axis=1) <= d).all()
 
 
+@pytest.mark.parametrize("size,largest,marks", [(90, 90, [0, 20, 80]), (45, 90, [0, 60])])
+def test_leaders_of_dealt_groups_meet(spark, size, largest, marks):
+    """Leaders three bounds apart are joined, though the first of them is near a third, and by the bound of the key's largest set."""
+    sketch = lambda n: np.packbits(np.arange(512) < n, bitorder="little").tobytes()
+    rows = [(1, 0, i, size, bytearray(sketch(n)), largest) for i, n in enumerate(marks)]
+    table = spark.createDataFrame(rows, "of long, deal long, rep long, n_shingles long, sketch binary, largest long")
+    edges = {(r.rep, r.other) for r in ngram_join.group_edges(table, 80, 3).collect()}
+    last = len(marks) - 1
+    assert edges & {(last - 1, last), (last, last - 1)}
+
+
 def test_keep_one(docs):
     kept = ngram_join.keep_one(docs)
     assert kept.columns == docs.columns
