@@ -12,7 +12,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,6 +93,21 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [v or b"" for v in batch.column(column).cast(pa.large_binary()).to_pylist()]
 
 
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of at most ``most`` bytes of text, or one row."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = before = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(size, before + most, "right")))
+        yield batch.slice(at, end - at)
+        at, before = end, int(size[end - 1])
+
+
+def by_position(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named c0, c1, ...: no name of a caller's column can meet one of an operator's own."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph: (node, root), root = least node id, for nodes that have an edge.
 

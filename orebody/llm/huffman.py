@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orebody.llm.common import map_batches, materialize
-from orebody.llm.tokens import default_vocabulary, encoder, slices
+from orebody.llm.common import map_batches, materialize, slices
+from orebody.llm.tokens import default_vocabulary, encoder
 
 MAX_BITS = 20
 INTERVAL = 256

@@ -1,357 +1,270 @@
-"""Removal of repeated runs of lines by winnowing over line hashes.
-
-A line here is a line of the text or a sentence of it; a sentence of more than
-``LONG_LINE`` words is cut after words whose hash asks for it, so the cuts
-depend on the words alone and not on where a passage stands. Lines of fewer
-than ``MIN_LINE_WORDS`` words belong to the line before them.
-
-Of every ``window`` consecutive line hashes the least (rightmost of equals) is
-a fingerprint, so two runs of ``window`` or more equal lines share one.
-Fingerprint positions are joined with the first place, by (doc_id, line), that
-has the fingerprint; a match is extended both ways while lines stay equal. As
-neighbouring fingerprints of a run are at most ``window`` lines apart, an
-extension by ``window`` lines to each side reaches the next one: the union of
-the extended matches is the whole run. Runs of at least ``min_words`` words
-that repeat an earlier place are cut out, the first place stays.
-
-A fingerprint's first place may have other lines around it than the run, so
-passages of ``MIN_WORDS`` words at the start and the end of every line (and all
-along a longer line) are joined with their own first places, too. They cover
-every run of whole lines that has ``MIN_WORDS`` words and an earlier copy.
-
-A passage may begin and end inside lines. Of every ``MIN_WORDS`` passages that
-start at consecutive words the least is a key as well, so a repeat of
-2 * ``MIN_WORDS`` - 1 words or more shares one wherever it stands. Without
-``whole_lines`` what is covered is cut by words; of a repeat's partial first and
-last line up to ``MIN_WORDS`` - 1 words may stay.
-
-Defined results: null and empty texts have no lines and stay as they are; rows
-of equal doc_id and text are one document (each is kept, neither repeats the
-other); null doc_ids come first; a text that wholly repeats earlier ones
-becomes empty and its row stays; an empty table gives no rows. A place inside
-the same document counts as earlier too.
+"""Removal of repeated runs of words by winnowing over line hashes.
+
+Line breaks and sentence ends move between copies, so texts are re-flowed: a
+line is any ``LINE_WORDS`` consecutive words. A run counts as repeated when it
+has at least ``min_words`` words; the result is exact: a word goes if and only
+if it lies in a run of ``min_words`` words that also stands at an earlier place
+(of a document with less (doc_id, version), or at least ``min_words`` words
+before in the same one). The first place of a run always stays.
+
+1. Winnowing. Of the ``min_words - LINE_WORDS + 1`` line hashes inside each run
+   of ``min_words`` words the least is its fingerprint, so two equal runs have
+   the same one. Consecutive runs with one fingerprint form a stretch; each
+   stretch is a row with its place and a hash of all its words.
+2. Positions are joined: only fingerprints that two stretches have go on, and of
+   these the first place of each whole stretch is found. A stretch that stands
+   at an earlier place is covered; this settles nearly all text of copies.
+3. Extension. The remaining stretches share a fingerprint but not all words
+   around it. A match is extended to both sides by comparing every run of
+   ``min_words`` words through the fingerprint with that run's own first place,
+   whichever document holds it; the union of the equal ones is the whole match.
+   A run's first place always lies in a stretch that is the first of its kind,
+   so nothing is missed by leaving covered stretches out here.
+4. What is covered is cut out, from the first word of it to the next word that
+   stays.
+
+Words are what stands between ASCII white space, A-Z in lower case. Defined
+results: null and empty texts have no words and stay as they are; rows of equal
+doc_id and text are one document (each is kept, neither repeats the other);
+null doc_ids come first; a text that wholly repeats earlier ones becomes empty
+and its row stays; texts shorter than ``min_words`` words never change; an
+empty table gives no rows; all columns of ``docs`` are kept whatever their
+names, and ``n_chars`` follows the text if there is one.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from orebody.llm.common import discard, map_batches, materialize
-
-WINDOW = 3
-MIN_WORDS = 24
-MIN_LINE_WORDS = 4
-LONG_LINE = 24
-#: Most fingerprints with two places or more that are sent to every task; above it they are joined instead.
-BROADCAST_PRINTS = 2_000_000
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BACK = np.uint64(pow(int(_BASE), -1, 2**64))
-_WORD = re.compile(r"\S+")
-_CUT = re.compile(r"[.!?][ \t\r\f\v]+|\n+")
-
-
-def lines_of(text: str) -> tuple[list[int], list[str], list[int]]:
-    """Start offsets, normalised lines and their numbers of words."""
-    starts, lines, counts = [], [], []
-    low = text.lower()
-    same = len(low) == len(text)  # a letter whose lower case is longer moves the offsets
-    at = 0
-    cuts = [(m.start() + (text[m.start()] != "\n"), m.end()) for m in _CUT.finditer(text)]
-    for a, b in [*cuts, (len(text), len(text))]:
-        line = low[at:a] if same else text[at:a].lower()
-        if not line.isprintable() or "  " in line or line[:1] == " " or line[-1:] == " ":
-            line = " ".join(line.split())
-        if line:
-            n = line.count(" ") + 1
-            if n > LONG_LINE and len(line) == a - at:
-                _cut_words(line, at, starts, lines, counts)
-            elif n > LONG_LINE:
-                _long(text, at, a, starts, lines, counts)
-            elif n < MIN_LINE_WORDS and lines:
-                lines[-1] += "\n" + line
-                counts[-1] += n
-            else:
-                starts.append(at)
-                lines.append(line)
-                counts.append(n)
-        at = b
-    return starts, lines, counts
-
-
-_ENDS: dict[str, bool] = {}
-
-
-def _ends_line(word: str) -> bool:
-    """Whether a line may be cut after this word; remembered for words seen before."""
-    known = _ENDS.get(word)
-    if known is None:
-        if len(_ENDS) > 200_000:
-            _ENDS.clear()
-        known = _ENDS[word] = xxhash.xxh32_intdigest(word) % 8 == 0
-    return known
-
-
-def _cut_words(line: str, begin: int, starts: list[int], lines: list[str], counts: list[int]) -> None:
-    """Cut a line whose words stand between single spaces."""
-    words = line.split(" ")
-    first = pos = at = 0
-    for k, word in enumerate(words, 1):
-        pos += len(word) + 1
-        if k - first >= MIN_LINE_WORDS and _ends_line(word):
-            starts.append(begin + at)
-            lines.append(line[at : pos - 1])
-            counts.append(k - first)
-            first, at = k, pos
-    if first < len(words):
-        starts.append(begin + at)
-        lines.append(line[at:])
-        counts.append(len(words) - first)
-
-
-def _long(text: str, begin: int, end: int, starts: list[int], lines: list[str], counts: list[int]) -> None:
-    run: list[str] = []
-    at = begin
-    for m in re.compile(r"\S+").finditer(text, begin, end):
-        if not run:
-            at = m.start()
-        run.append(m[0].lower())
-        if len(run) >= MIN_LINE_WORDS and _ends_line(run[-1]):
-            starts.append(at)
-            lines.append(" ".join(run))
-            counts.append(len(run))
-            run = []
-    if run:
-        starts.append(at)
-        lines.append(" ".join(run))
-        counts.append(len(run))
-
-
-def hashes(lines: list[str]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, lines), dtype=np.uint64, count=len(lines)).view(np.int64)
-
-
-def winnow(h: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Places of the window minima; a text shorter than a window has its own minimum."""
-    n = len(h)
-    if n <= window:
-        return np.array([n - 1 - int(np.argmin(h[::-1]))]) if n else np.empty(0, dtype=np.int64)
-    views = np.lib.stride_tricks.sliding_window_view(h, window)[:, ::-1]
-    return np.unique(np.arange(len(views)) + window - 1 - np.argmin(views, axis=1))
-
-
-def grams(words: np.ndarray) -> np.ndarray:
-    """Hashes of all passages of ``MIN_WORDS`` words, from the words' hashes."""
-    n = len(words)
-    if n < MIN_WORDS:
-        return np.empty(0, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        up = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n - 1, _BASE)]))
-        down = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n - MIN_WORDS, _BACK)]))
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(words * up, dtype=np.uint64)])
-        g = (sums[MIN_WORDS:] - sums[:-MIN_WORDS]) * down
-        g = (g ^ (g >> np.uint64(31))) * _BASE
-        return g ^ (g >> np.uint64(29))
-
-
-def least_of(g: np.ndarray, window: int) -> np.ndarray:
-    """As ``winnow``; equals may all be named, which keeps its promise. Halves instead of views: long texts have many passages."""
-    if len(g) <= window:
-        return winnow(g, window)
-    low, span = g, 1
+from pyspark.sql import types as T
+
+from orebody.llm.common import by_position, discard, map_batches, materialize, slices
+
+LINE_WORDS = 8
+MIN_WORDS = 32
+#: Most bytes of fingerprints with two places or more that are sent to every task; above it they are joined instead.
+BROADCAST_BYTES = 16 << 20
+#: Words longer than this are hashed one by one.
+LONG_WORD = 256
+NULL_DOC = -(2**63)
+_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_SPACE = np.array([c in b" \t\n\v\f\r" for c in range(256)])
+_LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _B
+    x ^= x >> np.uint64(27)
+    x *= _C
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def word_places(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of a text."""
+    space = np.ones(len(raw) + 2, dtype=bool)
+    space[1:-1] = _SPACE[np.frombuffer(raw, np.uint8)]
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    return edges[0::2], edges[1::2]
+
+
+def word_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word from its bytes, eight at a time over all words at once."""
+    size = ends - starts
+    padded = raw + bytes(8)
+    eights = np.ndarray(len(raw) + 1, dtype="<u8", buffer=padded, strides=(1,))
+    h = _mix((eights[starts] & _LOW_BYTES[np.minimum(size, 8)]) + size.astype(np.uint64) * _A)
+    at, done = np.flatnonzero((size > 8) & (size <= LONG_WORD)), 8
+    while len(at):
+        h[at] = _mix((h[at] * _A) ^ (eights[starts[at] + done] & _LOW_BYTES[np.minimum(size[at] - done, 8)]))
+        done += 8
+        at = at[size[at] > done]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]])
+    return h
+
+
+def run_hashes(words: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of every ``length`` consecutive words; wider runs come from two that overlap."""
+    h, span = words, 1
+    while span < length:
+        step = min(span, length - span)
+        h, span = _mix(h[:-step] * _A + h[step:] * _C + np.uint64(span + step)), span + step
+    return h
+
+
+def window_minima(h: np.ndarray, window: int) -> np.ndarray:
+    """The least of every ``window`` consecutive hashes."""
+    span = 1
     while span < window:
         step = min(span, window - span)
-        low, span = np.minimum(low[:-step], low[step:]), span + step
-    pad = np.zeros(window - 1, dtype=g.dtype)  # the greatest of the least of all windows that hold a place is the place's own value
-    high, span = np.concatenate([pad, low, pad]), 1
-    while span < window:
-        step = min(span, window - span)
-        high, span = np.maximum(high[:-step], high[step:]), span + step
-    at = np.flatnonzero(high == g)
-    return at if len(at) * 6 < len(g) + 6 * window else winnow(g, window)
+        h, span = np.minimum(h[:-step], h[step:]), span + step
+    return h
+
+
+def stretches(texts: list[bytes], min_words: int = MIN_WORDS) -> tuple[np.ndarray, ...]:
+    """(fingerprint, hash of all words, text, first run, number of further runs) of every stretch of the texts."""
+    empty = np.empty(0, dtype=np.int64)
+    raw = b"\n".join(texts).lower()
+    starts, ends = word_places(raw)
+    if len(starts) < min_words:
+        return (empty,) * 5
+    borders = np.cumsum([len(t) + 1 for t in texts])
+    until = np.searchsorted(starts, borders)  # the words before each text's end
+    with np.errstate(over="ignore"):
+        words = word_hashes(raw, starts, ends)
+        lines = run_hashes(words, min(LINE_WORDS, min_words))
+        runs = run_hashes(words, min_words)
+        least = window_minima(lines, max(1, min_words - LINE_WORDS + 1))
+        stop = np.repeat(until, np.diff(np.concatenate([[0], until])))[: len(runs)]
+        inside = np.flatnonzero(np.arange(len(runs)) + min_words <= stop)  # runs within one text
+        if not len(inside):
+            return (empty,) * 5
+        key = least[inside]
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (np.diff(inside) != 1)])
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(inside)))
+        window = max(1, min_words - LINE_WORDS + 1)
+        pieces = -(-size // window)  # only of repetitive text; pieces of a stretch may repeat each other
+        nth = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        begin = np.repeat(first, pieces) + nth * window
+        more = np.minimum(np.repeat(first + size, pieces) - begin, window) - 1
+        at = inside[begin]
+        whole = _mix(runs[at] * _A + runs[at + more] * _C + more.astype(np.uint64))
+    text = np.searchsorted(until, at, "right")
+    return key[begin].view(np.int64), whole.view(np.int64), text, at - np.concatenate([[0], until[:-1]])[text], more
+
+
+def fingerprints(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(print, whole, doc, version, place, more): one row per stretch of each row of ``docs`` (doc, version, text)."""
+    names = ["print", "whole", "doc", "version", "place", "more"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, "text", 1 << 20):
+                key, all_words, text, place, more = stretches(raw_texts(b.column("text")), min_words)
+                doc, version = (b.column(c).to_numpy()[text] for c in ("doc", "version"))
+                cols = [pa.array(x, pa.int64()) for x in (key, all_words, doc, version)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(place, pa.int32()), pa.array(more, pa.int32())], names)
+
+    return map_batches(docs, run, "print long, whole long, doc long, version long, place int, more int")
 
-def passages(lines: list[str], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and first words of the passages of ``MIN_WORDS`` words at each line's start and end, all along longer lines, and the least of every ``MIN_WORDS`` in a row."""
-    if sum(counts) < MIN_WORDS:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    g = grams(hashes(" ".join(lines).split()).view(np.uint64))
-    ends = np.cumsum(counts)
-    along = [np.arange(e - n, e - MIN_WORDS, MIN_WORDS) for e, n in zip(ends.tolist(), counts, strict=True) if n > 2 * MIN_WORDS]
-    at = np.unique(np.concatenate([ends - counts, ends - MIN_WORDS, *along, least_of(g, MIN_WORDS)]))
-    at = at[(at >= 0) & (at < len(g))]
-    return g[at].view(np.int64), at
 
+def raw_texts(column: pa.Array) -> list[bytes]:
+    return [v or b"" for v in column.cast(pa.large_binary()).to_pylist()]
 
-def fingerprints(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(print, doc, version, place, near): near holds the hashes of the lines up to ``window`` away.
 
-    Rows without near are passages; their place is that of a word.
-    """
+def open_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(run, doc, version, place): every run of the stretches named by ``open`` (place, more) in ``docs`` (doc, version, text, open)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for s in range(0, whole.num_rows, 256):
-                b = whole.slice(s, 256)
-                out, more = [[], [], [], []], [[], [], [], []]
-                near, sizes = [], []
-                for doc, version, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "version", "text")), strict=True):
-                    _, lines, counts = lines_of(text or "")
-                    h = hashes(lines)
-                    places = winnow(h, window)
-                    for cols, keys, at in ((out, h[places], places), (more, *passages(lines, counts))):
-                        cols[0].append(keys)
-                        cols[1].append(np.full(len(at), -(2**63) if doc is None else doc))
-                        cols[2].append(np.full(len(at), version))
-                        cols[3].append(at)
-                    wide = np.concatenate([np.zeros(window, np.int64), h, np.zeros(window, np.int64)])
-                    if len(places):
-                        near.append(np.lib.stride_tricks.sliding_window_view(wide, 2 * window + 1)[places].reshape(-1))
-                    sizes.append(len(places))
-                total = sum(sizes)
-                flat = pa.array(np.concatenate(near) if near else np.empty(0, np.int64), pa.int64())
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(total + 1) * (2 * window + 1), pa.int32()), flat)
-                cols = [pa.array(np.concatenate(c).astype(np.int64) if c else [], pa.int64()) for c in out]
-                yield pa.RecordBatch.from_arrays([*cols, lists], names)
-                cols = [pa.array(np.concatenate(c).astype(np.int64) if c else [], pa.int64()) for c in more]
-                yield pa.RecordBatch.from_arrays([*cols, pa.nulls(len(cols[0]), pa.list_(pa.int64()))], names)
-
-    names = ["print", "doc", "version", "place", "near"]
-    return map_batches(docs, run, "print long, doc long, version long, place long, near array<long>")
-
-
-def _extent(mine: str, first: str, window: int, back: bool):
-    """Number of equal lines on one side of a match; 0 marks the outside of a text and equals nothing."""
-    side = list(range(window - 1, -1, -1)) if back else list(range(window + 1, 2 * window + 1))
-    run, far = F.lit(0), F.lit(True)
-    for i in side:
-        far = far & (F.col(mine)[i] == F.col(first)[i]) & (F.col(mine)[i] != 0)
-        run = run + F.when(far, 1).otherwise(0)
-    return run
-
-
-def _few(prints: DataFrame, firsts: DataFrame) -> DataFrame:
-    """Only the rows that have a partner, while the partners' keys are few enough to be sent."""
-    if firsts.limit(BROADCAST_PRINTS + 1).count() <= BROADCAST_PRINTS:
-        return prints.join(F.broadcast(firsts.select("print")), "print", "left_semi")
-    return prints
-
-
-def repeats(prints: DataFrame, firsts: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc, version, low, high): runs of lines, inclusive, that match a place before them; runs may overlap."""
-    both = _few(prints, firsts).hint("merge").join(firsts, "print").filter(F.struct("doc", "version", "place") > F.struct("first.doc", "first.version", "first.place"))
-    both = both.withColumn("theirs", F.col("first.near"))
-    low = F.col("place") - _extent("near", "theirs", window, True)
-    high = F.col("place") + _extent("near", "theirs", window, False)
-    return both.select("doc", "version", low.alias("low"), high.alias("high")).distinct()
-
-
-def repeated_passages(prints: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(doc, version, word): passages that stand, without overlap, at a place before them too."""
-    both = _few(prints, firsts).hint("merge").join(firsts, "print").filter(F.struct("doc", "version", "place") > F.struct("first.doc", "first.version", "first.place"))
-    apart = (F.col("doc") != F.col("first.doc")) | (F.col("version") != F.col("first.version")) | (F.col("place") >= F.col("first.place") + MIN_WORDS)
-    return both.filter(apart).select("doc", "version", F.col("place").alias("word"))
-
-
-def _with_version(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("version", F.xxhash64("text"))
-
-
-def _firsts(prints: DataFrame, *columns: str) -> DataFrame:
-    """(print, first): the first place of each print that has two places or more."""
-    return materialize(prints.select("print", F.struct(*columns).alias("at")).groupBy("print").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1").select("print", "first"), "prints")
-
-
-def removal_plan(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc, version, runs, words): per document the runs of lines, and the first words of the passages, that repeat earlier places; at most one row per document."""
-    prints = materialize(fingerprints(_with_version(docs), window), "lines")
-    lines, passages_ = prints.filter("near is not null"), prints.filter("near is null").drop("near")
-    firsts, others = _firsts(lines, "doc", "version", "place", "near"), _firsts(passages_, "doc", "version", "place")
-    run = F.struct("low", "high")
-    found = repeats(lines, firsts, window).select("doc", "version", run.alias("run"), F.lit(None).cast("long").alias("word"))
-    found = found.unionByName(repeated_passages(passages_, others).select("doc", "version", F.lit(None).cast("struct<low:long,high:long>").alias("run"), "word"))
-    plan = materialize(found.groupBy("doc", "version").agg(F.sort_array(F.collect_list("run")).alias("runs"), F.sort_array(F.collect_list("word")).alias("words")), "plan")
-    discard(prints, firsts, others)
+        for b in batches:
+            for doc, version, raw, wanted in zip(b.column("doc").to_pylist(), b.column("version").to_pylist(), raw_texts(b.column("text")), b.column("open").to_pylist(), strict=True):
+                raw = raw.lower()
+                with np.errstate(over="ignore"):
+                    hashes = run_hashes(word_hashes(raw, *word_places(raw)), min_words)
+                at = np.unique(np.concatenate([np.arange(w["place"], w["place"] + w["more"] + 1) for w in wanted]))
+                cols = [pa.array(x, pa.int64()) for x in (hashes[at].view(np.int64), np.full(len(at), doc), np.full(len(at), version))]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(at, pa.int32())], ["run", "doc", "version", "place"])
+
+    return map_batches(docs, run, "run long, doc long, version long, place int")
+
+
+def with_firsts(places: DataFrame, key: str) -> DataFrame:
+    """``places`` whose ``key`` stands at two places or more, with the first of them as ``first``."""
+    at = F.struct("doc", "version", "place")
+    firsts = places.groupBy(key).agg(F.min(at).alias("first"), F.max(at).alias("last")).filter("first < last").select(key, "first")
+    return places.hint("merge").join(firsts, key)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc, version, text): a null doc_id is the least number, the version tells texts of one doc_id apart."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_DOC)).alias("doc"), F.xxhash64(F.col("text").cast("string")).alias("version"), F.col("text").cast("string").alias("text"))
+
+
+def removal_plan(docs: DataFrame, min_words: int = MIN_WORDS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(doc, version, spans): per document with repeats, the (first word, end) of what is covered; spans may overlap. ``docs``: (doc, version, text)."""
+    apart = (F.col("doc") != F.col("first.doc")) | (F.col("version") != F.col("first.version")) | (F.col("place") >= F.col("first.place") + min_words)
+    span = F.struct(F.col("place").alias("low"), (F.col("place") + F.col("more") + min_words).alias("high"))
+    prints = materialize(fingerprints(docs.filter(F.col("text").isNotNull()), min_words), "stretches")
+    shared = materialize(prints.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1").select("print"), "shared")
+    most = broadcast_bytes // 8
+    known = F.broadcast(shared) if shared.limit(most + 1).count() <= most else shared.hint("merge")
+    met = materialize(prints.join(known, "print", "left_semi").drop("print"), "met")
+    discard(prints, shared)
+    # a stretch that stands once has no first; it is open like the first one of its kind
+    at = F.struct("doc", "version", "place")
+    firsts = met.groupBy("whole").agg(F.min(at).alias("first"))
+    told = met.hint("merge").join(firsts, "whole")
+    groups = told.groupBy("doc", "version").agg(F.collect_set(F.when(apart, span)).alias("covered"), F.collect_set(F.when(~apart, F.struct("place", "more"))).alias("open"))
+    groups = materialize(groups, "groups")
+    opened = docs.join(groups.filter(F.size("open") > 0).select("doc", "version", "open"), ["doc", "version"])
+    runs = materialize(open_runs(opened, min_words), "runs")
+    extended = with_firsts(runs, "run").filter(apart).withColumn("more", F.lit(0)).groupBy("doc", "version").agg(F.collect_set(span).alias("extended"))
+    none = F.array().cast("array<struct<low:int,high:int>>")
+    both = groups.select("doc", "version", "covered").join(extended, ["doc", "version"], "left")
+    spans = F.concat("covered", F.coalesce("extended", none))
+    plan = materialize(both.select("doc", "version", spans.alias("spans")).filter(F.size("spans") > 0), "plan")
+    discard(met, groups, runs)
     return plan
 
 
-def _covered(pairs: list[tuple[int, int]], n: int) -> np.ndarray:
-    """Mask of what lies in a pair, from its first to before its second."""
-    edge = np.zeros(n + 1, dtype=np.int64)
-    if pairs:
-        low, high = np.array(pairs).T
-        np.add.at(edge, low, 1)
-        np.add.at(edge, high, -1)
-    return np.cumsum(edge)[:-1] > 0
-
-
-def cut_runs(text: str, runs: list[tuple[int, int]], words: list[int], min_words: int, whole_lines: bool = True) -> tuple[str, int, int]:
-    """Text without the runs of enough words, of whole lines or also of parts of them; numbers of removed (whole) lines and words."""
-    if not runs and not words:
-        return text, 0, 0
-    starts, lines, counts = lines_of(text)
-    total, bounds = np.concatenate([[0], np.cumsum(counts)]), None
-    mask = _covered([(low, high + 1) for low, high in runs], len(lines))
-    if words:
-        inside = _covered([(w, w + MIN_WORDS) for w in words], int(total[-1]))
-        if not whole_lines:
-            inside |= np.repeat(mask, counts)
-            starts = [m.start() for m in _WORD.finditer(text)]
-            bounds, mask, total = total, inside, np.arange(len(starts) + 1)
-        else:
-            seen = np.concatenate([[0], np.cumsum(inside)])
-            mask |= seen[total[1:]] - seen[total[:-1]] == counts
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]])))
-    out, last, removed, gone = [], 0, 0, 0
-    for a, b in zip(edges[0::2].tolist(), edges[1::2].tolist(), strict=True):
-        if total[b] - total[a] < min_words:
-            continue
-        out.append(text[last : starts[a]])
-        last = starts[b] if b < len(starts) else len(text)
-        whole = b - a if bounds is None else int(((bounds[:-1] >= a) & (bounds[1:] <= b)).sum())
-        removed, gone = removed + whole, gone + int(total[b] - total[a])
-    return "".join([*out, text[last:]]), removed, gone
-
-
-def deduplicated(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS, whole_lines: bool = True) -> DataFrame:
-    """All columns of ``docs`` with the shortened text, plus __removed and __words (lines and words cut out)."""
+def cut_spans(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
+    """The text without the words in ``spans``; numbers of runs and words that went."""
+    starts, _ = word_places(raw)
+    edge = np.zeros(len(starts) + 1, dtype=np.int64)
+    low, high = np.array(spans).reshape(-1, 2).T
+    np.add.at(edge, low, 1)
+    np.add.at(edge, high, -1)
+    gone = np.cumsum(edge)[:-1] > 0
+    borders = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]])))
+    out, last = [], 0
+    for a, b in zip(borders[0::2].tolist(), borders[1::2].tolist(), strict=True):
+        out.append(raw[last : starts[a]])
+        last = int(starts[b]) if b < len(starts) else len(raw)
+    words = int(gone.sum())
+    return b"" if words == len(starts) else b"".join([*out, raw[last:]]), len(borders) // 2, words
+
+
+def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, told: tuple[str, str] | None = ("removed_runs", "removed_words"), broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """All columns of ``docs`` with the shortened text and, under the names of ``told``, the numbers of runs and words cut out."""
     names = docs.columns
-    keyed = docs.select(*names, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("__doc"), F.xxhash64(F.col("text").cast("string")).alias("__version"))
-    plan = removal_plan(docs, window).select(F.col("doc").alias("__d"), F.col("version").alias("__v"), F.col("runs").alias("__runs"), F.col("words").alias("__at"))
-    joined = keyed.join(plan, (F.col("__doc") == F.col("__d")) & (F.col("__version") == F.col("__v")), "left").select(*names, "__runs", "__at")
-    has_chars = "n_chars" in names
+    plain = by_position(docs)
+    places = plain.columns
+    text, chars = (places[names.index(c)] if c in names else None for c in ("text", "n_chars"))
+    keys = keyed(docs.select("doc_id", "text"))
+    plan = removal_plan(keys, min_words, broadcast_bytes)
+    own = plain.withColumns({"doc": F.coalesce(F.col(places[names.index("doc_id")]).cast("long"), F.lit(NULL_DOC)), "version": F.xxhash64(F.col(text).cast("string"))})
+    joined = own.join(plan, ["doc", "version"], "left").select(*places, "spans")
+    schema = T.StructType([*plain.schema.fields, T.StructField("runs", T.LongType()), T.StructField("words", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column("text").to_pylist()
-            chars = b.column("n_chars").to_pylist() if has_chars else []
-            told = []
-            for i, (runs, at) in enumerate(zip(b.column("__runs").to_pylist(), b.column("__at").to_pylist(), strict=True)):
-                text, removed, words = cut_runs(texts[i] or "", [(r["low"], r["high"]) for r in runs or ()], at or [], min_words, whole_lines)
-                if removed:
-                    texts[i] = text
-                    if has_chars:
-                        chars[i] = len(text)
-                told.append((removed, words))
-            cols = []
-            for c in names:
-                kind = b.schema.field(c).type
-                cols.append(pa.array(texts, pa.string()) if c == "text" else pa.array(chars, kind) if c == "n_chars" else b.column(c))
-            cols += [pa.array([t[k] for t in told], pa.int64()) for k in range(2)]
-            yield pa.RecordBatch.from_arrays(cols, [*names, "__removed", "__words"])
-
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in ("__removed", "__words"))])
-    return map_batches(joined, run, schema)
-
-
-def drop_repeats(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS, whole_lines: bool = True) -> DataFrame:
+            spans = b.column("spans")
+            cols = {c: b.column(c) for c in places}
+            cut_runs, cut_words = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
+            at = np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False))
+            if len(at):
+                done = [cut_spans(raw, [(s["low"], s["high"]) for s in own]) for raw, own in zip(raw_texts(cols[text].take(pa.array(at))), spans.take(pa.array(at)).to_pylist(), strict=True)]
+                cut_runs[at], cut_words[at] = [d[1] for d in done], [d[2] for d in done]
+                mask = np.zeros(b.num_rows, dtype=bool)
+                mask[at] = True
+                short = pa.array([d[0].decode() for d in done], cols[text].type)
+                cols[text] = pc.replace_with_mask(cols[text], pa.array(mask), short)
+                if chars:
+                    cols[chars] = pc.replace_with_mask(cols[chars], pa.array(mask), pc.utf8_length(short).cast(cols[chars].type))
+            yield pa.RecordBatch.from_arrays([*cols.values(), pa.array(cut_runs), pa.array(cut_words)], [*places, "runs", "words"])
+
+    out = map_batches(joined, run, schema)
+    return out.toDF(*names, *told) if told else out.select(*places).toDF(*names)
+
+
+def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with later repeated runs cut out of ``text``; ``n_chars`` follows the text."""
-    return deduplicated(docs, window, min_words, whole_lines).select(*docs.columns)
+    return deduplicated(docs, min_words, None)

@@ -26,6 +26,18 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(n) AS BIGINT) AS formatted_chars
 FROM e GROUP BY 1"""
 
+LINES = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') AS parts FROM documents),
+ r AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 31], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 30)) AS i FROM d WHERE len(w) >= 32)),
+ f AS (SELECT *, first_value(doc_id) OVER o AS fd, first_value(i) OVER o AS fi FROM r WINDOW o AS (PARTITION BY k ORDER BY doc_id, i)),
+ hit AS (SELECT doc_id, i FROM f WHERE doc_id <> fd OR i >= fi + 32),
+ p AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(parts) AS part FROM d),
+ c AS (SELECT p.*, coalesce(max(hit.i) OVER (PARTITION BY p.doc_id ORDER BY p.i) > p.i - 32, false) AS gone FROM p LEFT JOIN hit ON hit.doc_id = p.doc_id AND hit.i = p.i),
+ e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM c),
+ k AS (SELECT doc_id, count(*) FILTER (gone) AS words, count(*) FILTER (begins) AS runs, string_agg(part, '' ORDER BY i) FILTER (NOT gone) AS rest FROM e GROUP BY 1),
+ t AS (SELECT doc_id, coalesce(words, 0) AS words, coalesce(runs, 0) AS runs, CASE WHEN coalesce(words, 0) = 0 THEN text WHEN rest IS NULL THEN '' ELSE regexp_extract(text, '^[\x20\x09-\x0D]*') || rest END AS kept FROM d LEFT JOIN k USING (doc_id))
+SELECT doc_id, runs AS removed_runs, words AS removed_words, CAST(octet_length(encode(kept)) AS BIGINT) AS kept_bytes, sha256(kept) AS kept_sha256 FROM t"""
+
 JOIN = rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
  s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 2], ' ') END AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 2) + 1)) AS i FROM w WHERE len(w) > 0)),

@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orebody.llm.common import map_batches
-from orebody.llm.tokens import default_vocabulary, encoder, ending_ids, slices
+from orebody.llm.common import map_batches, slices
+from orebody.llm.tokens import default_vocabulary, encoder, ending_ids
 
 WINDOW = 4096
 SENTENCE_PENALTY = 4

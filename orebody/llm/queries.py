@@ -42,10 +42,10 @@ def op6_suffix_automaton_decontamination(spark: SparkSession, sf_dir: str) -> Da
 
 
 def op7_winnowing_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: lines and words removed as later repeats, and checks of what stays."""
-    cut = line_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), whole_lines=False)
+    """Per document: runs and words removed as later repeats, and checks of what stays."""
+    cut = line_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
     kept = F.coalesce("text", F.lit(""))
-    return cut.select("doc_id", F.col("__removed").alias("removed_lines"), F.col("__words").alias("removed_words"), F.octet_length(kept).cast("long").alias("kept_bytes"), F.crc32(kept.cast("binary")).alias("kept_crc32"))
+    return cut.select("doc_id", "removed_runs", "removed_words", F.octet_length(kept).cast("long").alias("kept_bytes"), F.sha2(kept, 256).alias("kept_sha256"))
 
 
 def op8_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,4 +71,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_toxic_span_crf, op2_co_training_quality, op3_order_preserving_packing, op4_huffman_token_files, op5_external_shuffle, op6_suffix_automaton_decontamination, op7_winnowing_line_dedup, op8_telephony_audio, op9_chat_state_machine, op10_t_occurrence_join, pipeline)}
 
-ORACLES = {"op6_suffix_automaton_decontamination": oracles.DECONTAMINATION, "op9_chat_state_machine": oracles.CHAT, "op10_t_occurrence_join": oracles.JOIN}
+ORACLES = {"op6_suffix_automaton_decontamination": oracles.DECONTAMINATION, "op7_winnowing_line_dedup": oracles.LINES, "op9_chat_state_machine": oracles.CHAT, "op10_t_occurrence_join": oracles.JOIN}

@@ -19,7 +19,6 @@ from __future__ import annotations
 import json
 import os
 from array import array
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -141,16 +140,6 @@ class TextEncoder:
         return out
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most: int = 6 << 20) -> Iterator[pa.RecordBatch]:
-    """Runs of rows of at most ``most`` bytes of text, or one row."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = before = 0
-    while at < batch.num_rows:
-        end = max(at + 1, int(np.searchsorted(size, before + most, "right")))
-        yield batch.slice(at, end - at)
-        at, before = end, int(size[end - 1])
-
-
 _ENCODERS: dict[str, TextEncoder] = {}
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from orebody.llm import line_dedup, linear, ngram_join, packing, quality, toxicity
+from orebody.llm import linear, ngram_join, packing, quality, toxicity
 from tests.llm.fixtures import SCHEMA, documents
 from tests.llm.test_operators import brute_components
 
@@ -145,148 +145,6 @@ def test_logistic_regression_meets_its_gradient():
     assert np.abs(g).max() < 1e-4
 
 
-# -- line dedup -----------------------------------------------------------------------------------
-
-
-def naive_dedup(rows, window, min_words):
-    """Dictionary version over (doc_id, text) rows in order."""
-    first, marks = {}, {}
-    docs = sorted({(-(2**63) if i is None else i, t or "") for i, t in rows}, key=lambda r: r[0])
-    lines = {d: line_dedup.lines_of(d[1])[1] for d in docs}
-
-    def prints(l):
-        h = line_dedup.hashes(l).tolist()
-        if len(h) <= window:
-            return [max(k for k in range(len(h)) if h[k] == min(h))] if h else []
-        out = set()
-        for a in range(len(h) - window + 1):
-            low = min(h[a : a + window])
-            out.add(max(k for k in range(a, a + window) if h[k] == low))
-        return sorted(out)
-
-    for d in docs:
-        for p in prints(lines[d]):
-            first.setdefault(lines[d][p], (d, p))
-    for d in docs:
-        hit = set()
-        for p in prints(lines[d]):
-            e, q = first[lines[d][p]]
-            if (e, q) == (d, p):
-                continue
-            hit.add(p)
-            for step in (-1, 1):
-                for k in range(1, window + 1):
-                    a, b = p + step * k, q + step * k
-                    if not (0 <= a < len(lines[d]) and 0 <= b < len(lines[e]) and lines[d][a] == lines[e][b]):
-                        break
-                    hit.add(a)
-        marks[d] = hit
-    out = {}
-    for d in docs:
-        starts, _, counts = line_dedup.lines_of(d[1])
-        text, last, k = [], 0, 0
-        while k < len(starts):
-            end = k
-            while end < len(starts) and end in marks[d]:
-                end += 1
-            if end > k and sum(counts[k:end]) >= min_words:
-                text.append(d[1][last : starts[k]])
-                last = starts[end] if end < len(starts) else len(d[1])
-            k = max(end, k + 1)
-        out[d] = "".join([*text, d[1][last:]])
-    return out
-
-
-def test_line_dedup_against_dictionary_version(spark):
-    rng = random.Random(6)
-    pool = [prose(rng, rng.randrange(3, 14)) for _ in range(30)]
-    rows = [(i, "\n".join(rng.choice(pool) if rng.random() < 0.6 else prose(rng, 9) for _ in range(rng.randrange(1, 14)))) for i in range(60)]
-    rows += [(i, t) for i, t, *_ in documents() if i is None or i >= 100]
-    docs = spark.createDataFrame([(i, t, "x", len(t or "")) for i, t in rows], "doc_id long, text string, version string, n_chars long").repartition(5)
-    for words in (8, line_dedup.MIN_WORDS):
-        want = naive_dedup(rows, line_dedup.WINDOW, words)
-        got = line_dedup.drop_repeats(docs, min_words=words)
-        assert got.columns == docs.columns
-        out = got.collect()
-        assert len(out) == len(rows)
-        texts = {}
-        for i, t in rows:
-            texts.setdefault(i, set()).add(want[(-(2**63) if i is None else i, t or "")])
-        for r in out:
-            assert (r.text or "") in texts[r.doc_id]
-            assert r.n_chars == len(r.text or "")
-
-
-def repeated_lines(rows, min_words):
-    """Per row, which lines lie in a run of enough words that stands at any earlier place: brute force over all places."""
-    before, out = [], []
-    for _, text in rows:
-        _, lines, counts = line_dedup.lines_of(text)
-        hit = [False] * len(lines)
-        for other in before:
-            for a in range(len(lines)):
-                for b in range(len(other)):
-                    n = 0
-                    while a + n < len(lines) and b + n < len(other) and lines[a + n] == other[b + n]:
-                        n += 1
-                    if sum(counts[a : a + n]) >= min_words:
-                        hit[a : a + n] = [True] * n
-        before.append(lines)
-        out.append((lines, hit))
-    return out
-
-
-def test_runs_match_every_earlier_place(spark):
-    rng = random.Random(8)
-    plain = lambda n: prose(rng, n).replace(".", "")
-    common = [plain(rng.randrange(5, 11)) for _ in range(8)]
-    blocks = [[rng.choice(common) if rng.random() < 0.5 else plain(9) for _ in range(rng.randrange(3, 7))] for _ in range(12)]
-    lines = [[x] for x in common]
-    lines += [[plain(9), *rng.choice(blocks), rng.choice(common), plain(7)] if i % 3 else rng.choice(blocks) for i in range(60)]
-    rows = [(i, "\n".join(x)) for i, x in enumerate(lines)]
-    got = dict(line_dedup.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
-    found = repeated_lines(rows, line_dedup.MIN_WORDS)
-    assert sum(sum(hit) for _, hit in found) > 100
-    for (i, _), (own, hit) in zip(rows, found, strict=True):
-        left = iter([x for x, h in zip(own, hit, strict=True) if not h])
-        assert all(x in left for x in line_dedup.lines_of(got[i])[1]), i
-
-
-def test_repeated_passages_go_and_clean_documents_stay(spark):
-    rng = random.Random(12)
-    passage = prose(rng, 70)
-    clean = [(i, prose(rng, 200)) for i in range(40)]
-    dirty = [(100 + i, prose(rng, 40) + " " + passage + " " + prose(rng, 40)) for i in range(10)]
-    got = dict(line_dedup.drop_repeats(spark.createDataFrame(clean + dirty, "doc_id long, text string")).collect())
-    assert all(got[i] == t for i, t in clean) and got[100] == dirty[0][1]
-    core = " ".join(passage.split()[15:55])
-    assert all(core not in got[i] for i, _ in dirty[1:])
-    assert all(len(got[i].split()) >= 75 for i, _ in dirty)
-
-
-def test_passages_inside_sentences_go(spark):
-    rng = random.Random(15)
-    fresh = iter(range(10**6))
-    own = lambda n: " ".join(f"own{next(fresh)}" for _ in range(n))
-    rows, cases = [], []
-    for i in range(60):
-        words = [f"p{i}x{k}" for k in range(rng.randrange(51, 65))]
-        first = rng.randrange(10, 26)
-        for k in (first, first + rng.randrange(18, 25)):
-            words[k] += "."
-        passage = " ".join(words)
-        cases.append(words)
-        rows += [(2 * i, f"{own(9)} {passage} {own(9)}. {own(20)}"), (2 * i + 1, f"{own(30)}. {own(5)} {passage} {own(7)}")]
-    got = dict(corpus_pipeline.line_deduplication(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "").collect())
-    edge = line_dedup.MIN_WORDS - 1
-    for i, words in enumerate(cases):
-        assert got[2 * i] == rows[2 * i][1]
-        left = got[2 * i + 1].split()
-        assert not set(words[edge:-edge]) & set(left), i
-        assert len(set(words) - set(left)) >= line_dedup.MIN_WORDS
-        assert [w for w in left if w.startswith("own")] == [w for w in rows[2 * i + 1][1].split() if w.startswith("own")]
-
-
 # -- pipeline -------------------------------------------------------------------------------------
 
 
