@@ -3,11 +3,13 @@
 The stored form is a WAVE file whose data chunk is the payload itself: for the
 two companded formats one byte is one 8-bit sample; for ADPCM 64 bytes are one
 block (a 4-byte header of predictor and step index, 120 nibbles). Reading it
-back and expanding it gives 16-bit PCM, which is resampled and kept.
+back and expanding it gives 16-bit PCM, which is resampled and stored in a
+second table; both tables lie below the shared folder.
 
 Defined results: null text is the empty payload, padded to 64 zero bytes;
 equal payloads give equal values whatever the row; an ADPCM header with a step
-index above 88 is clamped to 88. Other columns are ignored.
+index above 88 is clamped to 88; null doc_ids are rows like others; an empty
+table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orebody.llm.common import map_batches, texts_of
+from orebody.llm.common import discard, map_batches, materialize, slices, texts_of
 
 UNIT = 64
 RATE = 8000
 OUT_RATE = 4000
+#: Both tables of samples are written in a denser form than usual; audio of text packs badly.
+STORAGE = {"compression": "zstd", "parquet.compression.codec.zstd.level": "9"}
 FORMATS = {"mulaw": 7, "alaw": 6, "adpcm": 17}
 
 
@@ -131,9 +135,8 @@ def expand(payloads: list[tuple[str, bytes]]) -> list[np.ndarray]:
     return out
 
 
-def feature(pcm: np.ndarray, codec: str, rate: int) -> str:
+def feature(low: np.ndarray, codec: str) -> str:
     """Codec, samples, mean power, zero crossings and checksum of the resampled PCM."""
-    low = resample(pcm, rate, OUT_RATE)
     x = low.astype(np.int64)
     power = int((x * x).sum()) // max(1, len(x))
     crossings = int(np.count_nonzero((low[1:] < 0) != (low[:-1] < 0)))
@@ -157,37 +160,40 @@ def store(docs: DataFrame, text: str = "text") -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string")), run, "doc_id long, n_bytes long, media binary")
 
 
-def pcm_column(stored: DataFrame, out_rate: int = OUT_RATE) -> DataFrame:
-    """(doc_id, rate, pcm): expanded and resampled 16-bit little-endian samples."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            read = [unwrap(m) for m in b.column("media").to_pylist()]
-            pcm = [resample(x, r, out_rate).astype("<i2").tobytes() for x, (_, r, _) in zip(expand([(c, p) for c, _, p in read]), read, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([out_rate] * len(read), pa.int32()), pa.array(pcm, pa.binary())], ["doc_id", "rate", "pcm"])
-
-    return map_batches(stored.select("doc_id", "media"), run, "doc_id long, rate int, pcm binary")
-
-
-def digests(stored: DataFrame) -> DataFrame:
-    """What the stored files hold, read back: see the schema below."""
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+def expanded(stored: DataFrame, out_rate: int = OUT_RATE) -> DataFrame:
+    """What the stored files hold, read back: digests and, as ``pcm``, the expanded and resampled 16-bit little-endian samples at ``rate``."""
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "rate", "pcm"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for s in range(0, whole.num_rows, 256):
-                b = whole.slice(s, 256)
+            for b in slices(whole, "media", 1 << 20):
                 media = b.column("media").to_pylist()
                 read = [unwrap(m) for m in media]
                 pcm = expand([(c, p) for c, _, p in read])
+                low = [resample(x, r, out_rate).astype("<i2") for x, (_, r, _) in zip(pcm, read, strict=True)]
                 cols = [
                     pa.array([len(p) for _, _, p in read], pa.int64()),
                     pa.array([hashlib.sha256(p).hexdigest() for _, _, p in read]),
                     pa.array([zlib.crc32(p[-UNIT:]) for _, _, p in read], pa.int64()),
                     pa.array([len(m) for m in media], pa.int64()),
                     pa.array([hashlib.sha256(m).hexdigest() for m in media]),
-                    pa.array([feature(x, c, r) for x, (c, r, _) in zip(pcm, read, strict=True)]),
+                    pa.array([feature(x, c) for x, (c, _, _) in zip(low, read, strict=True)]),
+                    pa.array([out_rate] * len(low), pa.int32()),
+                    pa.array([x.tobytes() for x in low], pa.binary()),
                 ]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *cols], names)
 
-    return map_batches(stored, run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return map_batches(stored, run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, rate int, pcm binary")
+
+
+def convert(docs: DataFrame, out_rate: int = OUT_RATE) -> DataFrame:
+    """Store all texts as audio files, read these back, and store what ``expanded`` makes of them."""
+    stored = materialize(store(docs), "media", **STORAGE)
+    out = materialize(expanded(stored, out_rate), "pcm", **STORAGE)
+    discard(stored)
+    return out
+
+
+def digests(docs: DataFrame) -> DataFrame:
+    """The rows of ``convert`` without the samples."""
+    return convert(docs).drop("rate", "pcm")
