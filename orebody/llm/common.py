@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_ROWS = 2000
+BATCH_BYTES = 4 << 20
 _TEST_DIR: list[str] = []
 
 
@@ -41,17 +42,17 @@ def shared_dir(spark: SparkSession) -> str:
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and return it as a scan, so that its lineage ends there.
 
-    Shuffle files of the write are of no further use and go with its end.
+    Shuffle files of the write are of no further use and go with its end. ``options`` are those of the writer.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEAN, None)
     spark.conf.set(_CLEAN, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
         spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
@@ -76,10 +77,14 @@ def trim() -> None:
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``mapInArrow`` in batches that fit long texts, with the worker's free memory returned at a partition's end."""
+    """``mapInArrow`` in batches that fit long texts, with the worker's free memory returned at a partition's end.
+
+    The two limits of batches are settings of the session; as the plan may run later, they stay lowered.
+    """
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from fn(batches)
@@ -108,6 +113,28 @@ def by_position(df: DataFrame) -> DataFrame:
     return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
 
 
+#: A key of more rows than this, and than a thousandth of all, is dealt over tasks.
+HOT_ROWS = 1000
+HOT_WAYS = 64
+
+
+def lookup(left: DataFrame, right: DataFrame, key: str, spread: list[str]) -> DataFrame:
+    """``left`` joined with the one row that the written table ``right`` has for a key; ``right.n`` counts a key's rows in ``left``.
+
+    Rows of a hot key are dealt by ``spread`` and meet copies of the key's row. At most a thousand keys are hot.
+    """
+    total = right.agg(F.sum("n")).first()[0] or 0
+    hot = right.filter(F.col("n") > max(HOT_ROWS, total // 1000)).select(key, F.lit(True).alias("hot"))
+    if hot.isEmpty():
+        return left.hint("merge").join(right.drop("n"), key)
+    hot = F.broadcast(hot)
+    way = F.when(F.col("hot"), F.pmod(F.xxhash64(*spread), F.lit(HOT_WAYS)).cast("int")).otherwise(0)
+    ways = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(HOT_WAYS - 1))).otherwise(F.array(F.lit(0)))
+    dealt = left.join(hot, key, "left").withColumn("way", way).drop("hot")
+    copies = right.drop("n").join(hot, key, "left").withColumn("way", F.explode(ways)).drop("hot")
+    return dealt.hint("merge").join(copies, [key, "way"]).drop("way")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph: (node, root), root = least node id, for nodes that have an edge.
 

@@ -5,10 +5,10 @@ bit offset of every ``interval``-th symbol, and the bit stream (big-endian bit
 order). A block needs only the code lengths to be decoded, and its checkpoints
 are decoded side by side by table look-up.
 
-Defined results: null text counts as empty (it still has the end id); rows with
-a null doc_id are left out, since the file order is that of doc_id; equal
-doc_ids keep every row, ordered by text; an empty table gives no blocks. Other
-columns of the input are ignored.
+Defined results: null text counts as empty (it still has the end id); null
+doc_ids come first in the file order and keep every row, as equal doc_ids do,
+ordered by a hash of their texts; an empty table gives no blocks. Other columns
+of the input are ignored.
 """
 
 from __future__ import annotations
@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orebody.llm.common import map_batches, materialize, slices
-from orebody.llm.tokens import default_vocabulary, encoder
+from orebody.llm.common import discard, map_batches, materialize
+from orebody.llm.tokens import default_vocabulary, id_type, in_order, tokenized
 
 MAX_BITS = 20
 INTERVAL = 256
 BLOCK_TOKENS = 1 << 19
-HEADER = struct.Struct("<4sIIQQ")  # magic, documents, interval, symbols, bits
-MAGIC = b"HUB1"
+HEADER = struct.Struct("<4sIIIQQ")  # magic, documents, documents without an id (they come first), interval, symbols, bits
+MAGIC = b"HUB2"
 
 
 def code_lengths(counts: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
@@ -88,7 +88,9 @@ def decode_tables(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     return symbols, bits, width
 
 
-def encode_block(doc_ids: np.ndarray, doc_tokens: np.ndarray, ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray, interval: int = INTERVAL) -> bytes:
+def encode_block(doc_ids: list[int | None], doc_tokens: np.ndarray, ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray, interval: int = INTERVAL) -> bytes:
+    unnamed = sum(d is None for d in doc_ids)
+    named = np.array([d or 0 for d in doc_ids], dtype="<i8")
     n = lengths[ids].astype(np.int64)
     at = np.concatenate([[0], np.cumsum(n)])
     total, at = int(at[-1]), at[:-1]
@@ -97,17 +99,17 @@ def encode_block(doc_ids: np.ndarray, doc_tokens: np.ndarray, ids: np.ndarray, l
     word = at >> 5
     words += np.bincount(word, weights=(shifted >> np.uint64(32)).astype(np.float64), minlength=len(words))
     words += np.bincount(word + 1, weights=(shifted & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=len(words))
-    head = HEADER.pack(MAGIC, len(doc_ids), interval, len(ids), total)
-    return b"".join([head, doc_ids.astype("<i8").tobytes(), doc_tokens.astype("<i8").tobytes(), at[::interval].astype("<u8").tobytes(), words.astype(np.uint64).astype(">u4").tobytes()])
+    head = HEADER.pack(MAGIC, len(doc_ids), unnamed, interval, len(ids), total)
+    return b"".join([head, named.tobytes(), doc_tokens.astype("<i8").tobytes(), at[::interval].astype("<u8").tobytes(), words.astype(np.uint64).astype(">u4").tobytes()])
 
 
-def decode_block(block: bytes, tables: tuple[np.ndarray, np.ndarray, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def decode_block(block: bytes, tables: tuple[np.ndarray, np.ndarray, int]) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """doc ids, tokens of each, and all ids in order."""
-    magic, docs, interval, total, _ = HEADER.unpack_from(block)
+    magic, docs, unnamed, interval, total, _ = HEADER.unpack_from(block)
     if magic != MAGIC:
         raise ValueError("not a block of this format")
     pos = HEADER.size
-    doc_ids = np.frombuffer(block, "<i8", docs, pos)
+    doc_ids = [None] * unnamed + np.frombuffer(block, "<i8", docs, pos)[unnamed:].tolist()
     doc_tokens = np.frombuffer(block, "<i8", docs, pos + 8 * docs)
     marks = -(-total // interval)
     at = np.frombuffer(block, "<u8", marks, pos + 16 * docs).astype(np.int64)
@@ -128,29 +130,6 @@ def decode_block(block: bytes, tables: tuple[np.ndarray, np.ndarray, int]) -> tu
     return doc_ids, doc_tokens, out.T.reshape(-1)[:total]
 
 
-def tokenize(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
-    """(part, at, doc_id, ids): ascending doc_id inside ascending range partitions; ``at`` counts the ids before it in its partition."""
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, enc, before = TaskContext.get().partitionId(), encoder(vocabulary), 0
-        wide = enc.tokenizer.get_vocab_size() > 1 << 16
-        end = np.array([end_id], dtype="<u4" if wide else "<u2").tobytes()
-        for b in batches:
-            for c in slices(b):
-                ids, cuts = enc.encode_flat(c.column("text"))
-                raw, width = memoryview(ids.astype("<u4" if wide else "<u2").tobytes()), 4 if wide else 2
-                cuts = np.concatenate([[0], cuts])
-                raw = [bytes(raw[width * x : width * y]) + end for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-                ends = before + np.cumsum(np.diff(cuts) + 1)
-                at, before = np.concatenate([[before], ends[:-1]]), int(ends[-1])
-                yield pa.RecordBatch.from_arrays([pa.array([part] * c.num_rows, pa.int32()), pa.array(at, pa.int64()), c.column("doc_id"), pa.array(raw, pa.binary())], ["part", "at", "doc_id", "ids"])
-
-    return map_batches(ordered, run, "part int, at long, doc_id long, ids binary")
-
-
 def flat_values(column: pa.Array, dtype: str) -> np.ndarray:
     """All values of a binary column as one array, without a copy."""
     if not len(column):
@@ -178,7 +157,7 @@ def id_counts(tokens: DataFrame, size: int, dtype: str) -> np.ndarray:
 
 
 def write_token_files(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2, max_bits: int = MAX_BITS, block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, np.ndarray]:
-    """Encode all documents; returns the written table of blocks (start, block) and the code lengths.
+    """Encode all documents; returns the written blocks as (start, block) and the code lengths.
 
     ``start`` is the number of ids before the block. The driver holds the counts
     of the vocabulary's ids and one total per partition, nothing per document.
@@ -187,40 +166,45 @@ def write_token_files(docs: DataFrame, vocabulary: str | None = None, end_id: in
 
     vocabulary = vocabulary or default_vocabulary()
     size = max([end_id, *Tokenizer.from_file(vocabulary).get_vocab().values()]) + 1
-    dtype = "<u4" if size > 1 << 16 else "<u2"
-    tokens = materialize(tokenize(docs, vocabulary, end_id), "ids")
+    dtype = id_type(size, end_id)
+    tokens = materialize(tokenized(docs, vocabulary, end_id), "ids")
     lengths = code_lengths(id_counts(tokens, size, dtype), max_bits)
-    totals = {r.part: r.n for r in tokens.groupBy("part").agg(F.sum(F.octet_length("ids") / int(dtype[-1])).cast("long").alias("n")).collect()}
-    base, before = {}, 0
-    for part in sorted(totals):
-        base[part], before = before, before + totals[part]
     sc = docs.sparkSession.sparkContext
-    book, bases = sc.broadcast((lengths, canonical_codes(lengths))), sc.broadcast(base)
+    book = sc.broadcast((lengths, canonical_codes(lengths)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         lens, codes = book.value
-        held: list = []
-        part, start, size = None, 0, 0
+        part, names, held, at, size = TaskContext.get().partitionId(), [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
-            ids = np.concatenate([h[1] for h in held])
-            block = encode_block(np.array([h[0] for h in held]), np.array([len(h[1]) for h in held]), ids, lens, codes)
+            nonlocal at, size
+            block = encode_block(names, np.array([len(h) for h in held]) // int(dtype[-1]), np.frombuffer(b"".join(held), dtype), lens, codes)
+            row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([at], pa.int64()), pa.array([size], pa.int64()), pa.array([block], pa.binary())], ["part", "at", "n", "block"])
+            names.clear()
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([bases.value[part] + start], pa.int64()), pa.array([block], pa.binary())], ["start", "block"])
+            at, size = at + size, 0
+            return row
 
         for b in batches:
-            for p, at, doc, raw in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                if held and (p != part or at != start + size or size >= block_tokens):
+            for doc, n, raw in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n", "ids")), strict=True):
+                names.append(doc)
+                held.append(raw)
+                size += n
+                if size >= block_tokens:
                     yield flush()
-                if not held:
-                    part, start, size = p, at, 0
-                held.append((doc, np.frombuffer(raw, dtype)))
-                size += len(held[-1][1])
         if held:
             yield flush()
 
-    # a scan may cut or join the written partitions, but keeps their runs of rows: a block is such a run, and its start its place
-    return materialize(map_batches(tokens, run, "start long, block binary"), "blocks"), lengths
+    blocks = materialize(map_batches(in_order(tokens).select("doc_id", "n", "ids"), run, "part int, at long, n long, block binary"), "blocks")
+    discard(tokens)
+    base, before = [], 0
+    for part, n in sorted(map(tuple, blocks.groupBy("part").agg(F.sum("n")).collect())):  # one number per partition
+        base.append((part, before))
+        before += n
+    bases = F.broadcast(docs.sparkSession.createDataFrame(base, "part int, base long"))
+    return blocks.join(bases, "part").select((F.col("base") + F.col("at")).alias("start"), "block"), lengths
 
 
 def read_token_files(blocks: DataFrame, lengths: np.ndarray, keep_ids: bool = True) -> DataFrame:

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orebody.llm.common import by_position, discard, map_batches, materialize, slices
+from orebody.llm.common import by_position, discard, lookup, map_batches, materialize, slices
 
 LINE_WORDS = 8
 MIN_WORDS = 32
@@ -176,11 +176,10 @@ def open_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return map_batches(docs, run, "run long, doc long, version long, place int")
 
 
-def with_firsts(places: DataFrame, key: str) -> DataFrame:
-    """``places`` whose ``key`` stands at two places or more, with the first of them as ``first``."""
+def first_places(places: DataFrame, key: str) -> DataFrame:
+    """(key, first, last, n): the first and the last place of each key and the number of its rows."""
     at = F.struct("doc", "version", "place")
-    firsts = places.groupBy(key).agg(F.min(at).alias("first"), F.max(at).alias("last")).filter("first < last").select(key, "first")
-    return places.hint("merge").join(firsts, key)
+    return places.groupBy(key).agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -199,19 +198,19 @@ def removal_plan(docs: DataFrame, min_words: int = MIN_WORDS, broadcast_bytes: i
     met = materialize(prints.join(known, "print", "left_semi").drop("print"), "met")
     discard(prints, shared)
     # a stretch that stands once has no first; it is open like the first one of its kind
-    at = F.struct("doc", "version", "place")
-    firsts = met.groupBy("whole").agg(F.min(at).alias("first"))
-    told = met.hint("merge").join(firsts, "whole")
+    firsts = materialize(first_places(met, "whole").drop("last"), "firsts")
+    told = lookup(met, firsts, "whole", ["doc", "version", "place"])
     groups = told.groupBy("doc", "version").agg(F.collect_set(F.when(apart, span)).alias("covered"), F.collect_set(F.when(~apart, F.struct("place", "more"))).alias("open"))
     groups = materialize(groups, "groups")
     opened = docs.join(groups.filter(F.size("open") > 0).select("doc", "version", "open"), ["doc", "version"])
     runs = materialize(open_runs(opened, min_words), "runs")
-    extended = with_firsts(runs, "run").filter(apart).withColumn("more", F.lit(0)).groupBy("doc", "version").agg(F.collect_set(span).alias("extended"))
+    begun = materialize(first_places(runs, "run").filter("first < last").drop("last"), "begun")
+    extended = lookup(runs, begun, "run", ["doc", "version", "place"]).filter(apart).withColumn("more", F.lit(0)).groupBy("doc", "version").agg(F.collect_set(span).alias("extended"))
     none = F.array().cast("array<struct<low:int,high:int>>")
     both = groups.select("doc", "version", "covered").join(extended, ["doc", "version"], "left")
     spans = F.concat("covered", F.coalesce("extended", none))
     plan = materialize(both.select("doc", "version", spans.alias("spans")).filter(F.size("spans") > 0), "plan")
-    discard(met, groups, runs)
+    discard(met, firsts, groups, runs, begun)
     return plan
 
 

@@ -6,9 +6,13 @@ ends and, inside a sentence longer than ``hard_step`` ids, at every
 plus the penalty of its end cut; as every term but f(a) = cost(a) + a is fixed
 by the end, the best start is a sliding minimum, kept by a monotone queue.
 
-The order is cut into range partitions and these into groups of about
-``group_tokens`` ids, each packed by itself, so memory is bounded by a group or
-by the longest document. Defined results: null text is empty and still has the
+The ids are written once and put in order by ranges. There are as many range
+partitions as groups of ``group_tokens`` ids (or the session's number of
+shuffle partitions, if that is less, each then cut into such groups), and each
+group is packed by itself: memory is bounded by a group or by the longest
+document, and at most about one sequence in ``group_tokens / window`` is the
+open end of a group, whatever the session's settings. Equal doc_ids are ordered
+by a hash of their texts and may stand in several tasks. Defined results: null text is empty and still has the
 end id; null doc_ids sort first and are packed as well; repeated rows are packed
 each; an empty table gives no pieces. Other columns are ignored.
 """
@@ -24,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orebody.llm.common import map_batches, slices
-from orebody.llm.tokens import default_vocabulary, encoder, ending_ids
+from orebody.llm.common import map_batches, materialize
+from orebody.llm.tokens import default_vocabulary, ending_ids, id_type, in_order, tokenized
 
 WINDOW = 4096
 SENTENCE_PENALTY = 4
@@ -89,39 +93,45 @@ def pack_group(doc_tokens: np.ndarray, ids: np.ndarray, is_end: np.ndarray, wind
 def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2, window: int = WINDOW, sentence_penalty: int = SENTENCE_PENALTY, hard_penalty: int = HARD_PENALTY, group_tokens: int = GROUP_TOKENS, keep_ids: bool = True) -> DataFrame:
     """One row per piece (columns of PIECES, and its ids); ``sequence_id`` ascends with the order and is unique, not gapless."""
     vocabulary = vocabulary or default_vocabulary()
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    end = np.array([end_id], dtype="<u4").tobytes()
+    spark = docs.sparkSession
+    tokens = materialize(tokenized(docs, vocabulary, end_id), "ids")
+    total = tokens.agg(F.sum("n")).first()[0] or 0
+    partitions = max(1, min(total // group_tokens, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    ordered = in_order(tokens, partitions).select("doc_id", "n", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, is_end = encoder(vocabulary), ending_ids(vocabulary)
-        first, held, size = TaskContext.get().partitionId() << 32, [], 0
+        is_end = ending_ids(vocabulary)
+        kind = id_type(len(is_end), end_id)
+        first, names, sizes, held = TaskContext.get().partitionId() << 32, [], [], []
 
         def flush() -> pa.RecordBatch:
             nonlocal first
-            raw = b"".join(h[1] for h in held)
-            tokens = np.array([len(h[1]) // 4 for h in held])
-            doc, start, length, seq, offset = pack_group(tokens, np.frombuffer(raw, "<u4"), is_end, window, sentence_penalty, hard_penalty)
+            ids, counts = np.frombuffer(b"".join(held), kind), np.array(sizes)
+            doc, start, length, seq, offset = pack_group(counts, ids, is_end, window, sentence_penalty, hard_penalty)
             edges = 4 * np.cumsum(length)
-            view = memoryview(raw)
+            view = memoryview(ids.astype("<u4").tobytes())
             cut = [view[e - 4 * n : e] for e, n in zip(edges.tolist(), length.tolist(), strict=True)]
-            names = [held[d][0] for d in doc.tolist()]
-            held.clear()
+            own = [names[d] for d in doc.tolist()]
+            for x in (names, sizes, held):
+                x.clear()
             at, first = first + seq, first + int(seq[-1]) + 1
-            cols = [pa.array(x, pa.int64()) for x in (names, start, length, [zlib.crc32(c) for c in cut], tokens[doc], at, offset)]
+            cols = [pa.array(x, pa.int64()) for x in (own, start, length, [zlib.crc32(c) for c in cut], counts[doc], at, offset)]
             if keep_ids:
                 cols.append(pa.array([bytes(c) for c in cut], pa.binary()))
             return pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"][: len(cols)])
 
+        size = 0
         for b in batches:
-            for c in slices(b):
-                for doc_id, raw in zip(c.column("doc_id").to_pylist(), enc.encode(c.column("text").to_pylist()), strict=True):
-                    held.append((doc_id, raw + end))
-                    size += len(raw) // 4 + 1
-                    if size >= group_tokens:
-                        yield flush()
-                        size = 0
+            for doc_id, n, raw in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n", "ids")), strict=True):
+                if held and size + n > group_tokens:
+                    yield flush()
+                    size = 0
+                names.append(doc_id)
+                sizes.append(n)
+                held.append(raw)
+                size += n
         if held:
             yield flush()
 

@@ -49,7 +49,7 @@ def op7_winnowing_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.digests(audio.store(table(spark, sf_dir, "documents")))
+    return audio.digests(table(spark, sf_dir, "documents"))
 
 
 def op9_chat_state_machine(spark: SparkSession, sf_dir: str) -> DataFrame:

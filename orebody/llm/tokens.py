@@ -19,12 +19,17 @@ from __future__ import annotations
 import json
 import os
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-CACHE_PIECES = 250_000
+from orebody.llm.common import map_batches, slices
+
+CACHE_PIECES = 120_000
 CACHED_LENGTH = 48
 
 
@@ -164,3 +169,38 @@ def default_vocabulary() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
+
+
+def tokenized(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
+    """(doc_id, version, row, n, ids): each document's ids with the end id, of 2 bytes where the vocabulary allows it.
+
+    ``version`` is a hash of the text, ``row`` a number of the row: with doc_id they order all rows, and repeated
+    rows are told apart, so one doc_id (or none) of very many rows can be split over tasks.
+    """
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("version"), F.monotonically_increasing_id().alias("row"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(vocabulary)
+        kind = id_type(enc.tokenizer.get_vocab_size(), end_id)
+        end = np.array([end_id], dtype=kind).tobytes()
+        width = len(end)
+        for b in batches:
+            for c in slices(b):
+                ids, cuts = enc.encode_flat(c.column("text"))
+                raw, cuts = memoryview(ids.astype(kind).tobytes()), np.concatenate([[0], cuts])
+                own = [bytes(raw[width * x : width * y]) + end for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([c.column("doc_id"), c.column("version"), c.column("row"), pa.array(np.diff(cuts) + 1, pa.int64()), pa.array(own, pa.binary())], ["doc_id", "version", "row", "n", "ids"])
+
+    return map_batches(rows, run, "doc_id long, version long, row long, n long, ids binary")
+
+
+def id_type(size: int, end_id: int) -> str:
+    """Little-endian type of the ids of a vocabulary of ``size`` pieces."""
+    return "<u4" if max(size, end_id + 1) > 1 << 16 else "<u2"
+
+
+def in_order(tokens: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Written tokens by ascending doc_id (nulls first), in range partitions."""
+    keys = ["doc_id", "version", "row"]
+    ranged = tokens.repartitionByRange(partitions, *keys) if partitions else tokens.repartitionByRange(*keys)
+    return ranged.sortWithinPartitions(*keys)

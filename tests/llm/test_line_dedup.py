@@ -132,3 +132,16 @@ def test_hashes_tell_words_and_runs_apart():
         said = [tuple(words[k : k + n].tolist()) for k in range(400 - n + 1)]
         assert len(runs) == len(said) and len(set(zip(runs, said, strict=True))) == len(set(runs)) == len(set(said))
         assert line_dedup.window_minima(words, n).tolist() == [min(words[k : k + n]) for k in range(400 - n + 1)]
+
+
+def test_hot_keys_are_dealt_and_lose_no_row(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from orebody.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    left = spark.createDataFrame([(k % 7 if k < 300 else k, k) for k in range(400)], "key long, x long")
+    right = common.materialize(left.groupBy("key").agg(F.min("x").alias("least"), F.count("*").alias("n")).filter("key <> 399"), "right")
+    got = common.lookup(left, right, "key", ["x"])
+    assert got.columns == ["key", "x", "least"]
+    assert sorted(map(tuple, got.collect())) == sorted((k, x, k) for k, x in left.collect() if k != 399)

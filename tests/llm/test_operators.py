@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from orebody.llm import audio, chat, decontaminate, huffman, ngram_join, packing, shuffle
 from orebody.llm.tokens import default_vocabulary
@@ -35,13 +36,20 @@ def crc(ids):
 
 
 def test_token_files_round_trip(docs, plain_ids):
-    got = huffman.read_token_files(*huffman.write_token_files(docs, block_tokens=3000)).orderBy("start").collect()
-    rows = sorted(((i, t) for i, t, *_ in documents() if i is not None), key=lambda r: (r[0], r[1] or ""))
+    blocks, lengths = huffman.write_token_files(docs, block_tokens=3000)
+    got = huffman.read_token_files(blocks, lengths).orderBy("start").collect()
+    assert Counter((r.doc_id, r.ids_crc32, r.n_tokens) for r in got) == Counter((i, crc(plain_ids(t)), len(plain_ids(t))) for i, t, *_ in documents())
+    assert [(r.doc_id is not None, r.doc_id or 0) for r in got] == sorted((i is not None, i or 0) for i, *_ in documents())
     start = 0
-    for r, (i, t) in zip(got, rows, strict=True):
-        ids = plain_ids(t)
-        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, start, len(ids), crc(ids))
-        start += len(ids)
+    for r in got:
+        assert r.start == start and crc(np.frombuffer(r.ids, "<u4")) == r.ids_crc32
+        start += r.n_tokens
+
+
+def test_token_files_of_rows_without_ids(spark, plain_ids):
+    rows = [(None, f"text {i}") for i in range(40)] + [(5, "five")] * 30
+    got = huffman.read_token_files(*huffman.write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), block_tokens=50)).collect()
+    assert Counter((r.doc_id, r.ids_crc32) for r in got) == Counter((i, crc(plain_ids(t))) for i, t in rows)
 
 
 @pytest.mark.parametrize("n,limit", [(1, 4), (2, 4), (16, 4), (300, 9), (300, 20)])
@@ -62,7 +70,7 @@ def test_code_lengths_are_optimal_and_limited(n, limit):
             heapq.heappush(heap, s)
         assert lengths.max() < limit and int((lengths * counts).sum()) == cost
     ids = np.array(rng.choices(range(n), k=1000))
-    block = huffman.encode_block(np.array([5]), np.array([1000]), ids, lengths, huffman.canonical_codes(lengths), 64)
+    block = huffman.encode_block([5], np.array([1000]), ids, lengths, huffman.canonical_codes(lengths), 64)
     assert (huffman.decode_block(block, huffman.decode_tables(lengths))[2] == ids).all()
 
 
@@ -70,7 +78,7 @@ def test_empty_tables(empty, spark):
     assert huffman.read_token_files(*huffman.write_token_files(empty)).count() == 0
     assert packing.pack(empty).count() == 0
     assert shuffle.digests(empty).count() == 0
-    assert audio.digests(audio.store(empty)).count() == 0
+    assert audio.digests(empty).count() == 0
     assert ngram_join.components(empty).count() == 0
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.report(empty, none).count() == 0
@@ -122,7 +130,38 @@ def test_shuffle_is_a_balanced_permutation(docs):
     assert kept.columns == [*(c for c in docs.columns if c != "shard"), "shard", "slot"]
     rows = kept.collect()
     assert Counter((r.doc_id, r.text, r.keys) for r in rows) == Counter((i, t, "k") for i, t, *_ in documents())
-    assert sorted(5 * r.slot + r.shard for r in rows) == list(range(len(rows)))
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r.shard].append(r.slot)
+    sizes = [len(slots[k]) for k in range(5)]
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and max(sizes) - min(sizes) <= 1
+
+
+def test_shuffle_of_repeated_rows_and_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(shuffle, "MIN_SPLIT", 50)
+    rows = [(7, "same", k, k) for k in range(900)] + [(k, f"t{k}", k, k) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, bucket int, part int").repartition(3)
+    out = shuffle.shuffled(docs, shards=7, bucket_bytes=900)
+    assert out.columns == ["doc_id", "text", "bucket", "part", "shard", "slot"]
+    got = out.withColumn("task", F.spark_partition_id()).collect()
+    assert Counter((r.doc_id, r.text, r.bucket, r.part) for r in got) == Counter(rows)
+    assert Counter(r.shard for r in got).most_common()[0][1] - Counter(r.shard for r in got).most_common()[-1][1] <= 1
+    assert Counter(r.task for r in got if r.text == "same").most_common(1)[0][1] < 600
+    few = shuffle.digests(docs.limit(3), shards=16).collect()
+    assert sorted(r.shard for r in few) == [0, 1, 2] and all(r.slot == 0 for r in few)
+
+
+def test_packing_leaves_little_padding_whatever_the_settings(spark):
+    rng = random.Random(2)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(["a", "bc", "de."]) for _ in range(300))) for i in range(400)], "doc_id long, text string").repartition(7)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "211")
+    try:
+        pieces = packing.pack(docs, window=512, group_tokens=60_000).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    ids = sum(p.length for p in pieces)
+    assert 1 - ids / (512 * len({p.sequence_id for p in pieces})) < 0.02
 
 
 def test_shuffle_digests(docs):
@@ -183,14 +222,24 @@ def test_decontamination_report_and_removal(spark, docs):
 
 
 def test_audio_is_lossless(docs):
-    got = audio.digests(audio.store(docs)).collect()
+    stored = audio.convert(docs)
+    got = stored.collect()
     want = Counter()
     for i, t, *_ in documents():
         raw = (t or "").encode()
         pad = raw + bytes(-len(raw) % 64 if raw else 64)
         want[(i, len(raw), len(pad), hashlib.sha256(pad).hexdigest(), zlib.crc32(pad[-64:]))] += 1
     assert Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got) == want
-    assert audio.pcm_column(audio.store(docs)).count() == docs.count()
+    for r in got:
+        low = np.frombuffer(r.pcm, "<i2")
+        assert r.feature == audio.feature(low, r.feature.split()[0]) and r.rate == audio.OUT_RATE
+    texts = {i: t for i, t, *_ in documents() if i is not None}
+    for r in got[:20]:
+        raw = (texts.get(r.doc_id) or "").encode()
+        if r.doc_id is not None and r.feature.startswith("mulaw"):
+            pad = np.frombuffer(raw + bytes(-len(raw) % 64 if raw else 64), np.uint8)
+            pcm = audio.mulaw_table()[pad].astype(int)
+            assert np.frombuffer(r.pcm, "<i2").tolist() == ((pcm[0::2] + pcm[1::2]) >> 1).tolist()
 
 
 def test_audio_tables_and_adpcm():
