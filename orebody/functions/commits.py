@@ -25,17 +25,22 @@ BOT_NAMES = ["dependabot", "renovate", "github-actions", "github actions"]
 BOT_MAILS = ["dependabot", "renovate", "github-actions"]
 
 
+def trimmed(value: Column) -> Column:
+    """Without white space at both ends, of any kind."""
+    return F.regexp_replace(value, r"^\s+|\s+$", "")
+
+
 def classify(subject: Column, is_merge: Column) -> Column:
     """struct(kind, scope, is_conventional, is_breaking) of a commit."""
     text = F.coalesce(subject, F.lit(""))
-    head = F.when(F.instr(text, ":") > 0, F.trim(F.substring_index(text, ":", 1)))
+    head = F.when(F.instr(text, ":") > 0, trimmed(F.substring_index(text, ":", 1)))
     breaking = F.coalesce(head.endswith("!"), F.lit(False))
-    bare = F.when(breaking, F.regexp_replace(head, "!+$", "")).otherwise(head)
+    bare = F.when(breaking, trimmed(F.regexp_replace(head, "!$", ""))).otherwise(head)
     scoped = bare.endswith(")") & (F.instr(bare, "(") > 0)
-    kind = F.lower(F.trim(F.when(scoped, F.substring_index(bare, "(", 1)).otherwise(bare)))
-    scope = F.when(scoped, F.regexp_extract(bare, r"(?s)^[^(]*\((.*)\)$", 1)).otherwise(F.lit(""))
+    kind = F.lower(trimmed(F.when(scoped, F.substring_index(bare, "(", 1)).otherwise(bare)))
+    scope = F.when(scoped, trimmed(F.regexp_extract(bare, r"(?s)^[^(]*\((.*)\)$", 1))).otherwise(F.lit(""))
     known = F.coalesce(kind.isin(CONVENTIONAL), F.lit(False))
-    word = F.lower(F.regexp_extract(text, r"^([A-Za-z]*)", 1))
+    word = F.lower(F.regexp_extract(text, r"^\s*([A-Za-z]*)", 1))
     guess = reduce(lambda acc, kv: acc.when(word.isin(kv[1]), kv[0]), FIRST_WORDS.items(), F.when(F.lit(False), "")).otherwise("other")
     plain = ~is_merge & known
     return F.struct(
@@ -47,7 +52,7 @@ def classify(subject: Column, is_merge: Column) -> Column:
 
 
 def subject_of(message: Column) -> Column:
-    return F.trim(F.substring_index(F.coalesce(message, F.lit("")), "\n", 1))
+    return trimmed(F.substring_index(F.coalesce(message, F.lit("")), "\n", 1))
 
 
 def body_of(message: Column) -> Column:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The markers that are looked for, and the length of the text kept behind one.
 MARKERS = ["TODO", "FIXME", "HACK", "XXX", "NOTE"]
 MARKER_TEXT = 200
 # Openings of generated files.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Vendored folders, lockfiles, and endings of generated files by reason.
@@ -63,24 +63,30 @@ def generated_reason(path: Column) -> Column:
     return F.when(rule.isNotNull(), F.struct(category.alias("category"), rule.alias("reason")))
 
 
-def test_lang(path: Column) -> Column:
-    ext = extension_of(path)
+def test_lang(ext: Column) -> Column:
+    """Language of a file that may hold tests, by its extension."""
     return reduce(lambda a, kv: a.when(ext.isin(kv[1]), kv[0]), TEST_LANGS.items(), F.when(F.lit(False), ""))
 
 
-def test_signal(path: Column) -> Column:
-    """struct(lang, signal) of test files, else null."""
-    lang, stem = test_lang(path), stem_of(path)
-    signal = (
+def test_signal(lang: Column, stem: Column, folder: Column) -> Column:
+    """What makes a file a test file, else null."""
+    return (
         F.when(lang.isin("ts", "js") & _any_end(stem, [".test", ".spec"]), "*.test/spec.*")
         .when((lang == "py") & (stem.startswith("test_") | stem.endswith("_test") | stem.isin("test", "conftest")), "test_*/_test.py")
         .when((lang == "go") & stem.endswith("_test"), "*_test.go")
         .when(lang.isin("java", "kotlin", "csharp") & _any_end(stem, ["Test", "Tests", "Spec"]), "*Test/Tests/Spec")
         .when((lang == "rb") & _any_end(stem, ["_spec", "_test"]), "*_spec/_test.rb")
         .when((lang == "php") & stem.endswith("Test"), "*Test.php")
-        .when(lang.isNotNull() & F.arrays_overlap(F.split(dir_of(path), "/"), F.array(*map(F.lit, TEST_DIRS))), "dir:test")
+        .when(lang.isNotNull() & F.arrays_overlap(F.split(folder, "/"), F.array(*map(F.lit, TEST_DIRS))), "dir:test")
     )
-    return F.when(signal.isNotNull(), F.struct(lang.alias("lang"), signal.alias("signal")))
+
+
+def with_test_signal(files: DataFrame) -> DataFrame:
+    """``files`` (with path) plus lang, stem, dir and signal; each column is computed once, from the one before it."""
+    cut = files.withColumns({"__base": base_of(F.col("path")), "dir": dir_of(F.col("path"))})
+    parts = cut.withColumns({"stem": F.regexp_replace("__base", r"\.[^.]*$", ""), "__ext": F.regexp_extract("__base", r"(?s)\.([^.]*)$", 1)})
+    named = parts.withColumn("lang", test_lang(F.col("__ext"))).filter("lang is not null")
+    return named.withColumn("signal", test_signal(F.col("lang"), F.col("stem"), F.col("dir"))).drop("__base", "__ext")
 
 
 def target_stem(stem: Column) -> Column:

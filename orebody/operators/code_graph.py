@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from orebody.functions.paths import dir_of, stem_of, target_stem, test_lang, test_signal
+from orebody.functions.paths import target_stem, with_test_signal
 
-LINE_BUCKET = 256
+LINE_BUCKET = 4096
 
 
 def unique_by(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -17,19 +23,40 @@ def unique_by(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def enclosing(points: DataFrame, spans: DataFrame, key: str, at: str, low: str, high: str, keep: list[str], bucket: int = LINE_BUCKET) -> DataFrame:
-    """Each point with the innermost span that holds it (least length, then latest start); points without one are left out.
+    """Each point with the innermost span that holds it (least length, then latest start, then ``keep``) as ``__s``; points without one are left out.
 
-    Spans are cut into buckets of lines and joined on (key, bucket), so the
-    join is an equi-join whatever the number of spans of a key, and the arg-min
-    is a map-side combined aggregate, not a window.
+    Points and spans of a key and a bucket of lines are sorted by line and swept
+    together with a heap of the spans begun so far, so the work is n log n and no
+    pairs are made; a key of very many rows is split by its buckets.
     """
-    cells = spans.withColumn("__b", F.explode(F.sequence(F.floor(F.col(low) / bucket), F.floor(F.col(high) / bucket)))) .select(key, "__b", low, high, *keep)
-    marked = points.withColumn("__id", F.monotonically_increasing_id()).withColumn("__b", F.floor(F.col(at) / bucket))
-    hit = marked.alias("p").join(cells.alias("s"), (F.col(f"p.{key}") == F.col(f"s.{key}")) & (F.col("p.__b") == F.col("s.__b")) & F.col(f"p.{at}").between(F.col(f"s.{low}"), F.col(f"s.{high}")))
-    rank = F.struct((F.col(f"s.{high}") - F.col(f"s.{low}")).alias("len"), (-F.col(f"s.{low}")).alias("neg"), *(F.col(f"s.{c}").alias(c) for c in keep), F.col(f"s.{low}").alias("start"))
     own = points.columns
-    best = hit.groupBy("p.__id", *(F.col(f"p.{c}").alias(c) for c in own)).agg(F.min(rank).alias("__s"))
-    return best.select(*own, "__s")
+    held = spans.select(F.col(key).alias("__key"), F.explode(F.sequence(F.floor(F.col(low) / bucket), F.floor(F.col(high) / bucket))).alias("__b"), F.greatest(F.col(low), F.col("__b") * bucket).alias("__at"), F.lit(0).alias("__kind"), F.struct(F.col(low).alias("low"), F.col(high).alias("high"), *keep).alias("__span"), F.lit(None).cast(points.schema.simpleString()).alias("__point"))
+    asked = points.filter(F.col(key).isNotNull() & F.col(at).isNotNull()).select(F.col(key).alias("__key"), F.floor(F.col(at) / bucket).alias("__b"), F.col(at).cast("long").alias("__at"), F.lit(1).alias("__kind"), F.lit(None).cast(held.schema["__span"].dataType).alias("__span"), F.struct(*own).alias("__point"))
+    rows = held.withColumn("__at", F.col("__at").cast("long")).unionByName(asked).repartition("__key", "__b").sortWithinPartitions("__key", "__b", "__at", "__kind")
+    out = T.StructType([*points.schema.fields, T.StructField("__s", T.StructType([*(spans.schema[c] for c in keep), T.StructField("start", T.LongType())]))])
+    kind = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, open_ = None, []
+        for b in batches:
+            found = []
+            points_, spans_ = b.column("__point"), b.column("__span")
+            for group, line, is_point, span, k in zip(zip(b.column("__key").to_pylist(), b.column("__b").to_pylist(), strict=True), b.column("__at").to_pylist(), b.column("__kind").to_pylist(), spans_.to_pylist(), range(b.num_rows), strict=True):
+                if group != now:
+                    now, open_ = group, []
+                if not is_point:
+                    heapq.heappush(open_, (span["high"] - span["low"], -span["low"], tuple(span[c] for c in keep), span["high"]))
+                    continue
+                while open_ and open_[0][3] < line:
+                    heapq.heappop(open_)
+                if open_:
+                    found.append((k, open_[0]))
+            inner = [{**dict(zip(keep, best[2], strict=True)), "start": -best[1]} for _, best in found]
+            if found:
+                rows_ = points_.take(pa.array([k for k, _ in found]))
+                yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(rows_.flatten(), kind, strict=False)), pa.array(inner, kind.field("__s").type)], schema=kind)
+
+    return rows.mapInArrow(run, out)
 
 
 def symbol_edges(symbols: DataFrame, refs: DataFrame) -> DataFrame:
@@ -67,22 +94,15 @@ def first_existing(candidates: DataFrame, key: str, array: str, known: DataFrame
     return rows.groupBy(key).agg(F.min_by(value, "__k").alias(value))
 
 
-def follow(start: DataFrame, steps: DataFrame, most: int = 16) -> DataFrame:
-    """Follow ``steps`` (at -> to) from each start (key, at) as long as there is one; cycles and chains end after ``most`` rounds."""
-    cur = start.withColumn("__d", F.lit(0))
-    for _ in range(most):
-        nxt = cur.join(steps.select(F.col("at").alias("__at"), "to"), F.col("at") == F.col("__at"), "left")
-        cur = nxt.select("key", F.coalesce("to", "at").alias("at"), (F.col("__d") + F.col("to").isNotNull().cast("int")).alias("__d"))
-    return cur.select("key", "at", F.col("__d").alias("depth"))
-
-
 def tests_and_sources(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    rows = files.select("file_id", "path", test_lang(F.col("path")).alias("lang"), stem_of(F.col("path")).alias("stem"), dir_of(F.col("path")).alias("dir"), test_signal(F.col("path")).alias("sig")).filter("lang is not null")
-    return rows.filter("sig is not null").withColumn("target", target_stem(F.col("stem"))), rows.filter("sig is null")
+    from orebody.storage import durable
+
+    rows = durable(with_test_signal(files.select("file_id", "path")), "paths")  # read three times
+    return rows.filter("signal is not null").withColumn("target", target_stem(F.col("stem"))), rows.filter("signal is null")
 
 
 def test_files(files: DataFrame) -> DataFrame:
-    return files.select("file_id", test_signal(F.col("path")).alias("s")).filter("s is not null").select("file_id", "s.lang", "s.signal")
+    return with_test_signal(files.select("file_id", "path")).filter("signal is not null").select("file_id", "lang", "signal")
 
 
 def test_coverage(files: DataFrame) -> DataFrame:
@@ -101,22 +121,27 @@ def test_coverage(files: DataFrame) -> DataFrame:
     return out.filter(same | alone).select("test_file_id", F.when(same, F.col("near_id")).otherwise(F.col("wide_id")).alias("source_file_id"), F.when(same, "same_dir").otherwise("unique_stem").alias("method"))
 
 
-def ancestors(parents: DataFrame, start: DataFrame, most: int = 100_000) -> DataFrame:
+def ancestors(parents: DataFrame, start: DataFrame, most: int = 100_000, steps: int = 8) -> DataFrame:
     """Distinct (commit_sha) reachable from ``start`` over parents, itself included, by frontier joins.
 
-    Each round joins only the new frontier; what is known is written to shared
-    storage every few rounds, so neither plans nor lineage grow with the depth.
+    A round goes ``steps`` generations further and writes only what it found
+    new, so each commit is written once and a history of n generations takes
+    n / ``steps`` rounds; neither plans nor lineage grow with the depth.
     """
     from orebody.storage import durable
 
-    known = durable(start.select("commit_sha").distinct(), "reach")
-    frontier = known
-    edges = parents.select("commit_sha", "parent_sha")
+    frontier = durable(start.select("commit_sha").distinct(), "reach")
+    edges = durable(parents.select("commit_sha", "parent_sha").distinct(), "edges")
+    known = frontier
     for _ in range(most):
-        frontier = durable(frontier.join(edges, "commit_sha").select(F.col("parent_sha").alias("commit_sha")).distinct().join(known, "commit_sha", "left_anti"), "front")
+        step, found = frontier, None
+        for _ in range(steps):
+            step = step.join(edges, "commit_sha").select(F.col("parent_sha").alias("commit_sha")).distinct()
+            found = step if found is None else found.unionByName(step)
+        frontier = durable(found.distinct().join(known, "commit_sha", "left_anti"), "front")
         if frontier.isEmpty():
             return known
-        known = durable(known.unionByName(frontier), "reach")
+        known = known.unionByName(frontier)
     raise RuntimeError("history deeper than the bound")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,23 +19,19 @@ def _numbered(texts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def markers(texts: DataFrame, keys: list[str], words: list[str] = MARKERS) -> DataFrame:
-    """(keys, line, marker, text): every marker of every line; ``texts``: keys and text."""
-    # one word at a time: hits come grouped by marker, and overlapping rests stay whole
-    out = None
-    for word in words:
-        pattern = marker_pattern([word])
-        rows = _numbered(texts.filter(F.contains("text", F.lit(word))), keys).filter(F.contains("__line", F.lit(word)))
-        cut = F.split("__line", pattern)
-        tails = _tails(cut, word)
-        one = rows.filter(F.size(cut) > 1).select(*keys, "line", F.lit(word).alias("marker"), F.explode(tails).alias("__rest"))
-        one = one.select(*keys, "line", "marker", F.substring(F.rtrim(F.regexp_replace("__rest", r"^[: \t]+", "")), 1, MARKER_TEXT).alias("text"))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def _tails(cut: Column, word: str) -> Column:
-    """What follows each occurrence of ``word``, given the line cut at its occurrences."""
-    return F.transform(F.sequence(F.lit(2), F.size(cut)), lambda k: F.array_join(F.slice(cut, k, F.size(cut)), word))
+    """(keys, line, marker, text): every marker of every line; ``texts``: keys and text. One pass over the texts for all words."""
+    has = lambda c: reduce(lambda a, w: a | F.contains(c, F.lit(w)), words[1:], F.contains(c, F.lit(words[0])))
+    rows = _numbered(texts.filter(has("text")), keys).filter(has("__line"))
+    hits = F.concat(*(_rests(F.split("__line", marker_pattern([w])), w) for w in words))
+    out = rows.select(*keys, "line", F.inline(hits))
+    return out.select(*keys, "line", "marker", F.substring(F.regexp_replace(F.regexp_replace("rest", r"^[: \t]+", ""), r"\s+$", ""), 1, MARKER_TEXT).alias("text"))
+
+
+def _rests(cut: Column, word: str) -> Column:
+    """What follows each occurrence of ``word``, with the word, given the line cut at its occurrences."""
+    one = lambda k: F.struct(F.lit(word).alias("marker"), F.array_join(F.slice(cut, k, F.size(cut)), word).alias("rest"))
+    none = F.expr("CAST(array() AS array<struct<marker: string, rest: string>>)")
+    return F.when(F.size(cut) > 1, F.transform(F.sequence(F.lit(2), F.size(cut)), one)).otherwise(none)
 
 
 def _hits(line: Column, rule: str, pattern: str, shown: int) -> Column:

@@ -221,7 +221,7 @@ def head_tables(spark: SparkSession, repo: str, level: str) -> Raw:
     }
     if level != "basic":
         blobs = durable(git.read_blobs(plain.select("path", "blob_sha"), repo), "blobs")
-        syms, refs = resolve.resolve(resolve.parse(blobs), plain.select("path"), resolve.go_modules(blobs))
+        syms, refs = resolve.resolve(resolve.parse(blobs), plain.select("path"), resolve.go_modules(blobs), resolve.path_aliases(blobs))
         raw |= {"head_blobs": blobs, "symbols": durable(syms, "syms"), "refs": durable(refs, "srefs")}
     return raw
 
@@ -230,7 +230,7 @@ def extras(spark: SparkSession, repo: str, raw: Raw, tables: dict[str, DataFrame
     """Snapshots, chunks and trees, where the level or an option asks for them."""
     high = options.level == "high"
     spec = options.snapshots if options.snapshots is not None else ("tags" if high else None)
-    shots = blame_snapshots(spark, repo, git.snapshot_targets(repo, spec)) if spec else None
+    shots = blame_snapshots(spark, repo, git.snapshot_targets(spark, repo, spec)) if spec else None
     if shots is not None:
         tables["blame_snapshots"] = durable(shots, "shots")
         tables["snapshot_ownership"] = ownership.snapshot_ownership(tables["blame_snapshots"], tables["commits"], tables["authors"])

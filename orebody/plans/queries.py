@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from orebody.functions import commits as fc
 from orebody.functions import paths as fp
+from orebody.functions.content import SECRET_RULES
 from orebody.operators import code_graph, content, coupling, identity, insights, ownership, renames
 from orebody.plans import surfaces, views
 from orebody.plans.adapters import Adapted, with_tables
@@ -200,12 +201,17 @@ def insights_fragile_hub(t):
     return insights.fragile_hub(t["module_deps"], t["commit_files"], t["files"], t["non_authored"], LOW)
 
 
-@query()
 def insights_all(t):
-    """The union of all findings; each part has a definition of its own above."""
+    """The union of all findings."""
     return t["insights"]
 
 
+QUERIES["insights_all"] = lambda spark, folder: insights_all(Index(spark, folder))
+#: Each part is another query's definition.
+_ALL = " UNION ALL ".join(f"SELECT * FROM ({ORACLES[n]})" for n in list(ORACLES) if n.startswith("insights_"))
+ORACLES["insights_all"] = _ALL
+
+
 @query("symbols symbol_refs", """, s AS (SELECT *, row_number() OVER () AS rid FROM symbol_refs), h AS (SELECT s.*, y.name AS src_name, y.kind AS src_kind, y.start_line,
  row_number() OVER (PARTITION BY rid ORDER BY y.end_line - y.start_line, -y.start_line, y.name, y.kind) AS rk FROM s JOIN symbols y ON s.file_id = y.file_id AND s.line BETWEEN y.start_line AND y.end_line),
  u AS (SELECT file_id, name, min(start_line) AS dst FROM symbols GROUP BY 1, 2 HAVING count(*) = 1)
@@ -270,13 +276,13 @@ def identity_reviews(t):
     return identity.review_queue(people, aliases)
 
 
-@query("commits", r""", h AS (SELECT *, CASE WHEN subject LIKE '%:%' THEN trim(split_part(subject, ':', 1)) END AS head FROM commits), b AS (SELECT *, coalesce(head LIKE '%!', false) AS brk, regexp_replace(head, '!+$', '') AS bare FROM h),
- k AS (SELECT *, bare LIKE '%(%)' AS scoped, lower(trim(CASE WHEN bare LIKE '%(%)' THEN split_part(bare, '(', 1) ELSE bare END)) AS ck, lower(regexp_extract(subject, '^[A-Za-z]*')) AS w FROM b),
+@query("commits", r""", h AS (SELECT *, CASE WHEN subject LIKE '%:%' THEN trim(split_part(subject, ':', 1), E' \t\r') END AS head FROM commits), b AS (SELECT *, coalesce(suffix(head, '!'), false) AS brk, CASE WHEN suffix(head, '!') THEN trim(left(head, length(head) - 1)) ELSE head END AS bare FROM h),
+ k AS (SELECT *, bare LIKE '%(%)' AS scoped, lower(trim(CASE WHEN bare LIKE '%(%)' THEN split_part(bare, '(', 1) ELSE bare END)) AS ck, lower(regexp_extract(ltrim(subject), '^[A-Za-z]*')) AS w FROM b),
  c AS (SELECT *, coalesce(ck IN ('feat', 'fix', 'docs', 'style', 'refactor', 'perf', 'test', 'build', 'ci', 'chore', 'revert'), false) AS conv FROM k)
  SELECT commit_sha, CASE WHEN is_merge THEN 'merge' WHEN conv THEN ck WHEN w IN ('fix', 'fixed', 'fixes', 'bug', 'bugfix', 'hotfix') THEN 'fix' WHEN w IN ('add', 'added', 'feat', 'feature', 'implement', 'introduce', 'new') THEN 'feat'
  WHEN w IN ('doc', 'docs', 'documentation', 'readme') THEN 'docs' WHEN w IN ('test', 'tests', 'testing') THEN 'test' WHEN w IN ('refactor', 'refactored', 'cleanup', 'rename', 'move', 'reorganize') THEN 'refactor'
  WHEN w IN ('perf', 'optimize', 'optimise', 'speed') THEN 'perf' WHEN w = 'revert' THEN 'revert' WHEN w IN ('bump', 'chore', 'release', 'deps', 'dependency', 'dependencies') THEN 'chore' WHEN w = 'merge' THEN 'merge' ELSE 'other' END AS kind,
- CASE WHEN NOT is_merge AND conv AND scoped THEN substr(bare, strpos(bare, '(') + 1, length(bare) - strpos(bare, '(') - 1) ELSE '' END AS scope, NOT is_merge AND conv AS is_conventional, NOT is_merge AND conv AND brk AS is_breaking FROM c""")
+ CASE WHEN NOT is_merge AND conv AND scoped THEN trim(substr(bare, strpos(bare, '(') + 1, length(bare) - strpos(bare, '(') - 1)) ELSE '' END AS scope, NOT is_merge AND conv AS is_conventional, NOT is_merge AND conv AND brk AS is_breaking FROM c""")
 def commit_classes(t):
     return t["commits"].select("commit_sha", fc.classify(F.col("subject"), F.col("is_merge")).alias("r")).select("commit_sha", "r.*")
 
@@ -289,7 +295,7 @@ def commit_trailers(t):
     return t["messages"].select("commit_sha", F.posexplode(fc.parse_trailers("message")).alias("seq", "r")).select("commit_sha", "seq", "r.key", "r.value")
 
 
-@query("messages", r""" SELECT commit_sha, trim(split_part(message, chr(10), 1)) AS subject, nullif(regexp_replace(substr(message, strpos(message || chr(10), chr(10)) + 1), '^\s+|\s+$', '', 'g'), '') AS body FROM messages""")
+@query("messages", r""" SELECT commit_sha, regexp_replace(split_part(message, chr(10), 1), '^\s+|\s+$', '', 'g') AS subject, nullif(regexp_replace(substr(message, strpos(message || chr(10), chr(10)) + 1), '^\s+|\s+$', '', 'g'), '') AS body FROM messages""")
 def commit_messages(t):
     return t["messages"].select("commit_sha", fc.subject_of(F.col("message")).alias("subject"), fc.body_of(F.col("message")).alias("body"))
 
@@ -321,21 +327,32 @@ def test_coverage(t):
 
 @query("head_texts", r""", l AS (SELECT file_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM head_texts),
  h AS (SELECT file_id, line, m AS marker, s, unnest(range(1, length(s) + 1)) AS i FROM l CROSS JOIN (VALUES ('token'), ('the')) v(m) WHERE contains(s, m))
- SELECT file_id, CAST(line AS INT) AS line, marker, substr(rtrim(regexp_replace(substr(s, i + length(marker)), '^[: \t]+', '')), 1, 200) AS text FROM h
+ SELECT file_id, CAST(line AS INT) AS line, marker, substr(regexp_replace(regexp_replace(substr(s, i + length(marker)), '^[: \t]+', ''), '\s+$', ''), 1, 200) AS text FROM h
  WHERE substr(s, i, length(marker)) = marker AND NOT regexp_matches(substr(s, i - 1, CASE WHEN i > 1 THEN 1 ELSE 0 END), '[A-Za-z0-9]') AND NOT regexp_matches(substr(s, i + length(marker), 1), '[A-Za-z0-9]')""")
 def code_markers(t):
     return t["code_markers"]
 
 
-@query("head_texts", r""", l AS (SELECT file_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM head_texts),
- m AS (SELECT file_id, line, unnest(regexp_extract_all(s, '[tT][oO][kK][eE][nN] = "[0-9a-fA-F]{40}"')) AS m FROM l) SELECT file_id, CAST(line AS INT) AS line, 'generic_token' AS rule, substr(m, 1, 5) || '…' AS preview FROM m""")
+@query("secret_texts", r""", l AS (SELECT file_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM secret_texts),
+ k AS (SELECT * FROM (VALUES ('aws_access_key', '\b(?:AKIA|ASIA)[0-9A-Z]{16}\b', 4), ('github_token', '\b(?:gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{50,})', 4), ('google_api_key', '\bAIza[0-9A-Za-z_-]{35}', 4), ('slack_token', '\bxox[abprs]-[0-9A-Za-z-]{10,}', 5),
+ ('stripe_secret_key', '\b[sr]k_live_[0-9A-Za-z]{16,}', 8), ('private_key', '-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----', 11), ('generic_token', '[tT][oO][kK][eE][nN] = "[0-9a-fA-F]{40}"', 5)) v(rule, p, n)),
+ m AS (SELECT file_id, line, rule, n, unnest(regexp_extract_all(s, p)) AS m FROM l, k WHERE length(s) > 0) SELECT file_id, CAST(line AS INT) AS line, rule, substr(m, 1, n) || '…' AS preview FROM m""")
 def secret_findings(t):
-    return content.secrets(t["head_texts"], ["file_id"], {"generic_token": (r'[tT][oO][kK][eE][nN] = "[0-9a-fA-F]{40}"', 5)})
+    return content.secrets(t["secret_texts"], ["file_id"], SECRET_RULES | {"generic_token": (r'[tT][oO][kK][eE][nN] = "[0-9a-fA-F]{40}"', 5)})
 
 
-@query("head_texts", " SELECT sha1(text) AS blob_sha, any_value(CAST(strlen(text) AS BIGINT)) AS size_bytes, any_value(CAST(length(text) - length(replace(text, chr(10), '')) + CASE WHEN text <> '' AND text NOT LIKE '%' || chr(10) THEN 1 ELSE 0 END AS BIGINT)) AS line_count, false AS is_binary FROM head_texts GROUP BY 1")
+@query("head_texts", """, x AS (SELECT file_id, text || CASE WHEN file_id % 9 = 0 THEN chr(0) || 'x' ELSE '' END AS text, file_id % 9 = 0 AND strlen(text) < 8000 AS is_binary FROM head_texts)
+ SELECT sha1(text) AS blob_sha, any_value(CAST(strlen(text) AS BIGINT)) AS size_bytes, any_value(CAST(CASE WHEN is_binary THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + CASE WHEN text <> '' AND text NOT LIKE '%' || chr(10) THEN 1 ELSE 0 END END AS BIGINT)) AS line_count, any_value(is_binary) AS is_binary FROM x GROUP BY 1""")
 def blob_facts(t):
-    return content.blob_facts(t["head_texts"].select(F.sha1(F.col("text").cast("binary")).alias("blob_sha"), F.col("text").cast("binary").alias("bytes")))
+    text = F.when(F.col("file_id") % 9 == 0, F.concat("text", F.lit("\0x"))).otherwise(F.col("text")).cast("binary")
+    return content.blob_facts(t["head_texts"].select(F.sha1(text).alias("blob_sha"), text.alias("bytes")))
+
+
+@query("head_texts", r""", l AS (SELECT file_id, path, text, unnest(list_slice(string_split(text, chr(10)), 1, 15)) AS s FROM (SELECT file_id, path, CASE file_id % 5 WHEN 0 THEN '// Code generated by x' || chr(10) WHEN 1 THEN '#!/bin/sh' || chr(10) || '# see: code generated by x' || chr(10) WHEN 2 THEN repeat(chr(10), 15) || '@generated' || chr(10) WHEN 3 THEN '<!-- AutoGenerated -->' || chr(10) ELSE '' END || text AS text FROM head_texts))
+ SELECT DISTINCT file_id, 'generated' AS category, 'content-marker' AS reason FROM l WHERE regexp_matches(lower(regexp_replace(s, '^[ \t/*#!\-<>;%]+', '')), '^(@generated|code generated by|autogenerated|auto-generated|automatically generated)')""")
+def generated_headers(t):
+    head = F.element_at(F.array(*map(F.lit, ["// Code generated by x\n", "#!/bin/sh\n# see: code generated by x\n", "\n" * 15 + "@generated\n", "<!-- AutoGenerated -->\n", ""])), (F.col("file_id") % 5 + 1).cast("int"))
+    return content.generated_by_header(t["head_texts"].withColumn("text", F.concat(head, "text")), ["file_id"])
 
 
 def _blobs(t):
@@ -363,17 +380,17 @@ def chunk_dedup_ratio(t):
 
 
 def _commit():
-    return F.expr("concat(split(path, '/')[0], '-', CAST((file_id div 2) % 4 AS STRING))")
+    return F.expr("concat(split(path, '/')[0], '-', CAST(file_id div 250 AS STRING))")
 
 
 def _changes(t):
-    """Even documents as deletions and odd ones as additions; a commit is a language and a quarter of its documents."""
+    """Even documents as deletions and odd ones as additions; a commit is a language and 250 neighbouring numbers, so commits grow in number and not in size."""
     sha = F.sha1(F.col("text").cast("binary"))
     gone = F.col("file_id") % 2 == 0
     return t["head_texts"].select(_commit().alias("commit_sha"), F.when(gone, "D").otherwise("A").alias("change_type"), "path", F.when(gone, sha).otherwise(F.lit("0" * 40)).alias("src_blob_sha"), F.when(gone, F.lit("0" * 40)).otherwise(sha).alias("dst_blob_sha"))
 
 
-_CHG = ", g AS (SELECT split_part(path, '/', 1) || '-' || CAST((file_id // 2) % 4 AS VARCHAR) AS commit_sha, path, sha1(text) AS blob_sha, row_number() OVER (PARTITION BY split_part(path, '/', 1) || '-' || CAST((file_id // 2) % 4 AS VARCHAR), sha1(text), file_id % 2 ORDER BY path) AS k, file_id % 2 AS side FROM head_texts)"
+_CHG = ", g AS (SELECT split_part(path, '/', 1) || '-' || CAST(file_id // 250 AS VARCHAR) AS commit_sha, path, sha1(text) AS blob_sha, row_number() OVER (PARTITION BY split_part(path, '/', 1) || '-' || CAST(file_id // 250 AS VARCHAR), sha1(text), file_id % 2 ORDER BY path) AS k, file_id % 2 AS side FROM head_texts)"
 
 
 @query("head_texts", _CHG + " SELECT d.commit_sha, d.blob_sha, d.path AS old_path, a.path FROM g d JOIN g a ON d.commit_sha = a.commit_sha AND d.blob_sha = a.blob_sha AND d.k = a.k AND d.side = 0 AND a.side = 1")
@@ -389,7 +406,7 @@ def inexact_renames(t):
 
 
 @query("head_texts", r""", b AS (SELECT DISTINCT sha1(text) AS s, text FROM head_texts), l AS (SELECT s, x, count(*) AS n FROM (SELECT s, unnest(regexp_extract_all(text, '[^\n]*\n|[^\n]+$')) AS x FROM b) GROUP BY 1, 2), z AS (SELECT s, sum(n) AS t FROM l GROUP BY 1),
- p AS (SELECT DISTINCT split_part(d.path, '/', 1) || '-' || CAST((d.file_id // 2) % 4 AS VARCHAR) AS commit_sha, sha1(d.text) AS x, sha1(a.text) AS y FROM head_texts d JOIN head_texts a ON split_part(d.path, '/', 1) || '-' || CAST((d.file_id // 2) % 4 AS VARCHAR) = split_part(a.path, '/', 1) || '-' || CAST((a.file_id // 2) % 4 AS VARCHAR) AND d.file_id % 2 = 0 AND a.file_id % 2 = 1 WHERE d.text <> a.text)
+ p AS (SELECT DISTINCT split_part(d.path, '/', 1) || '-' || CAST(d.file_id // 250 AS VARCHAR) AS commit_sha, sha1(d.text) AS x, sha1(a.text) AS y FROM head_texts d JOIN head_texts a ON split_part(d.path, '/', 1) || '-' || CAST(d.file_id // 250 AS VARCHAR) = split_part(a.path, '/', 1) || '-' || CAST(a.file_id // 250 AS VARCHAR) AND d.file_id % 2 = 0 AND a.file_id % 2 = 1 WHERE d.text <> a.text)
  SELECT commit_sha, p.x AS a_blob, p.y AS b_blob, round(CAST(sum(least(u.n, v.n)) AS DOUBLE) / greatest(any_value(zx.t), any_value(zy.t)), 6) AS similarity FROM p JOIN l u ON u.s = p.x JOIN l v ON v.s = p.y AND u.x = v.x JOIN z zx ON zx.s = p.x JOIN z zy ON zy.s = p.y GROUP BY 1, 2, 3""")
 def rename_similarity(t):
     blobs = t["head_texts"].select(F.sha1(F.col("text").cast("binary")).alias("blob_sha"), "text")
@@ -484,11 +501,31 @@ def surface_graph(t):
     return surfaces.graph(t, "brand/11")
 
 
-@query()
+@query("", f"SELECT * FROM ({_ALL}) WHERE subject = 'brand' OR subject LIKE 'brand/%' OR split_part(subject, ' ↔ ', 2) LIKE 'brand/%'")
 def surface_risks(t):
     return surfaces.risks(t, "brand")
 
 
+@query("", _ALL)
+def risks_view(t):
+    return views.v_risks(t)
+
+
+@query("dependencies", " SELECT ecosystem, name, version, scope, manifest_path FROM dependencies")
+def dependencies_view(t):
+    return views.v_dependencies(t)
+
+
+@query("dependencies", " SELECT ecosystem, name, version, scope, manifest_path FROM dependencies WHERE lower(name) LIKE '%1%' OR ecosystem = '1'")
+def surface_dependencies(t):
+    return surfaces.dependencies(t, "1")
+
+
+@query("semantic_refs files", " SELECT a.path AS ref_path, line, name, ref_kind, b.path AS def_path, def_line, lang FROM semantic_refs s JOIN files a ON s.file_id = a.file_id JOIN files b ON s.def_file_id = b.file_id")
+def semantic_view(t):
+    return views.v_semantic(t)
+
+
 @query("head_texts", ORACLES["code_markers"].split("FROM documents)", 1)[1].replace(" SELECT file_id, CAST(line AS INT) AS line, marker,", " SELECT path, CAST(line AS INT) AS line, marker,").replace("SELECT file_id, unnest", "SELECT path, unnest").replace("SELECT file_id, line, m AS", "SELECT path, line, m AS").replace("FROM h", "FROM h") + " AND path LIKE 'en/src1/%'")
 def surface_markers(t):
     files = t["head_texts"].select("file_id", "path")
@@ -530,12 +567,6 @@ def first_existing(t):
     return code_graph.first_existing(rows, "o_orderkey", "tries", t.source("customer").select(F.col("c_custkey").alias("hit")), "hit")
 
 
-@query("", "WITH RECURSIVE s AS (SELECT DISTINCT o_custkey AS p, o_custkey // 2 AS q FROM orders WHERE o_custkey % 4 <> 1 AND o_custkey > 1), f AS (SELECT c_custkey AS key, c_custkey AS p, 0 AS depth FROM customer UNION ALL SELECT key, q, depth + 1 FROM f JOIN s USING (p)) SELECT key, arg_max(p, depth) AS \"at\", CAST(max(depth) AS INT) AS depth FROM f GROUP BY 1")
-def followed_chains(t):
-    steps = t.source("orders").filter("o_custkey % 4 <> 1 and o_custkey > 1").select(F.col("o_custkey").alias("at"), F.expr("o_custkey div 2").alias("to")).distinct()
-    return code_graph.follow(t.source("customer").select(F.col("c_custkey").alias("key"), F.col("c_custkey").alias("at")), steps)
-
-
 @query("", "SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS window_start_epoch, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
 def windowed_activity(t):
     from orebody.streaming.activity import windowed_activity as windows

@@ -48,6 +48,8 @@ def build(path: Path) -> Repo:
     r.write("web/math.ts", "export function add(a: number) {\n  return a;\n}\n")
     r.write("web/more.ts", "export const twice = (x: number) => x + x;\n")
     r.write("web/app.ts", "import { plus, twice } from '.';\nimport { far } from 'ext';\nfunction far2() {}\nexport function main() {\n  plus(1);\n  twice(2);\n  far();\n  far2();\n}\n")
+    r.write("web/tsconfig.json", '{ // the site\n  "compilerOptions": { "baseUrl": ".", /* aliases */ "paths": { "@m/*": ["./nowhere/*", "./*"], "@sums": ["./math"], }, },\n}\n')
+    r.write("web/deep/use.ts", "import { add } from '@sums';\nimport { twice } from '@m/more';\nimport { gone } from '@n/more';\nexport function both() {\n  add(1);\n  twice(2);\n  gone();\n}\n")
     r.commit("feat(core)!: start")
     r.git("tag", "light")
     r.write("src/b.txt", BODY.replace("line number 7 ", "changed 7 "))

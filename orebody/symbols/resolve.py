@@ -3,17 +3,19 @@
 Resolution of a reference, first hit counts: the owner of the receiver's type
 when that is one file; then by language — Go: same file, own folder, the
 qualifier's package, the whole repository; Java, C#, Rust, Python: same file,
-whole repository, visible scopes; TypeScript: what the import binds to (an
-external import binds to nothing), same file; Ruby and C: same file. Every step
+whole repository, visible scopes; TypeScript: what the import binds to (a
+module may be an alias of a tsconfig; an external import binds to nothing), same file; Ruby and C: same file. Every step
 but "same file" needs exactly one candidate file.
 """
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -79,16 +81,97 @@ def module_candidates(at: DataFrame) -> DataFrame:
         parts, F.expr("CAST(array() AS array<string>)"),
         lambda acc, x: F.when((x == ".") | (x == ""), acc).when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x))),
     )
-    base = F.array_join(folded, "/")
+    return at.withColumn("tries", tries_of(F.array_join(folded, "/")))
+
+
+def tries_of(base: Column) -> Column:
+    """Paths that a module at ``base`` may stand for, in order."""
     bare = F.regexp_replace(base, r"\.jsx?$", "")
     as_ts = F.when(base.rlike(r"\.jsx?$"), F.array(F.concat(bare, F.lit(".ts")), F.concat(bare, F.lit(".tsx")))).otherwise(F.expr("CAST(array() AS array<string>)"))
     exact = F.when(F.substring_index(base, "/", -1).contains("."), F.array(base)).otherwise(F.expr("CAST(array() AS array<string>)"))
     ends = F.array(*(F.concat(base, F.lit(e)) for e in TS_EXTENSIONS), *(F.concat(base, F.lit("/index" + e)) for e in TS_EXTENSIONS))
-    return at.withColumn("tries", F.concat(exact, as_ts, ends))
+    return F.concat(exact, as_ts, ends)
+
+
+_JSONC = re.compile(r'("(?:\\.|[^"\\])*")|//[^\n]*|/\*.*?(?:\*/|\Z)', re.DOTALL)
+_LAST_COMMA = re.compile(r'("(?:\\.|[^"\\])*")|,(?=\s*[}\]])', re.DOTALL)
+
+
+def read_jsonc(text: str):
+    """JSON with comments and commas before a closing bracket; None where it is not."""
+    for pattern in (_JSONC, _LAST_COMMA):
+        text = pattern.sub(lambda m: m[1] or "", text)
+    try:
+        return json.loads(text)
+    except ValueError:
+        return None
+
+
+def _folder(*parts: str) -> str:
+    done: list[str] = []
+    for part in "/".join(parts).split("/"):
+        if part == "..":
+            done = done[:-1]
+        elif part not in ("", "."):
+            done.append(part)
+    return "/".join(done)
+
+
+def alias_rules(path: str, text: str) -> list[dict]:
+    """Path aliases that a tsconfig declares: folder it rules, prefix, whether a rest follows, targets in order."""
+    options = found.get("compilerOptions") if isinstance(found := read_jsonc(text), dict) else None
+    declared = options.get("paths") if isinstance(options, dict) else None
+    if not isinstance(declared, dict):
+        return []
+    home, base = path.rpartition("/")[0], options.get("baseUrl")
+    root = _folder(home, base if isinstance(base, str) else ".")
+    rules = []
+    for pattern, targets in declared.items():
+        places = [_folder(root, t.rstrip("*")) for t in targets if isinstance(t, str)] if isinstance(targets, list) else []
+        if places:
+            rules.append({"folder": home, "prefix": pattern.rstrip("*"), "open": pattern.endswith("*"), "places": places})
+    return rules
+
+
+def path_aliases(blobs: DataFrame) -> DataFrame:
+    """(folder, nth, prefix, open, places) of every tsconfig's own aliases; ``blobs``: path, bytes."""
+    name = F.substring_index("path", "/", -1)
+    files = blobs.filter((name == "tsconfig.json") | (name.startswith("tsconfig.") & name.endswith(".json"))).select("path", "bytes")
+    schema = "folder string, nth int, config string, prefix string, open boolean, places array<string>"
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [{**rule, "nth": k, "config": r["path"]} for r in b.to_pylist() for k, rule in enumerate(alias_rules(r["path"], (r["bytes"] or b"").decode("utf-8", "replace")))]
+            yield pa.RecordBatch.from_pylist(rows, schema=kind)
+
+    return files.mapInArrow(run, schema)
+
+
+def alias_candidates(uses: DataFrame, aliases: DataFrame) -> DataFrame:
+    """``uses`` (path, module, use) with ``tries``: paths that its aliases offer; rules of the deepest folder first, then in the order of the file."""
+    parts = F.split(dir_of(F.col("path")), "/")
+    above = F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")))
+    ruled = uses.withColumn("folder", F.explode(F.array_distinct(above))).join(aliases, "folder")
+    fits = F.when(F.col("open"), F.expr("startswith(module, prefix)")).otherwise(F.col("module") == F.col("prefix"))
+    rest = F.when(F.col("open"), F.expr("substring(module, length(prefix) + 1)"))
+    bases = F.transform("places", lambda p: F.concat_ws("/", F.nullif(p, F.lit("")), rest))
+    rule = F.struct((-F.length("folder")).alias("depth"), "config", "nth", F.flatten(F.transform(bases, tries_of)).alias("tries"))
+    found = ruled.filter(fits).groupBy("use").agg(F.sort_array(F.collect_list(rule)).alias("rules"))
+    return found.select("use", F.flatten("rules.tries").alias("tries"))
+
+
+def resolve_modules(uses: DataFrame, paths: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """(path, module, target) of modules that exist: relative ones and, with ``aliases``, those that a tsconfig names; ``uses``: path, module."""
+    found = _relative(uses, paths)
+    if aliases is None:
+        return found
+    named = uses.filter(~F.col("module").startswith(".")).select("path", "module").distinct().withColumn("use", F.concat_ws("\u0001", "path", "module"))
+    hit = first_existing(alias_candidates(named, aliases), "use", "tries", paths.select(F.col("path").alias("target")), "target")
+    return found.unionByName(named.join(hit, "use").select("path", "module", "target"))
 
 
-def resolve_modules(uses: DataFrame, paths: DataFrame) -> DataFrame:
-    """(path, module, target) of relative modules that exist; ``uses``: path, module."""
+def _relative(uses: DataFrame, paths: DataFrame) -> DataFrame:
     rel = uses.filter(F.col("module").startswith(".")).select("path", "module").distinct().withColumn("use", F.concat_ws("\u0001", "path", "module"))
     hit = first_existing(module_candidates(rel), "use", "tries", paths.select(F.col("path").alias("target")), "target")
     return rel.join(hit, "use").select("path", "module", "target")
@@ -113,8 +196,8 @@ def definers(names: DataFrame, syms: DataFrame, reexports: DataFrame, rounds: in
     return found.select("key", "def_path")
 
 
-def resolve(parsed: DataFrame, paths: DataFrame, go_modules: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(symbols, references with def_path). ``go_modules``: module (name), root (folder)."""
+def resolve(parsed: DataFrame, paths: DataFrame, go_modules: DataFrame | None = None, aliases: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(symbols, references with def_path). ``go_modules``: module (name), root (folder); ``aliases`` as ``path_aliases`` gives them."""
     parsed = durable(parsed, "parsed")
     syms = symbols(parsed)
     refs = durable(references(parsed), "refs")
@@ -134,7 +217,7 @@ def resolve(parsed: DataFrame, paths: DataFrame, go_modules: DataFrame | None =
     wanted = refs.filter(F.col("lang").isin(*SCOPED)).select("lang", "path", "name").distinct()
     visible = unique_by(wanted.join(sees, ["lang", "path"]).join(own, ["lang", "seen", "name"]), ["lang", "path", "name"], "def_path").withColumnRenamed("def_path", "visible")
     out = out.join(visible, ["lang", "path", "name"], "left")
-    out = _with_imports(out, parsed, refs, syms, paths)
+    out = _with_imports(out, parsed, refs, syms, paths, aliases)
     out = _with_go(out, parsed, folder, go_modules)
     scoped = F.coalesce("here", "alone", "visible")
     go = F.coalesce("here", "near", "package", "alone")
@@ -143,11 +226,11 @@ def resolve(parsed: DataFrame, paths: DataFrame, go_modules: DataFrame | None =
     return syms, out.select("path", "blob_sha", "name", "ref_kind", "line", "lang", F.coalesce("by_type", target).alias("def_path"))
 
 
-def _with_imports(out: DataFrame, parsed: DataFrame, refs: DataFrame, syms: DataFrame, paths: DataFrame) -> DataFrame:
+def _with_imports(out: DataFrame, parsed: DataFrame, refs: DataFrame, syms: DataFrame, paths: DataFrame, aliases: DataFrame | None) -> DataFrame:
     ts = parsed.filter(F.col("lang").isin(*TS))
     imports = ts.select("path", F.inline("imports")).groupBy("path", "local").agg(F.min(F.struct("module", "name")).alias("i")).select("path", "local", "i.module", F.col("i.name").alias("imported_name"))
     reexports = ts.select("path", F.inline("reexports"))
-    modules = durable(resolve_modules(imports.select("path", "module").unionByName(reexports.select("path", "module")), paths), "modules")
+    modules = durable(resolve_modules(imports.select("path", "module").unionByName(reexports.select("path", "module")), paths, aliases), "modules")
     bound = refs.filter(F.col("lang").isin(*TS)).join(imports.withColumnRenamed("local", "name"), ["path", "name"]).join(modules, ["path", "module"], "left")
     star = refs.filter(F.col("lang").isin(*TS)).join(imports.filter("imported_name = '*'").withColumnRenamed("local", "qualifier"), ["path", "qualifier"]).join(modules, ["path", "module"], "left")
     asked = bound.select("ref_id", "target", F.when(F.col("imported_name").isin("*", "default"), F.col("name")).otherwise(F.col("imported_name")).alias("name")).unionByName(star.select("ref_id", "target", "name"))

@@ -7,6 +7,7 @@ from orebody.functions import manifests
 from orebody.functions import paths as fp
 from orebody.schema import SCHEMAS
 from orebody.symbols import extract
+from orebody.operators import content
 
 
 def values(spark, kind, items, column):
@@ -24,6 +25,7 @@ def test_classify(spark):
         "feat(api)!: drop v1": ("feat", "api", True, True), "fix: bug": ("fix", "", True, False), "Fix the bug": ("fix", "", False, False), "Added tests": ("feat", "", False, False),
         "wip: thing": ("other", "", False, False), "refactor(a(b)): x": ("refactor", "a(b)", True, False), "bump deps": ("chore", "", False, False), "#12 fix": ("other", "", False, False),
         "DOCS: x": ("docs", "", True, False), "": ("other", "", False, False), "update!: x": ("other", "", False, False),
+        "feat!!: x": ("feat", "", False, False), "feat( core ): x": ("feat", "core", True, False), "feat(x) !: y": ("feat", "x", True, True), "  fixed it": ("fix", "", False, False), "\tperf : x": ("perf", "", True, False),
     }
     got = values(spark, "string", list(cases), fc.classify(F.col("x"), F.lit(False)))
     assert [tuple(g) for g in got] == list(cases.values())
@@ -60,8 +62,8 @@ def test_test_paths(spark):
         "a/b.test.ts": ("ts", "*.test/spec.*"), "b.spec.jsx": ("js", "*.test/spec.*"), "test_a.py": ("py", "test_*/_test.py"), "conftest.py": ("py", "test_*/_test.py"), "a_test.go": ("go", "*_test.go"), "FooTest.java": ("java", "*Test/Tests/Spec"),
         "x_spec.rb": ("rb", "*_spec/_test.rb"), "FooTest.php": ("php", "*Test.php"), "tests/common.rs": ("rust", "dir:test"), "src/main.rs": None, "test/readme.md": None, "contest.py": None,
     }
-    got = values(spark, "string", list(cases), fp.test_signal(F.col("x")))
-    assert [tuple(g) if g else None for g in got] == list(cases.values())
+    rows = fp.with_test_signal(spark.createDataFrame([(p,) for p in cases], "path string")).filter("signal is not null").collect()
+    assert {r.path: (r.lang, r.signal) for r in rows} == {p: c for p, c in cases.items() if c}
     stems = {"foo.test": "foo", "test_utils": "utils", "FooTests": "Foo", "bar_spec": "bar", "Test": "Test", "plain": "plain"}
     assert values(spark, "string", list(stems), fp.target_stem(F.col("x"))) == list(stems.values())
 
@@ -69,6 +71,12 @@ def test_test_paths(spark):
 def test_markers(spark):
     lines = ["// TODO: a", "TODO_x", "TODOS", "xTODO", "(FIXME) and XXX", "todo", "éTODOé"]
     assert [len(h) for h in values(spark, "string", lines, ft.marker_hits(F.col("x")))] == [1, 1, 0, 0, 2, 0, 1]
+    texts = spark.createDataFrame([(1, "// TODO: y\t \nHACK XXX:a TODO"), (2, "none")], "k int, text string")
+    assert sorted(map(tuple, content.markers(texts, ["k"]).collect())) == [(1, 1, "TODO", "y"), (1, 2, "HACK", "XXX:a TODO"), (1, 2, "TODO", ""), (1, 2, "XXX", "a TODO")]
+
+
+def test_subjects(spark):
+    assert values(spark, "string", ["a b\r\n\r\nbody", "\t x \n", None], fc.subject_of(F.col("x"))) == ["a b", "x", ""]
 
 
 def test_line_counts_and_binary(spark):

@@ -103,6 +103,8 @@ def test_enclosing_spans(spark):
         if held:
             want[i] = min(held)[2]
     assert got == want
+    few = code_graph.enclosing(p, s, "k", "at", "low", "high", ["name"], bucket=50)
+    assert {r.i: r["__s"]["name"] for r in few.collect()} == want
 
 
 def test_prefix_and_candidates(spark):
@@ -112,9 +114,6 @@ def test_prefix_and_candidates(spark):
     tries = spark.createDataFrame([(1, ["x", "y", "z"]), (2, ["q"])], "i int, t array<string>")
     known = spark.createDataFrame([("z",), ("y",)], "p string")
     assert {r.i: r.p for r in code_graph.first_existing(tries, "i", "t", known, "p").collect()} == {1: "y"}
-    steps = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "x")], "at string, to string")
-    start = spark.createDataFrame([(1, "a"), (2, "c"), (3, "x")], "key int, at string")
-    assert {r.key: r.at for r in code_graph.follow(start, steps).collect()} == {1: "c", 2: "c", 3: "x"}
 
 
 def test_components_and_ids(spark):
