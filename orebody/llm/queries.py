@@ -18,7 +18,7 @@ def op1_toxic_span_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     field = toxicity.train(docs, table(spark, sf_dir, "labels"), held_out())
     found = toxicity.tag(docs, field)
-    return found.select("doc_id", held_out().alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
+    return found.select("doc_id", held_out().alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"), "spans")
 
 
 def op2_co_training_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Toxic spans by a linear-chain conditional random field over words.
 
-Chains are sentences of at most ``MAX_CHAIN`` words with two states per word.
+Chains are sentences, however long, with two states per word (only for fitting
+are they cut, after ``FIT_CHAIN`` words).
 A word's state score is the sum of the weights of its own form, its prefixes
 and suffixes; neighbours interact through the transition weights. Labelled
 tokens come from document labels: among the sampled texts (near copies left
@@ -11,15 +12,17 @@ relabel the words of toxic documents, and it is fitted again.
 
 Forward-backward gives every word's marginal. A document's score is a
 calibrated function of its largest marginal and of its expected number of toxic
-words; words whose marginal is at least ``SPAN_FROM`` give the offending spans
-(character offsets).
+words; the words, each at its own place, whose marginal is at least
+``SPAN_FROM`` give the offending spans (character offsets).
 
 Training reads a bounded sample: at most ``max_docs`` toxic texts and ``CLEAN_PER_TOXIC`` times as many clean ones, of
 at most ``max_train_chars`` characters, the first by a hash of doc_id; rows
 that ``held_out`` names are never read for it. Scoring reads every whole text.
 Defined results: null and empty texts score what no toxic word at all scores;
 equal texts score equally; of repeated labels of a doc_id the highest counts;
-without labels of both classes every score is 0; an empty table gives no rows.
+without labels of both classes every score is 0; rows without a doc_id are
+scored and never learned from; ties of the sampling hash don't occur between
+different ids; an empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,7 +44,7 @@ from orebody.llm import linear
 MAX_DOCS = 1500
 CLEAN_PER_TOXIC = 2
 MAX_TRAIN_CHARS = 6000
-MAX_CHAIN = 128
+FIT_CHAIN = 128
 FALSE_DISCOVERIES = 0.1
 NEARLY = 0.8
 SPAN_FROM = 0.5
@@ -95,19 +98,21 @@ class Field:
         return linear.predict(x, self.doc)
 
 
-def chains(stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and lengths of the runs without a stop, cut to MAX_CHAIN words."""
+def chains(stop: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs without a stop; with ``most``, cut to that many words."""
     edges = np.flatnonzero(np.diff(np.concatenate([[True], stop, [True]]).astype(np.int8)))
     starts, ends = edges[0::2], edges[1::2]
-    pieces = -(-(ends - starts) // MAX_CHAIN)
-    first = np.repeat(starts, pieces) + MAX_CHAIN * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
-    return first, np.minimum(first + MAX_CHAIN, np.repeat(ends, pieces)) - first
+    if most is None:
+        return starts, ends - starts
+    pieces = -(-(ends - starts) // most)
+    first = np.repeat(starts, pieces) + most * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    return first, np.minimum(first + most, np.repeat(ends, pieces)) - first
 
 
-def marginals(emission: np.ndarray, stop: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def marginals(emission: np.ndarray, stop: np.ndarray, moves: np.ndarray, longest: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """P(state 1) of every word by forward-backward over all chains at once, and the expected transitions (2 x 2)."""
     out, pairs = np.zeros(len(emission)), np.zeros((2, 2))
-    starts, lengths = chains(stop)
+    starts, lengths = chains(stop, longest)
     order = np.argsort(lengths, kind="stable")
     e = np.exp(moves)
     at = 0
@@ -201,7 +206,7 @@ def fit_field(sequences: list[list[bytes]], labels: list[np.ndarray], forced: np
     theta = np.zeros(len(names) + 5)
     theta[len(names)] = -4.0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    starts, lengths = chains(stop)
+    starts, lengths = chains(stop, FIT_CHAIN)
     inner = np.ones(len(flat), bool)
     inner[starts] = False
     inner &= ~stop
@@ -212,7 +217,7 @@ def fit_field(sequences: list[list[bytes]], labels: list[np.ndarray], forced: np
     total = max(1.0, y.sum())
     for k in range(1, steps + 1):
         emission = np.bincount(word, weights=theta[feat], minlength=len(vocab)) + theta[len(names)]
-        p, pairs = marginals(emission[ids], stop, theta[-4:].reshape(2, 2))
+        p, pairs = marginals(emission[ids], stop, theta[-4:].reshape(2, 2), FIT_CHAIN)
         miss = np.where(stop, 0.0, p - y)
         by_word = np.bincount(ids, weights=miss, minlength=len(vocab))
         g = np.concatenate([np.bincount(feat, weights=by_word[word], minlength=len(names)), [by_word.sum()], (pairs - told).ravel()])
@@ -276,12 +281,14 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, ma
     return train_rows([r.text for r in rows], [r.t == 1 for r in rows])
 
 
-def spans_of(text: str, marked: list[bytes]) -> list[tuple[int, int]]:
-    """Character offsets of the words of ``text`` that are in ``marked``, adjoining ones as one span."""
-    bad = {m.decode("utf-8", "replace") for m in marked}
+_WORD = re.compile(r"[^\x00-\x26\x28-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def spans_of(text: str, marked: set[int]) -> list[tuple[int, int]]:
+    """Character offsets of the words of ``text`` whose numbers (stops don't count) are in ``marked``, adjoining ones as one span."""
     found: list[list[int]] = []
-    for m in re.finditer(r"[^\x00-\x26\x28-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text):
-        if m[0].lower() in bad:
+    for k, m in enumerate(_WORD.finditer(text)):
+        if k in marked:
             if found and not text[found[-1][1] : m.start()].strip():
                 found[-1][1] = m.end()
             else:
@@ -309,7 +316,8 @@ def tag(docs: DataFrame, field: Field | None) -> DataFrame:
                     spans = [[]] * b.num_rows
                     for i in np.flatnonzero(largest >= SPAN_FROM).tolist():
                         own = p[ends[i] - len(words[i]) - 1 : ends[i] - 1]
-                        spans[i] = [{"start": x, "end": y} for x, y in spans_of(texts[i], [words[i][k] for k in np.flatnonzero(own >= SPAN_FROM).tolist()])]
+                        real = [k for k, w in enumerate(words[i]) if w != STOP]
+                        spans[i] = [{"start": x, "end": y} for x, y in spans_of(texts[i], set(np.flatnonzero(own[real] >= SPAN_FROM).tolist()))]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(score, pa.float64()), pa.array((score >= TOXIC_FROM).astype(np.int32)), pa.array(spans, kind)], ["doc_id", "score", "predicted", "spans"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
