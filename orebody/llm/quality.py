@@ -1,6 +1,6 @@
 """Quality classifier by co-training of a text view and a metadata view.
 
-Text view: shape statistics of the whole text. Metadata view: source, language
+Text view: shape statistics and hashed words of the whole text. Metadata view: source, language
 and recorded length, hashed. Each view is a logistic regression; over a few
 rounds each labels the rows of a pool it is most sure of for the other. The
 two views' scores are calibrated on labelled rows kept out of training and
@@ -11,7 +11,8 @@ Training reads a bounded sample: at most ``max_labelled`` labelled and
 hash of doc_id. Scoring reads every row and every whole text.
 
 Defined results: null and empty texts have all-zero text features and are
-scored like any text; null metadata hashes as an own value; of repeated labels
+scored like any text; rows that share a doc_id are learned from once, from the
+least text; null metadata hashes as an own value; of repeated labels
 of a doc_id the highest counts; with labels of one class or none, all scores
 are 0.5 and every row stays; an empty table gives no rows.
 """
@@ -27,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orebody.llm import linear
-from orebody.llm.common import map_batches, texts_of
+from orebody.llm.common import map_batches, slices, texts_of
+from orebody.llm.line_dedup import word_hashes, word_places
 
 MAX_LABELLED = 3000
 MAX_POOL = 2000
@@ -37,6 +39,10 @@ PER_ROUND = 100
 SURE = 0.95
 REJECT_BELOW = 0.5
 META_SLOTS = 32
+SHAPES = 12
+WORD_SLOTS = 128
+#: Divides the standardised word slots, which are many and tell little each, so that the fit leans on them less.
+WORD_CAUTION = np.concatenate([np.ones(SHAPES), np.full(WORD_SLOTS, 6.0)])
 
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes(range(97, 123))
@@ -64,6 +70,21 @@ def text_features(raw: bytes) -> list[float]:
     ]
 
 
+def text_view(texts: list[bytes]) -> np.ndarray:
+    """Shapes and, for each slot of hashed lower-case words, the root of its share of the words; one row per text."""
+    shapes = np.array([text_features(t) for t in texts], dtype=float).reshape(len(texts), SHAPES)
+    raw = b"\n".join(texts).lower()
+    starts, ends = word_places(raw)
+    slots = np.zeros((len(texts), WORD_SLOTS))
+    if len(starts):
+        text = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, "right")
+        with np.errstate(over="ignore"):
+            slot = (word_hashes(raw, starts, ends) % np.uint64(WORD_SLOTS)).astype(np.int64)
+        slots = np.bincount(text * WORD_SLOTS + slot, minlength=slots.size).reshape(slots.shape).astype(float)
+        slots = np.sqrt(slots / np.maximum(1, slots.sum(axis=1, keepdims=True)))
+    return np.column_stack([shapes, slots])
+
+
 def meta_features(source: str | None, lang: str | None, n_chars: int | None) -> list[float]:
     row = [0.0] * (META_SLOTS + 2)
     row[xxhash.xxh32_intdigest(f"s{source}") % META_SLOTS] += 1.0
@@ -77,7 +98,7 @@ class View:
     """Standardised logistic regression with a calibration of its log-odds."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray):
-        self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
+        self.mean, self.scale = x.mean(axis=0), (x.std(axis=0) + 1e-6) * (WORD_CAUTION if x.shape[1] == SHAPES + WORD_SLOTS else 1)
         self.w = linear.fit((x - self.mean) / self.scale, y)
         self.cal = np.array([1.0, 0.0])
 
@@ -145,20 +166,22 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     pool = short.select("doc_id").distinct().join(said, "doc_id", "left_anti").orderBy(by_hash).limit(max_pool).withColumn("__q", F.lit(None).cast("int"))
     ids = [(r[0], r[1]) for r in some.unionByName(pool.select("doc_id", F.col("__q").cast(some.schema["__q"].dataType))).collect()]
     chosen = docs.sparkSession.createDataFrame(ids, "doc_id long, __q int")
-    rows = _features(short.join(F.broadcast(chosen), "doc_id"), ["__q"]).orderBy("doc_id").dropDuplicates(["doc_id"]).collect()
+    least = F.min(F.struct("text", "source", "lang", "n_chars")).alias("r")  # of rows that share a doc_id, whatever the order they come in
+    some = short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(least, F.max("__q").alias("__q")).select("doc_id", "r.*", "__q")
+    rows = _features(some, ["__q"]).collect()
     rows = sorted(rows, key=lambda r: xxhash.xxh32_intdigest(str(r.doc_id)))
     known = [r for r in rows if r["__q"] is not None]
     pooled = [r for r in rows if r["__q"] is None]
     if not known:
         return None
     mat = lambda part, c, n: np.array([r[c] for r in part], dtype=float).reshape(len(part), n)
-    return co_train(mat(known, "xt", 12), mat(known, "xm", META_SLOTS + 2), np.array([float(r["__q"] > 0) for r in known]), mat(pooled, "xt", 12), mat(pooled, "xm", META_SLOTS + 2))
+    return co_train(mat(known, "xt", SHAPES + WORD_SLOTS), mat(known, "xm", META_SLOTS + 2), np.array([float(r["__q"] > 0) for r in known]), mat(pooled, "xt", SHAPES + WORD_SLOTS), mat(pooled, "xm", META_SLOTS + 2))
 
 
 def _features(rows: DataFrame, more: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            xt = [text_features(t) for t in texts_of(b)]
+            xt = text_view(texts_of(b)).tolist()
             xm = [meta_features(*r) for r in zip(*(b.column(c).to_pylist() for c in ("source", "lang", "n_chars")), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(b.column(c) for c in more), pa.array(xt, pa.list_(pa.float64())), pa.array(xm, pa.list_(pa.float64()))], ["doc_id", *more, "xt", "xm"])
 
@@ -177,7 +200,7 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(train(rows, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (c for whole in batches for c in slices(whole, "text", 1 << 20)):
             a, m, s = _score_batch(model.value, b)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(a), pa.array(m), pa.array(s), pa.array(s >= REJECT_BELOW)], ["doc_id", "text_score", "meta_score", "score", "keep"])
 
@@ -187,7 +210,7 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def _score_batch(model: Model | None, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if model is None or not b.num_rows:
         return (np.full(b.num_rows, 0.5),) * 3
-    xt = np.array([text_features(t) for t in texts_of(b)])
+    xt = text_view(texts_of(b))
     xm = np.array([meta_features(*r) for r in zip(*(b.column(c).to_pylist() for c in ("source", "lang", "n_chars")), strict=True)])
     return model.score(xt, xm)
 
@@ -199,7 +222,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, below: float = REJECT_BELOW) -
     kinds = {"text": pa.string(), "source": pa.string(), "lang": pa.string(), "n_chars": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (c for whole in batches for c in slices(whole, "text", 1 << 20)):
             own = [b.column(c).cast(k) if c in names else pa.nulls(b.num_rows, k) for c, k in kinds.items()]
             _, _, s = _score_batch(model.value, pa.RecordBatch.from_arrays(own, list(kinds)))
             yield b.filter(pa.array(s >= below))
