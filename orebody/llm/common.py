@@ -93,9 +93,13 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(run, schema)
 
 
-def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
+def raw_texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column without decoding; null counts as empty."""
-    return [v or b"" for v in batch.column(column).cast(pa.large_binary()).to_pylist()]
+    return [v or b"" for v in column.cast(pa.large_binary()).to_pylist()]
+
+
+def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
+    return raw_texts(batch.column(column))
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = 6 << 20) -> Iterator[pa.RecordBatch]:

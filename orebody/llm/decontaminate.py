@@ -10,8 +10,10 @@ Only stretches of words that items know at all are streamed: outside them the
 automaton would be at its root. Defined results: null and wordless texts have
 no words, hits or items; items without words take no part; repeated items keep
 their own ids; an empty benchmark hits nothing. Item ids are compared as
-strings. Memory on an executor is the automaton (at most two states per
-benchmark word), which is checked against ``max_item_words`` on the driver.
+strings; items without an id take no part; rows without a doc_id are rows like
+others; an empty table gives no rows. Memory on an executor is one automaton
+(at most two states per word of its items). Items of more than ``group_words``
+words are dealt into groups with an automaton each, which scan one by one.
 """
 
 from __future__ import annotations
@@ -21,14 +23,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orebody.llm.common import map_batches, texts_of
+from orebody.llm.common import by_position, map_batches, materialize, raw_texts, texts_of
 
 WINDOW = 8
 MIN_ITEMS = 2
-MAX_ITEM_WORDS = 20_000_000
+#: Words of the items that one automaton holds: about 1 KB of memory a word in every Python worker.
+GROUP_WORDS = 150_000
 #: ASCII letters lower-cased, other ASCII but digits to spaces; bytes from 128 belong to words.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -146,62 +150,121 @@ class ItemAutomaton:
                     u = link[u]
 
 
-def build(benchmark: DataFrame, window: int = WINDOW, max_item_words: int = MAX_ITEM_WORDS) -> ItemAutomaton:
-    """Collect the test items, a set that is fixed and small by nature, after a check of its size."""
+def grouped(benchmark: DataFrame, group_words: int = GROUP_WORDS) -> list[DataFrame]:
+    """The items with words, dealt by a hash into groups of about ``group_words`` words; one group where they are few."""
     items = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).filter("item_id is not null and text is not null")
-    words = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    if words > 8 * max_item_words:
-        raise ValueError(f"benchmark of {words} characters exceeds the automaton's bound")
+    words = (items.agg(F.sum(F.size(F.split("text", "[^0-9A-Za-z\\x80-\\uFFFF]+")).cast("long"))).first()[0]) or 0
+    n = max(1, -(-words // group_words))
+    return [items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
+
+
+def build(items: DataFrame, window: int = WINDOW) -> ItemAutomaton:
+    """Collect one group of items, which is bounded, and build its automaton."""
     return ItemAutomaton([(r.item_id, r.text.encode()) for r in items.orderBy("item_id", "text").collect()], window)
 
 
-def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_items: int = MIN_ITEMS) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    shared = docs.sparkSession.sparkContext.broadcast(build(benchmark, window))
+def found_by(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    """(key, spans, items) of the rows of ``docs`` (key, text) that hold windows of a group of items."""
+    shared = docs.sparkSession.sparkContext.broadcast(build(items, window))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = shared.value
         for b in batches:
             rows = []
-            for text in texts_of(b):
-                words = words_of(text)
-                hit, items = auto.scan(words)
-                names = sorted({auto.names[i] for i in items})
-                rows.append((len(words), int(hit.sum()), len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), len(names) >= min_items))
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+            for key, text in zip(b.column("key").to_pylist(), texts_of(b), strict=True):
+                hit, items = auto.scan(words_of(text))
+                if items:
+                    edges = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]))).tolist()
+                    rows.append({"key": key, "spans": edges, "items": sorted({auto.names[i] for i in items})})
+            yield pa.RecordBatch.from_pylist(rows, schema=kind)
+
+    kind = pa.schema([("key", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
+    return map_batches(docs, run, "key long, spans array<long>, items array<string>")
+
+
+def scanned(docs: DataFrame, benchmark: DataFrame, window: int, group_words: int, schema, each) -> DataFrame:
+    """``docs`` through ``each(batch, found)``: per row the mask of hit words and the names of found items; ``each`` gives the out rows.
+
+    With one group of items this is one pass. With more, each group scans the
+    texts by itself (keyed by their hash) and what was found is joined back.
+    """
+    groups = grouped(benchmark, group_words)
+    at = docs.columns.index("text")
+    if len(groups) == 1:
+        shared = docs.sparkSession.sparkContext.broadcast(build(groups[0], window))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            auto = shared.value
+            for b in batches:
+                words = [words_of(t) for t in raw_texts(b.column(at))]
+                hits = [auto.scan(w) for w in words]
+                yield each(b, words, [h for h, _ in hits], [sorted({auto.names[i] for i in own}) for _, own in hits])
+
+        return map_batches(docs, run, schema)
+    plain = by_position(docs)
+    keyed = plain.withColumn("key", F.xxhash64(F.col(plain.columns[at]).cast("string")))
+    texts = keyed.select("key", F.col(plain.columns[at]).cast("string").alias("text")).filter("text is not null").dropDuplicates(["key"])
+    parts = None
+    for items in groups:
+        one = materialize(found_by(texts, items, window), "found")
+        parts = one if parts is None else parts.unionByName(one)
+    all_found = parts.groupBy("key").agg(F.collect_list("spans").alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    names, n = docs.columns, len(docs.columns)
+
+    def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words, hits = [words_of(t) for t in raw_texts(b.column(at))], []
+            for own, spans in zip(words, b.column(n).to_pylist(), strict=True):
+                hit = np.zeros(len(own), dtype=bool)
+                for edges in spans or ():
+                    for x, y in zip(edges[0::2], edges[1::2], strict=True):
+                        hit[x:y] = True
+                hits.append(hit)
+            found = [sorted(x or ()) for x in b.column(n + 1).to_pylist()]
+            yield each(pa.RecordBatch.from_arrays(b.columns[:n], names), words, hits, found)
+
+    return map_batches(keyed.join(all_found, "key", "left").select(*plain.columns, "spans", "items"), run_joined, schema)
+
+
+def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_items: int = MIN_ITEMS, group_words: int = GROUP_WORDS) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+
+    def each(b: pa.RecordBatch, words: list, hits: list, found: list) -> pa.RecordBatch:
+        rows = [(len(w), int(h.sum()), len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), len(names) >= min_items) for w, h, names in zip(words, hits, found, strict=True)]
+        cols = list(zip(*rows, strict=True)) or [[]] * 5
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return map_batches(rows, run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return scanned(rows, benchmark, window, group_words, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean", each)
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.5) -> DataFrame:
+def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.5, group_words: int = GROUP_WORDS) -> DataFrame:
     """Rows of ``docs`` with hit spans cut out; rows of which more than ``max_coverage`` of the words is hit go.
 
     A span reaches from its first hit word to its last; the characters around
-    it stay as they are. Texts without a hit are returned unchanged, null included.
+    it stay as they are, and ``n_chars`` follows the text if there is one. Texts
+    without a hit are returned unchanged, null included.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(build(benchmark, window))
     names = docs.columns
+    at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = shared.value
-        for b in batches:
-            texts, keep = b.column("text").to_pylist(), []
-            for i, raw in enumerate(texts_of(b)):
-                mapped = raw.translate(WORD_BYTES)
-                words = mapped.split()
-                hit, _ = auto.scan(words)
-                n = int(hit.sum())
-                keep.append(not n or n <= max_coverage * len(words))
-                if n and keep[-1]:
-                    texts[i] = cut(raw, mapped, words, hit)
-            at = names.index("text")
-            cols = [pa.array(texts, pa.string()) if k == at else b.column(k) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(keep, pa.bool_()))
-
-    return map_batches(docs.withColumn("text", F.col("text").cast("string")), run, docs.schema)
+    def each(b: pa.RecordBatch, words: list, hits: list, found: list) -> pa.RecordBatch:
+        keep, cols = [], list(b.columns)
+        counts = [int(h.sum()) for h in hits]
+        keep = [not n or n <= max_coverage * len(w) for n, w in zip(counts, words, strict=True)]
+        rows = [i for i, n in enumerate(counts) if n and keep[i]]
+        if rows:
+            mask = np.zeros(b.num_rows, dtype=bool)
+            mask[rows] = True
+            raws = raw_texts(cols[at].take(pa.array(rows)))
+            short = pa.array([cut(raw, raw.translate(WORD_BYTES), words[i], hits[i]) for i, raw in zip(rows, raws, strict=True)], cols[at].type)
+            cols[at] = pc.replace_with_mask(cols[at], pa.array(mask), short)
+            if chars is not None:
+                cols[chars] = pc.replace_with_mask(cols[chars], pa.array(mask), pc.utf8_length(short).cast(cols[chars].type))
+        return pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(keep, pa.bool_()))
+
+    return scanned(docs, benchmark, window, group_words, docs.schema, each)
 
 
 def cut(raw: bytes, mapped: bytes, words: list[bytes], hit: np.ndarray) -> str:

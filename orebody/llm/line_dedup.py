@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orebody.llm.common import by_position, discard, lookup, map_batches, materialize, slices
+from orebody.llm.common import by_position, discard, lookup, map_batches, materialize, raw_texts, slices
 
 LINE_WORDS = 8
 MIN_WORDS = 32
@@ -156,10 +156,6 @@ def fingerprints(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return map_batches(docs, run, "print long, whole long, doc long, version long, place int, more int")
 
 
-def raw_texts(column: pa.Array) -> list[bytes]:
-    return [v or b"" for v in column.cast(pa.large_binary()).to_pylist()]
-
-
 def open_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(run, doc, version, place): every run of the stretches named by ``open`` (place, more) in ``docs`` (doc, version, text, open)."""
 
