@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orebody.llm.common import connected_components, discard, map_batches, materialize, texts_of
+from orebody.llm.common import by_position, connected_components, discard, map_batches, materialize, texts_of
 
 SLACK = 2
 CLASS_RATIO = 1.35
@@ -54,7 +54,7 @@ BLOCK_POSTINGS = 1_500_000
 BROADCAST_KEYS = 2_000_000
 LEAST_SKETCH = 512
 #: Sets of one key that one task takes; larger keys are dealt.
-KEY_SETS = 20_000
+KEY_SETS = 4_000
 COUNTING_FROM = 256
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -412,5 +412,7 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     Rows with a null doc_id, and such with an empty set, stay.
     """
-    found = components(docs, k, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(found, docs.doc_id == F.col("__gone"), "left_anti").select(*docs.columns)
+    found = components(docs, k, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    plain = by_position(docs)
+    doc_id = F.col(plain.columns[docs.columns.index("doc_id")])
+    return plain.join(found, doc_id.cast("long") == F.col("gone"), "left_anti").toDF(*docs.columns)

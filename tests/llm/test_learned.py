@@ -83,10 +83,33 @@ def test_marginals_against_enumeration():
     assert np.allclose(got[~stop], want[~stop]) and np.allclose(pairs, told)
 
 
-def test_long_chains_are_cut():
+def test_long_chains_are_whole_but_for_fitting():
     stop = np.zeros(300, bool)
-    starts, lengths = toxicity.chains(stop)
-    assert lengths.sum() == 300 and lengths.max() <= toxicity.MAX_CHAIN and starts.tolist() == [0, 128, 256]
+    assert [x.tolist() for x in toxicity.chains(stop)] == [[0], [300]]
+    assert [x.tolist() for x in toxicity.chains(stop, 128)] == [[0, 128, 256], [128, 128, 44]]
+    rng = np.random.default_rng(2)
+    e, moves = rng.normal(size=300), rng.normal(size=(2, 2))
+    other = e.copy()
+    other[127] += 5  # a cut at 128 would hide it from the words behind
+    a, b = toxicity.marginals(e, stop, moves)[0], toxicity.marginals(other, stop, moves)[0]
+    assert abs(a[128] - b[128]) > 1e-3
+
+
+def test_spans_are_of_the_places_that_passed(spark):
+    text = "Bad one here. x Y. bad two, BAD bad. \u0130\u2126 don't bad\nbad"
+    words = [w for w in toxicity.words_of(text) if w != toxicity.STOP]
+    assert words.count(b"bad") == 6
+    for k in range(len(words)):
+        ((a, b),) = toxicity.spans_of(text, {k})
+        assert text[a:b].lower().encode() == words[k]
+    assert [text[a:b] for a, b in toxicity.spans_of(text, {0, 7, 8})] == ["Bad", "BAD bad"]
+    # one form, toxic behind "go" only: the moves decide
+    field = toxicity.Field({b"=go": 6.0, b"=bad": 2.0}, -3.0, np.array([[2.0, -2.0], [-1.0, 3.0]]), np.array([3.0, 1.0, 0.0]))
+    docs = spark.createDataFrame([(1, "bad x y. go bad"), (2, ""), (3, None), (None, "bad " * 5000)], "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity.tag(docs, field).collect()}
+    assert [(s.start, s.end) for s in got[1].spans] == [(9, 15)]
+    assert got[2].spans == got[3].spans == [] and len(got) == 4
+    assert toxicity.tag(docs.limit(0), field).count() == 0
 
 
 @pytest.fixture(scope="module")
@@ -117,6 +140,20 @@ def test_quality_on_unlabelled_rows(quality_tables):
     assert {(r.doc_id, r.text) for r in rows} <= before and {r.doc_id for r in rows} == {i for i, r in got.items() if r.keep}
 
 
+def test_quality_of_repeated_ids_does_not_depend_on_their_order(spark, quality_tables):
+    docs, labels = quality_tables
+    more = docs.unionByName(docs.filter("doc_id % 5 = 0").withColumn("text", F.concat("text", F.lit(" !!! *** more"))))
+    one, two = (sorted((str(r.doc_id), r.score) for r in quality.scores(more.repartition(n), labels).collect()) for n in (3, 7))
+    assert [a for a, _ in one] == [a for a, _ in two] and np.allclose([x for _, x in one], [x for _, x in two])
+
+
+def test_text_view_of_a_batch_is_that_of_each_text():
+    texts = [b"", b"one Two two\nthree", b"  ", "n\u00e9 ONE".encode(), b"x" * 400 + b" y"]
+    assert np.allclose(quality.text_view(texts), np.concatenate([quality.text_view([t]) for t in texts]))
+    assert quality.text_view([]).shape == (0, quality.SHAPES + quality.WORD_SLOTS)
+    assert np.isclose((quality.text_view(texts[1:2])[0, quality.SHAPES :] ** 2).sum(), 1)
+
+
 def test_quality_without_labels(quality_tables):
     docs, labels = quality_tables
     assert quality.keep_good(docs, labels.limit(0)).count() == docs.count()

@@ -217,6 +217,14 @@ def test_decontamination_report_and_removal(spark, docs):
     assert (got[3].n_words, got[3].n_items, got[3].contaminated) == (0, 0, False)
     left = {r.doc_id: r.text for r in decontaminate.remove(rows, bench).collect()}
     assert left == {1: "keep this,  and this too, with the rest of the words that are here", 3: None, 4: ""}
+    for few in (1, 12):
+        assert {r.doc_id: r for r in decontaminate.report(rows, bench, group_words=few).collect()} == got
+        assert {r.doc_id: r.text for r in decontaminate.remove(rows, bench, group_words=few).collect()} == left
+    counted = rows.withColumns({"n_chars": F.length("text").cast("long"), "spans": F.lit("s"), "key": F.lit(1)})
+    for few in (1, decontaminate.GROUP_WORDS):
+        out = decontaminate.remove(counted, bench, group_words=few)
+        assert out.columns == counted.columns and all(r.n_chars == (None if r.text is None else len(r.text)) and (r.spans, r.key) == ("s", 1) for r in out.collect())
+    assert decontaminate.report(rows.limit(0), bench, group_words=1).count() == decontaminate.remove(rows.limit(0), bench).count() == 0
     same = decontaminate.remove(docs, bench)
     assert same.columns == docs.columns and same.count() == docs.count()
 
