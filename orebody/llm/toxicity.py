@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orebody.llm.common import map_batches
+from orebody.llm.common import map_batches, slices
 from orebody.llm import linear
 
 MAX_DOCS = 1500
@@ -91,7 +91,7 @@ class Field:
         return np.fromiter(map(cache.__getitem__, words), dtype=np.float64, count=len(words))
 
     def marginals(self, emission: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return marginals(emission, stop, self.moves)[0]
+        return marginals(emission, stop, self.moves, count=False)[0]
 
     def score(self, largest: np.ndarray, expected: np.ndarray) -> np.ndarray:
         x = np.column_stack([linear.logit(largest) / 5, np.log1p(expected)])
@@ -109,8 +109,8 @@ def chains(stop: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.nd
     return first, np.minimum(first + most, np.repeat(ends, pieces)) - first
 
 
-def marginals(emission: np.ndarray, stop: np.ndarray, moves: np.ndarray, longest: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """P(state 1) of every word by forward-backward over all chains at once, and the expected transitions (2 x 2)."""
+def marginals(emission: np.ndarray, stop: np.ndarray, moves: np.ndarray, longest: int | None = None, count: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """P(state 1) of every word by forward-backward over all chains at once, and the expected transitions (2 x 2; left out without ``count``)."""
     out, pairs = np.zeros(len(emission)), np.zeros((2, 2))
     starts, lengths = chains(stop, longest)
     order = np.argsort(lengths, kind="stable")
@@ -142,11 +142,12 @@ def marginals(emission: np.ndarray, stop: np.ndarray, moves: np.ndarray, longest
             post[t] = a / (a + b)
             if t:
                 w1, w0 = r[t] * back, 1 - back
-                on = live[t]
-                prev = fwd[t - 1]
-                cells = [(1 - prev) * e[0, 0] * w0, (1 - prev) * e[0, 1] * w1, prev * e[1, 0] * w0, prev * e[1, 1] * w1]
-                total = sum(cells)
-                pairs += np.array([np.sum((c / total)[on]) for c in cells]).reshape(2, 2)
+                if count:
+                    on = live[t]
+                    prev = fwd[t - 1]
+                    cells = [(1 - prev) * e[0, 0] * w0, (1 - prev) * e[0, 1] * w1, prev * e[1, 0] * w0, prev * e[1, 1] * w1]
+                    total = sum(cells)
+                    pairs += np.array([np.sum((c / total)[on]) for c in cells]).reshape(2, 2)
                 one, zero = e[1, 0] * w0 + e[1, 1] * w1, e[0, 0] * w0 + e[0, 1] * w1
                 back = one / (one + zero)
         out[place[live]] = post[live]
@@ -303,9 +304,9 @@ def tag(docs: DataFrame, field: Field | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        # long chains of many texts share their steps, so whole batches are taken
         for whole in batches:
-            for s in range(0, whole.num_rows, 512):
-                b = whole.slice(s, 512)
+            for b in slices(whole):
                 if model is None:
                     score, spans = np.zeros(b.num_rows), [[]] * b.num_rows
                 else:
