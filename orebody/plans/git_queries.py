@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import re
 import shutil
+import subprocess
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -66,11 +67,14 @@ def query(names: str, kinds: str):
 
 @cache
 def oracles() -> dict[str, str]:
-    """Definitions by query; empty where there is no git."""
+    """Definitions by query; empty where git can't make a repository."""
     if shutil.which("git") is None:
         return {}
     with tempfile.TemporaryDirectory(prefix="orebody-sample-") as folder:
-        repo = str(sample.build(Path(folder) / "r").path)
+        try:
+            repo = str(sample.build(Path(folder) / "r").path)
+        except (OSError, subprocess.CalledProcessError):  # git can't make repositories here
+            return {}
         return {name: make(repo) for name, make in _EXPECTED.items()}
 
 
