@@ -19,7 +19,10 @@ before in the same one). The first place of a run always stays.
    ``min_words`` words through the fingerprint with that run's own first place,
    whichever document holds it; the union of the equal ones is the whole match.
    A run's first place always lies in a stretch that is the first of its kind,
-   so nothing is missed by leaving covered stretches out here.
+   so nothing is missed by leaving covered stretches out here. The first place
+   of a stretch is left out as well where all stretches with its fingerprint
+   are equal to it and stand in other documents: runs equal to its runs have its
+   fingerprint, so they lie in its copies, which are covered.
 4. What is covered is cut out, from the first word of it to the next word that
    stays.
 
@@ -48,7 +51,7 @@ from orebody.llm.common import by_position, discard, lookup, map_batches, materi
 
 LINE_WORDS = 8
 MIN_WORDS = 32
-#: Most bytes of fingerprints with two places or more that are sent to every task; above it they are joined instead.
+#: Most bytes of fingerprints with two places or more that are sent to every task, with as many of their counts; above it they are joined instead.
 BROADCAST_BYTES = 16 << 20
 #: Words longer than this are hashed one by one.
 LONG_WORD = 256
@@ -141,9 +144,21 @@ def stretches(texts: list[bytes], min_words: int = MIN_WORDS) -> tuple[np.ndarra
     return key[begin].view(np.int64), whole.view(np.int64), text, at - np.concatenate([[0], until[:-1]])[text], more
 
 
+def repeated(text: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Whether a (text, key) stands more than once."""
+    order = np.lexsort((key, text))
+    same = np.concatenate([[False], (np.diff(text[order]) == 0) & (key[order][1:] == key[order][:-1]), [False]])
+    out = np.empty(len(key), dtype=bool)
+    out[order] = (same[1:] | same[:-1])[: len(key)]
+    return out
+
+
 def fingerprints(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(print, whole, doc, version, place, more): one row per stretch of each row of ``docs`` (doc, version, text)."""
-    names = ["print", "whole", "doc", "version", "place", "more"]
+    """(print, whole, doc, version, place, more, again): one row per stretch of each row of ``docs`` (doc, version, text).
+
+    ``again``: the text has another stretch with this fingerprint.
+    """
+    names = ["print", "whole", "doc", "version", "place", "more", "again"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -151,9 +166,9 @@ def fingerprints(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 key, all_words, text, place, more = stretches(raw_texts(b.column("text")), min_words)
                 doc, version = (b.column(c).to_numpy()[text] for c in ("doc", "version"))
                 cols = [pa.array(x, pa.int64()) for x in (key, all_words, doc, version)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(place, pa.int32()), pa.array(more, pa.int32())], names)
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(place, pa.int32()), pa.array(more, pa.int32()), pa.array(repeated(text, key))], names)
 
-    return map_batches(docs, run, "print long, whole long, doc long, version long, place int, more int")
+    return map_batches(docs, run, "print long, whole long, doc long, version long, place int, more int, again boolean")
 
 
 def open_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -188,15 +203,15 @@ def removal_plan(docs: DataFrame, min_words: int = MIN_WORDS, broadcast_bytes: i
     apart = (F.col("doc") != F.col("first.doc")) | (F.col("version") != F.col("first.version")) | (F.col("place") >= F.col("first.place") + min_words)
     span = F.struct(F.col("place").alias("low"), (F.col("place") + F.col("more") + min_words).alias("high"))
     prints = materialize(fingerprints(docs.filter(F.col("text").isNotNull()), min_words), "stretches")
-    shared = materialize(prints.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1").select("print"), "shared")
+    shared = materialize(prints.groupBy("print").agg(F.count("*").alias("alike")).filter("alike > 1"), "shared")
     most = broadcast_bytes // 8
     known = F.broadcast(shared) if shared.limit(most + 1).count() <= most else shared.hint("merge")
-    met = materialize(prints.join(known, "print", "left_semi").drop("print"), "met")
+    met = materialize(prints.join(known, "print").drop("print"), "met")
     discard(prints, shared)
-    # a stretch that stands once has no first; it is open like the first one of its kind
-    firsts = materialize(first_places(met, "whole").drop("last"), "firsts")
+    firsts = materialize(first_places(met, "whole").drop("last").withColumn("equal", F.col("n")), "firsts")
+    settled = (F.col("equal") == F.col("alike")) & ~F.col("again")
     told = lookup(met, firsts, "whole", ["doc", "version", "place"])
-    groups = told.groupBy("doc", "version").agg(F.collect_set(F.when(apart, span)).alias("covered"), F.collect_set(F.when(~apart, F.struct("place", "more"))).alias("open"))
+    groups = told.groupBy("doc", "version").agg(F.collect_set(F.when(apart, span)).alias("covered"), F.collect_set(F.when(~apart & ~settled, F.struct("place", "more"))).alias("open"))
     groups = materialize(groups, "groups")
     opened = docs.join(groups.filter(F.size("open") > 0).select("doc", "version", "open"), ["doc", "version"])
     runs = materialize(open_runs(opened, min_words), "runs")
