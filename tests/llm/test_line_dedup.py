@@ -63,6 +63,23 @@ def test_against_all_pairs_of_runs(spark, least, sent):
         assert (r.removed_runs > 0) == (r.removed_words > 0)
 
 
+def test_against_all_pairs_of_runs_in_periodic_texts(spark):
+    rng = random.Random(7)
+    parts = [" ".join(rng.choice("ab") for _ in range(rng.randrange(1, 7))) for _ in range(6)]
+    texts = [" ".join([rng.choice(parts)] * rng.randrange(1, 14) + [rng.choice("abc") for _ in range(rng.randrange(6))] + [rng.choice(parts)] * rng.randrange(9)) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(texts + rng.choices(texts, k=20))] + [(0, texts[0])]
+    want = brute(rows, 12)
+    got = line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 12).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.text == want[r.doc_id, dict(rows)[r.doc_id]], r.doc_id
+
+
+def test_repeated_marks_every_place_of_a_key_in_a_text():
+    assert line_dedup.repeated(np.array([0, 0, 0, 1, 1]), np.array([5, 3, 5, 5, 3])).tolist() == [True, False, True, False, False]
+    assert line_dedup.repeated(np.array([], int), np.array([], int)).tolist() == []
+
+
 def test_fixture_rows_and_clashing_columns(spark):
     rows = [(i, t) for i, t, *_ in documents() if t is None or len(t) < 5000]
     names = "doc_id long, text string, doc long, version string, spans string, c0 int, Words int, n_chars long"
