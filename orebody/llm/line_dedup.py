@@ -171,16 +171,33 @@ def fingerprints(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return map_batches(docs, run, "print long, whole long, doc long, version long, place int, more int, again boolean")
 
 
+def listed(column: pa.ListArray, *fields: str) -> list[np.ndarray]:
+    """Of a column of lists of records: where each row's begin, and the fields of all of them in order."""
+    offsets = column.offsets.to_numpy()
+    inner = column.flatten()
+    return [offsets - offsets[0], *(inner.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in fields)]
+
+
+def covered(low: np.ndarray, high: np.ndarray, size: int) -> np.ndarray:
+    """Mask of the places 0 to ``size`` that lie in any of the spans [low, high)."""
+    edge = np.zeros(size + 1, dtype=np.int64)
+    np.add.at(edge, low, 1)
+    np.add.at(edge, high, -1)
+    return np.cumsum(edge)[:-1] > 0
+
+
 def open_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(run, doc, version, place): every run of the stretches named by ``open`` (place, more) in ``docs`` (doc, version, text, open)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc, version, raw, wanted in zip(b.column("doc").to_pylist(), b.column("version").to_pylist(), raw_texts(b.column("text")), b.column("open").to_pylist(), strict=True):
+            begin, place, more = listed(b.column("open"), "place", "more")
+            for i, (doc, version, raw) in enumerate(zip(b.column("doc").to_pylist(), b.column("version").to_pylist(), raw_texts(b.column("text")), strict=True)):
                 raw = raw.lower()
                 with np.errstate(over="ignore"):
                     hashes = run_hashes(word_hashes(raw, *word_places(raw)), min_words)
-                at = np.unique(np.concatenate([np.arange(w["place"], w["place"] + w["more"] + 1) for w in wanted]))
+                own = slice(begin[i], begin[i + 1])
+                at = np.flatnonzero(covered(place[own], place[own] + more[own] + 1, len(hashes)))
                 cols = [pa.array(x, pa.int64()) for x in (hashes[at].view(np.int64), np.full(len(at), doc), np.full(len(at), version))]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(at, pa.int32())], ["run", "doc", "version", "place"])
 
@@ -225,14 +242,10 @@ def removal_plan(docs: DataFrame, min_words: int = MIN_WORDS, broadcast_bytes: i
     return plan
 
 
-def cut_spans(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
-    """The text without the words in ``spans``; numbers of runs and words that went."""
+def cut_spans(raw: bytes, low: np.ndarray, high: np.ndarray) -> tuple[bytes, int, int]:
+    """The text without the words in the spans [low, high); numbers of runs and words that went."""
     starts, _ = word_places(raw)
-    edge = np.zeros(len(starts) + 1, dtype=np.int64)
-    low, high = np.array(spans).reshape(-1, 2).T
-    np.add.at(edge, low, 1)
-    np.add.at(edge, high, -1)
-    gone = np.cumsum(edge)[:-1] > 0
+    gone = covered(low, high, len(starts))
     borders = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]])))
     out, last = [], 0
     for a, b in zip(borders[0::2].tolist(), borders[1::2].tolist(), strict=True):
@@ -261,7 +274,8 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, told: tuple[str, s
             cut_runs, cut_words = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
             at = np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False))
             if len(at):
-                done = [cut_spans(raw, [(s["low"], s["high"]) for s in own]) for raw, own in zip(raw_texts(cols[text].take(pa.array(at))), spans.take(pa.array(at)).to_pylist(), strict=True)]
+                begin, low, high = listed(spans.take(pa.array(at)), "low", "high")
+                done = [cut_spans(raw, low[s:e], high[s:e]) for raw, s, e in zip(raw_texts(cols[text].take(pa.array(at))), begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
                 cut_runs[at], cut_words[at] = [d[1] for d in done], [d[2] for d in done]
                 mask = np.zeros(b.num_rows, dtype=bool)
                 mask[at] = True
