@@ -37,6 +37,8 @@ CACHED_LENGTH = 48
 FIRST_ODD = "\u0130"
 #: Texts with other characters, or with what may be a special token, are only split.
 ODD = r"[^\x00-\x{12F}]|<\|"
+#: What the model puts at the end of a word's last piece.
+WORD_END = "</w>"
 #: The splitter that the shortcut is valid for.
 SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -67,25 +69,49 @@ class TextEncoder:
             and not pre[1]["use_regex"]
             and parts["post_processor"] is None
             and parts["model"]["type"] == "BPE"
+            and parts["model"]["end_of_word_suffix"] == WORD_END
         )
-        self.model = self.tokenizer.model
+        if self.direct:
+            from tokenizers.pre_tokenizers import WhitespaceSplit
+
+            self.model = Tokenizer(self.tokenizer.model)
+            self.model.pre_tokenizer = WhitespaceSplit()
+            self.last = np.zeros(self.model.get_vocab_size() + 1, dtype=bool)
+            self.last[[i for piece, i in self.model.get_vocab().items() if piece.endswith(WORD_END)]] = True
 
     def _whole(self, pieces: list[str]) -> list[bytes]:
         done = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in done]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of the byte-level alphabet: one text of all of them, split at its spaces only, goes to the model.
+
+        Only a word's last piece can have the mark of a word's end; if any has none, words go one by one.
+        """
+        if not words:
+            return []
+        ids = np.array(self.model.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
+        if len(ends) != len(words):
+            return [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
     def _ids(self, pieces: list[str]) -> list[bytes]:
         if not self.direct:
             return self._whole(pieces)
         out: list[bytes] = [b""] * len(pieces)
-        rest = []
-        tokenize, letters = self.model.tokenize, self.letters
+        rest, plain, words = [], [], []
+        letters = self.letters
         for i, piece in enumerate(pieces):
             if piece.isalpha() and (piece.isascii() or max(piece) < FIRST_ODD):
                 word = piece.lower()
-                out[i] = array("I", [t.id for t in tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(letters))]).tobytes()
+                plain.append(i)
+                words.append(word if word.isascii() else word.encode().decode("latin-1").translate(letters))
             else:
                 rest.append(i)
+        for i, ids in zip(plain, self._words(words), strict=True):
+            out[i] = ids
         for i, ids in zip(rest, self._whole([pieces[i] for i in rest]), strict=True):
             out[i] = ids
         return out
@@ -106,7 +132,7 @@ class TextEncoder:
         """
         split = pc.split_pattern(self._cut(texts), " ")
         coded = split.flatten().dictionary_encode()
-        pieces = coded.dictionary.to_pylist()
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {"": b""}
         young, old = self.young, self.old

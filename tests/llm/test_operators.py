@@ -383,3 +383,21 @@ def test_keep_one(docs):
     ids = [r.doc_id for r in kept.select("doc_id").collect()]
     want, _ = brute_components([(i, t) for i, t, *_ in documents() if i is not None], 5, 80)
     assert set(ids) - {None} == set(want.values()) and ids.count(7) == 3 and ids.count(None) == 1
+
+
+def test_encoder_of_many_words_equals_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    from orebody.llm import tokens
+
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyzABCZäöüßéñÉāį"
+    texts = [None, "", " \n ", "a", "ª º", "<|endoftext|> x", "İstanbul ı ﬁ", "x" * 5000]
+    texts += [" ".join("".join(rng.choices(letters, k=rng.randint(1, 14))) + rng.choice(["", "", ".", "###", "'s", "7"]) for _ in range(rng.randint(0, 60))) for _ in range(150)]
+    path = tokens.default_vocabulary()
+    plain, own, single = Tokenizer.from_file(path), *(tokens.TextEncoder(path, cache_pieces=50) for _ in range(2))
+    wanted = [np.array(plain.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert own.direct
+    assert own.encode(texts) == wanted
+    single.last[:] = False  # no piece ends a word: words go one by one
+    assert single.encode(texts) == wanted
