@@ -15,6 +15,7 @@
    to it, which by the triangle inequality joins every linked pair. What is
    joined, directly or through others, is a block; no link crosses blocks. Keys
    of very many sets are dealt over tasks, whose leaders then meet once more.
+   The keys are written once and shuffled slice after slice, to save disk.
 3. T-occurrence inside a block: inverted lists over the block's shingles; for
    each set as query, T is the least overlap any partner needs. All but the T-1
    longest of its lists are merged by a heap (a counting merge when they are
@@ -38,6 +39,7 @@ from __future__ import annotations
 import heapq
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -50,8 +52,11 @@ from orebody.llm.common import by_position, connected_components, discard, map_b
 SLACK = 2
 CLASS_RATIO = 1.35
 BLOCK_POSTINGS = 1_500_000
-#: Most keys of three or more sets that are sent to every task; above it they are joined instead.
+#: Most keys of two or more sets, and most rows of copies, that are sent to every task; above it they are joined instead.
 BROADCAST_KEYS = 2_000_000
+#: Keys are shuffled in so many slices at most, one for this many shingles of the table.
+KEY_SLICES = 8
+SLICE_SHINGLES = 2_000_000
 LEAST_SKETCH = 512
 #: Sets of one key that one task takes; larger keys are dealt.
 KEY_SETS = 4_000
@@ -221,30 +226,49 @@ def group_edges(rows: DataFrame, percent: int, spread: int, leaders_too: bool =
     return map_batches(ordered, run, "of long, rep long, other long")
 
 
-def candidate_edges(reps: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """A written intermediate to discard in the end, and edges that connect all classes a link may join; ``reps``: (rep, n_shingles, sketch, keys).
+def candidate_edges(found: DataFrame, copies: DataFrame, percent: int, slices: int) -> tuple[list[DataFrame], DataFrame]:
+    """Written intermediates to discard in the end, and edges that connect all classes a link may join.
 
-    Copies with the same companions under many keys make one group: equal
-    member lists are kept once.
+    ``found``: (row, rep, n_shingles, sketch, keys); rows named by the written table ``copies`` (row) are left out.
+    Keys are dealt into ``slices`` that are shuffled one after another, and so are the groups made of them, so the
+    shuffle files of one slice are all there are at a time. Copies with the same companions under many keys make one
+    group: equal member lists are kept once.
     """
-    flat = reps.select("rep", F.explode("keys").alias("key"))
-    met = materialize(flat.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.count("*").alias("n")).filter("a < b").select("key", "n"), "keys")
-    if met.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
-        shared = flat.join(F.broadcast(met), "key")
-    else:
-        shared = flat.hint("merge").join(met, "key")
-    sketches = reps.select("rep", "n_shingles", "sketch")
-    lists = shared.filter(F.col("n") <= KEY_SETS).groupBy("key").agg(F.sort_array(F.collect_list("rep")).alias("m")).select("m").distinct()
-    groups = lists.select(F.xxhash64("m").alias("of"), F.lit(0).cast("long").alias("deal"), F.explode("m").alias("rep"))
-    edges = group_edges(groups.join(sketches, "rep"), percent, 2).select("rep", "other")
-    if not met.filter(F.col("n") > KEY_SETS).isEmpty():
+    few = copies.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+
+    def firsts(rows: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(copies), "row", "left_anti") if few else rows.hint("merge").join(copies, "row", "left_anti")
+
+    lists, large = [], []
+    for i in range(slices):
+        flat = firsts(found.select("row", "rep", F.explode("keys").alias("key")).filter(F.pmod("key", F.lit(slices)) == i)).select("rep", "key")
+        met = materialize(flat.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.count("*").alias("n")).filter("a < b").select("key", "n"), "keys")
+        if met.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+            shared = flat.join(F.broadcast(met), "key")
+        else:
+            shared = flat.hint("merge").join(met, "key")
+        lists.append(materialize(shared.filter(F.col("n") <= KEY_SETS).groupBy("key").agg(F.sort_array(F.collect_list("rep")).alias("m")).select("m").distinct(), "lists"))
+        if not met.filter(F.col("n") > KEY_SETS).isEmpty():
+            large.append(materialize(shared.filter(F.col("n") > KEY_SETS), "large"))
+        discard(met)
+    sketches = firsts(found.select("row", "rep", "n_shingles", "sketch")).drop("row")
+    every = reduce(DataFrame.unionByName, lists).withColumn("of", F.xxhash64("m"))
+    edges = []
+    for i in range(slices):
+        groups = every.filter(F.pmod("of", F.lit(slices)) == i).distinct().select("of", F.lit(0).cast("long").alias("deal"), F.explode("m").alias("rep"))
+        edges.append(materialize(group_edges(groups.join(sketches, "rep"), percent, 2).select("rep", "other"), "edges"))
+    discard(*lists)
+    written = [*large, *edges]
+    if large:
+        hot = reduce(DataFrame.unionByName, large)
         deal = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / KEY_SETS)).cast("long")
-        large = shared.filter(F.col("n") > KEY_SETS).select(F.col("key").alias("of"), deal.alias("deal"), "rep")
-        first = materialize(group_edges(large.join(sketches, "rep"), percent, 2, True), "dealt")
+        dealt = hot.select(F.col("key").alias("of"), deal.alias("deal"), "rep")
+        first = materialize(group_edges(dealt.join(sketches, "rep"), percent, 2, True), "dealt")
         leaders = first.filter("rep = other").select("of", F.lit(0).cast("long").alias("deal"), "rep").join(sketches, "rep")
-        leaders = leaders.join(large.join(sketches, "rep").groupBy("of").agg(F.max("n_shingles").alias("largest")), "of")
-        edges = edges.unionByName(first.filter("rep <> other").select("rep", "other")).unionByName(group_edges(leaders, percent, 3).select("rep", "other"))
-    return met, edges.distinct()
+        leaders = leaders.join(dealt.join(sketches, "rep").groupBy("of").agg(F.max("n_shingles").alias("largest")), "of")
+        edges += [first.filter("rep <> other").select("rep", "other"), group_edges(leaders, percent, 3).select("rep", "other")]
+        written.append(first)
+    return written, reduce(DataFrame.unionByName, edges).distinct()
 
 
 class Sets:
@@ -388,14 +412,16 @@ def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
 def components(docs: DataFrame, k: int = 5, percent: int = 80, block_postings: int = BLOCK_POSTINGS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    sets = materialize(shingled(rows, k, percent), "sets")
-    reps = materialize(
-        sets.filter("n_shingles > 0 and doc_id is not null").groupBy("class_key").agg(F.min(F.struct("doc_id", "n_shingles", "sketch", "keys")).alias("r")).select("class_key", F.col("r.doc_id").alias("rep"), "r.n_shingles", "r.sketch", "r.keys"),
-        "reps",
-    )
-    met, edges = candidate_edges(reps, percent)
+    keyed = materialize(shingled(rows, k, percent).withColumn("row", F.monotonically_increasing_id()), "keyed")
+    sets = materialize(keyed.select("doc_id", "n_shingles", "class_key", "row"), "sets")
+    named = "n_shingles > 0 and doc_id is not null"
+    reps = materialize(sets.filter(named).groupBy("class_key").agg(F.min(F.struct("doc_id", "row")).alias("r")).select("class_key", F.col("r.doc_id").alias("rep"), "r.row"), "reps")
+    copies = materialize(sets.filter(named).select("row").join(reps.select("row"), "row", "left_anti"), "copies")
+    slices = min(KEY_SLICES, 1 + (sets.agg(F.sum("n_shingles")).first()[0] or 0) // SLICE_SHINGLES)
+    found = keyed.filter(named).select("row", F.col("doc_id").alias("rep"), "n_shingles", "sketch", "keys")
+    written, edges = candidate_edges(found, copies, percent, slices)
     blocks = materialize(connected_components(edges), "cand")
-    discard(met)
+    discard(keyed, copies, *written)
     sized = sets.select(F.col("doc_id").alias("node"), "n_shingles").join(blocks, "node").groupBy("root").agg(F.sum("n_shingles").alias("postings"))
     dealt = blocks.join(sized.select("root", F.ceil(F.col("postings") / block_postings).cast("int").alias("of")), "root")
     dealt = dealt.select(F.col("root").alias("block"), F.col("node").alias("rep"), "of", F.pmod(F.xxhash64("node"), F.col("of")).cast("int").alias("part"))

@@ -3,12 +3,14 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from orebody.llm import audio, chat, decontaminate, huffman, ngram_join, packing, shuffle
+from orebody.llm.common import materialize
 from orebody.llm.tokens import default_vocabulary
 from tests.llm.fixtures import SCHEMA, documents
 
@@ -327,6 +329,39 @@ def test_join_against_brute_force(docs, k, percent, postings, key_sets, monkeypa
         assert r.n_shingles in {len(s) for s in sets[r.doc_id]}
 
 
+@pytest.mark.parametrize("key_sets,broadcast", [(4_000, 2_000_000), (4_000, 0), (3, 0)])
+def test_join_in_slices(docs, key_sets, broadcast, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SLICE_SHINGLES", 500)
+    monkeypatch.setattr(ngram_join, "KEY_SETS", key_sets)
+    monkeypatch.setattr(ngram_join, "BROADCAST_KEYS", broadcast)
+    rows = [(i, t) for i, t, *_ in documents() if i is not None and i != 904]
+    want, _ = brute_components(rows, 5, 80)
+    got = ngram_join.components(docs.filter("doc_id is not null and doc_id <> 904"), 5, 80).collect()
+    assert len(got) == len(rows) and all(r.component_id == want[r.doc_id] for r in got)
+
+
+def test_join_writes_keys_once(spark, monkeypatch):
+    """Intermediates never hold the sets' keys twice, nor at all in the end, and a slice is a small part of them."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(5000)]
+    texts = [" ".join(rng.choices(words, k=300)) for _ in range(200)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:20])], "doc_id long, text string").repartition(2)
+    written, held, parts = {}, [], []
+
+    def kept(df, tag):
+        out = materialize(df, tag)
+        written[out._orebody_path] = sum(p.stat().st_size for p in Path(out._orebody_path.removeprefix("file:")).rglob("*.parquet"))
+        held.append(sum(n for p, n in written.items() if Path(p.removeprefix("file:")).exists()))
+        parts.append(tag)
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialize", kept)
+    monkeypatch.setattr(ngram_join, "SLICE_SHINGLES", 10_000, raising=False)
+    assert ngram_join.components(rows, 5, 80).filter("component_id <> doc_id").count() == 20
+    assert max(held) < 1.5 * held[0] and held[-1] < 0.2 * held[0]
+    assert parts.count("keys") == 7
+
+
 def test_join_keys_lose_no_link():
     """Random pairs at the threshold share a key, whatever their sizes."""
     rng = random.Random(9)
