@@ -56,7 +56,7 @@ BLOCK_POSTINGS = 1_500_000
 BROADCAST_KEYS = 2_000_000
 #: Keys are shuffled in so many slices at most, one for this many shingles of the table.
 KEY_SLICES = 8
-SLICE_SHINGLES = 2_000_000
+SLICE_SHINGLES = 20_000_000
 LEAST_SKETCH = 512
 #: Sets of one key that one task takes; larger keys are dealt.
 KEY_SETS = 4_000
@@ -231,15 +231,18 @@ def candidate_edges(found: DataFrame, copies: DataFrame, percent: int, slices: i
 
     ``found``: (row, rep, n_shingles, sketch, keys); rows named by the written table ``copies`` (row) are left out.
     Keys are dealt into ``slices`` that are shuffled one after another, and so are the groups made of them, so the
-    shuffle files of one slice are all there are at a time. Copies with the same companions under many keys make one
-    group: equal member lists are kept once.
+    shuffle files of one slice are all there are at a time; what a slice gives is written if there are more. Copies with
+    the same companions under many keys make one group: equal member lists are kept once.
     """
     few = copies.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
 
     def firsts(rows: DataFrame) -> DataFrame:
         return rows.join(F.broadcast(copies), "row", "left_anti") if few else rows.hint("merge").join(copies, "row", "left_anti")
 
-    lists, large = [], []
+    def kept(rows: DataFrame, tag: str) -> DataFrame:
+        return materialize(rows, tag) if slices > 1 else rows
+
+    lists, large, written = [], [], []
     for i in range(slices):
         flat = firsts(found.select("row", "rep", F.explode("keys").alias("key")).filter(F.pmod("key", F.lit(slices)) == i)).select("rep", "key")
         met = materialize(flat.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.count("*").alias("n")).filter("a < b").select("key", "n"), "keys")
@@ -247,18 +250,22 @@ def candidate_edges(found: DataFrame, copies: DataFrame, percent: int, slices: i
             shared = flat.join(F.broadcast(met), "key")
         else:
             shared = flat.hint("merge").join(met, "key")
-        lists.append(materialize(shared.filter(F.col("n") <= KEY_SETS).groupBy("key").agg(F.sort_array(F.collect_list("rep")).alias("m")).select("m").distinct(), "lists"))
+        lists.append(kept(shared.filter(F.col("n") <= KEY_SETS).groupBy("key").agg(F.sort_array(F.collect_list("rep")).alias("m")).select("m").distinct(), "lists"))
         if not met.filter(F.col("n") > KEY_SETS).isEmpty():
-            large.append(materialize(shared.filter(F.col("n") > KEY_SETS), "large"))
-        discard(met)
+            large.append(kept(shared.filter(F.col("n") > KEY_SETS), "large"))
+        if slices > 1:
+            discard(met)
+        else:
+            written.append(met)
     sketches = firsts(found.select("row", "rep", "n_shingles", "sketch")).drop("row")
     every = reduce(DataFrame.unionByName, lists).withColumn("of", F.xxhash64("m"))
     edges = []
     for i in range(slices):
-        groups = every.filter(F.pmod("of", F.lit(slices)) == i).distinct().select("of", F.lit(0).cast("long").alias("deal"), F.explode("m").alias("rep"))
-        edges.append(materialize(group_edges(groups.join(sketches, "rep"), percent, 2).select("rep", "other"), "edges"))
+        mine = every.filter(F.pmod("of", F.lit(slices)) == i).distinct() if slices > 1 else every
+        groups = mine.select("of", F.lit(0).cast("long").alias("deal"), F.explode("m").alias("rep"))
+        edges.append(kept(group_edges(groups.join(sketches, "rep"), percent, 2).select("rep", "other"), "edges"))
     discard(*lists)
-    written = [*large, *edges]
+    written += [*large, *edges]
     if large:
         hot = reduce(DataFrame.unionByName, large)
         deal = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / KEY_SETS)).cast("long")
