@@ -18,19 +18,22 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orebody.llm.common import discard, map_batches, materialize, slices, texts_of
+from orebody.llm.common import discard, map_batches, materialize, portions, slices, texts_of
 
 UNIT = 64
 RATE = 8000
 OUT_RATE = 4000
 #: Both tables of samples are written in a denser form than usual; audio of text packs badly.
 STORAGE = {"compression": "zstd", "parquet.compression.codec.zstd.level": "9"}
+#: Audio files are read back in so many portions at most, each deleted when its samples are written.
+PORTIONS = 3
 FORMATS = {"mulaw": 7, "alaw": 6, "adpcm": 17}
 
 
@@ -189,9 +192,12 @@ def expanded(stored: DataFrame, out_rate: int = OUT_RATE) -> DataFrame:
 def convert(docs: DataFrame, out_rate: int = OUT_RATE) -> DataFrame:
     """Store all texts as audio files, read these back, and store what ``expanded`` makes of them."""
     stored = materialize(store(docs), "media", **STORAGE)
-    out = materialize(expanded(stored, out_rate), "pcm", **STORAGE)
+    out = []
+    for part in portions(stored, PORTIONS):
+        out.append(materialize(expanded(part, out_rate), "pcm", **STORAGE))
+        discard(part)
     discard(stored)
-    return out
+    return reduce(DataFrame.unionByName, out)
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -64,11 +64,21 @@ def discard(*tables: DataFrame) -> None:
     """Delete written intermediates that nothing reads any more."""
     for df in tables:
         jvm, path = df.sparkSession._jvm, getattr(df, "_orebody_path", None)
-        if path:
-            at = jvm.org.apache.hadoop.fs.Path(path)
+        for name in [path] if isinstance(path, str) else path or []:
+            at = jvm.org.apache.hadoop.fs.Path(name)
             at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def portions(written: DataFrame, most: int) -> list[DataFrame]:
+    """The rows of a written table as at most ``most`` tables, each of whole files that ``discard`` deletes by themselves."""
+    files = sorted(written.inputFiles())
+    out = []
+    for own in filter(None, (files[i::most] for i in range(most))):
+        out.append(written.sparkSession.read.schema(written.schema).parquet(*own))
+        out[-1]._orebody_path = own
+    return out or [written]
+
+
 def trim() -> None:
     """Give memory that is free in this Python worker back to the machine; workers outlive their tasks."""
     pa.default_memory_pool().release_unused()

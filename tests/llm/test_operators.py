@@ -252,6 +252,24 @@ def test_audio_is_lossless(docs):
             assert np.frombuffer(r.pcm, "<i2").tolist() == ((pcm[0::2] + pcm[1::2]) >> 1).tolist()
 
 
+def test_audio_files_go_with_their_samples(spark, monkeypatch):
+    """All files of the first table never stand beside all of the second; every row is in the result once."""
+    rows = spark.createDataFrame([(i, f"text {i % 40} " * 30) for i in range(120)], "doc_id long, text string").repartition(6)
+    paths, held = [], []
+
+    def kept(df, tag, **options):
+        out = materialize(df, tag, **options)
+        paths.append((tag, Path(out._orebody_path.removeprefix("file:"))))
+        held.append(Counter(name for name, p in paths for _ in p.rglob("*.parquet")))
+        return out
+
+    monkeypatch.setattr(audio, "materialize", kept)
+    got = audio.convert(rows).collect()
+    assert sorted(r.doc_id for r in got) == list(range(120)) and held[0]["media"] == 6
+    assert [(h["media"], h["pcm"] > 0) for h in held[1:]] == [(6, True), (4, True), (2, True)]
+    assert not any(p.exists() for name, p in paths if name == "media")
+
+
 def test_audio_tables_and_adpcm():
     mu, a = audio.mulaw_table().astype(int), audio.alaw_table().astype(int)
     assert mu[0] == -32124 and mu[0x80] == 32124 and mu[0xFF] == 0 and mu[0x7F] == 0
