@@ -10,11 +10,13 @@
    segment, sum of the segment's elements). Length classes overlap by the size
    bound of a link. Documents that only share a common line or passage share
    keys as well, so inside a key's sets a parity sketch decides: its bits differ
-   in at most |A xor B| places, hence in at most d for a link. Sets within d of
-   a leader are its followers, and everything within 2d of a leader is joined
-   to it, which by the triangle inequality joins every linked pair. What is
-   joined, directly or through others, is a block; no link crosses blocks. Keys
-   of very many sets are dealt over tasks, whose leaders then meet once more.
+   in at most |A xor B| places, hence in at most d for a link (u: the larger of
+   the two). Sets within d/4 of a leader are its followers, and everything within
+   5/4 d of a leader is joined to it, which by the triangle inequality joins every
+   linked pair. What is joined, directly or through others, is a block; no link
+   crosses blocks. (With a wider bound, chains of sets that are far from being
+   linked grow into one block as a table grows.) Keys of very many sets are dealt
+   over tasks, whose leaders then meet once more.
    The keys are written once and shuffled slice after slice, to save disk.
 3. T-occurrence inside a block: inverted lists over the block's shingles; for
    each set as query, T is the least overlap any partner needs. All but the T-1
@@ -52,6 +54,10 @@ from orebody.llm.common import by_position, connected_components, discard, map_b
 SLACK = 2
 CLASS_RATIO = 1.35
 BLOCK_POSTINGS = 1_500_000
+#: Parts of blocks are shuffled in waves of about this many shingles, repeats included.
+WAVE_SHINGLES = 100_000_000
+#: Sets within this share of a link's bound of a leader follow it.
+FOLLOW = 0.25
 #: Most keys of two or more sets, and most rows of copies, that are sent to every task; above it they are joined instead.
 BROADCAST_KEYS = 2_000_000
 #: Keys are shuffled in so many slices at most, one for this many shingles of the table.
@@ -167,15 +173,19 @@ def shingled(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return map_batches(docs, run, "doc_id long, n_shingles long, class_key binary, sketch binary, keys array<long>")
 
 
-def near_leaders(ids: np.ndarray, sketches: np.ndarray, follow: int, join: int) -> tuple[list[tuple[int, int]], list[int]]:
-    """(edges, leaders): greedy leaders so that each row is within ``follow`` bits of one; edges connect what is within ``join`` of a leader."""
+def near_leaders(ids: np.ndarray, sketches: np.ndarray, follow: int | np.ndarray, join: int | np.ndarray) -> tuple[list[tuple[int, int]], list[int]]:
+    """(edges, leaders): greedy leaders so that each row is within ``follow`` bits of one; edges connect what is within ``join`` of a leader.
+
+    Both are one bound or one for each row; those of rows may not descend.
+    """
+    follow, join = (np.broadcast_to(x, len(ids)) for x in (follow, join))
     lead = np.empty(len(ids), dtype=np.int64)
     marks = np.empty_like(sketches)
     group = np.empty(len(ids), dtype=np.int64)
     n, edges = 0, []
     for i in range(len(ids)):
         far = np.bitwise_count(marks[:n] ^ sketches[i]).sum(axis=1)
-        close = np.flatnonzero(far <= join)
+        close = np.flatnonzero(far <= join[i])
         if len(close):
             groups = np.unique(group[close])
             first = int(lead[close[0]])
@@ -183,20 +193,22 @@ def near_leaders(ids: np.ndarray, sketches: np.ndarray, follow: int, join: int)
             if len(groups) > 1:
                 edges += [(int(ids[lead[np.flatnonzero(group[:n] == g)[0]]]), int(ids[i])) for g in groups.tolist()]
                 group[:n][np.isin(group[:n], groups)] = groups[0]
-        if not len(close) or far[close].min() > follow:
+        if not len(close) or far[close].min() > follow[i]:
             lead[n], marks[n], group[n] = i, sketches[i], groups[0] if len(close) else i
             n += 1
     return edges, lead[:n].tolist()
 
 
-def group_edges(rows: DataFrame, percent: int, spread: int, leaders_too: bool = False) -> DataFrame:
+def group_edges(rows: DataFrame, percent: int, spread: float = 1 + FOLLOW, leaders_too: bool = False) -> DataFrame:
     """(of, rep, other): edges inside each group (``of``, ``deal``); with ``leaders_too`` rows of rep = other name the leaders.
 
-    ``rows``: of, deal, rep, n_shingles, sketch. ``spread``: 2 joins what is
-    within twice the bound of a leader; 3 is for leaders of dealt groups, of
-    which only equal sketches follow one another (what follows at a distance
-    would be compared with its leader alone). The bound is that of the largest
-    ``n_shingles``, or ``largest`` where the rows have it.
+    ``rows``: of, deal, rep, n_shingles, sketch. ``spread``: what is within so
+    many times the bound of a leader is joined to it. By default a set's bound is
+    that of its own size, as no leader before it is larger. Another value is for
+    leaders of dealt groups, 1 + 2 * FOLLOW at least; of these only equal sketches
+    follow one another (what follows at a distance would be compared with its
+    leader alone), and the bound is that of the largest ``n_shingles``, or
+    ``largest`` where the rows have it: followers may be larger than their leader.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,8 +216,9 @@ def group_edges(rows: DataFrame, percent: int, spread: int, leaders_too: bool =
 
         def flush() -> pa.RecordBatch:
             ids = np.array([h[0] for h in held])
-            most = 2 * max(h[3] for h in held) * (100 - percent) // (100 + percent)
-            edges, leaders = near_leaders(ids, folded([h[2] for h in held]), most if spread == 2 else 0, spread * most)
+            most = 2 * np.array([h[3] for h in held]) * (100 - percent) // (100 + percent)
+            follow, join = ((most * FOLLOW).astype(int), (most * spread).astype(int)) if spread == 1 + FOLLOW else (0, int(most.max() * spread))
+            edges, leaders = near_leaders(ids, folded([h[2] for h in held]), follow, join)
             out = [(now[0], a, b) for a, b in edges if a != b] + [(now[0], held[i][0], held[i][0]) for i in leaders if leaders_too]
             cols = list(zip(*out, strict=True)) if out else [[]] * 3
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["of", "rep", "other"])
@@ -263,17 +276,17 @@ def candidate_edges(found: DataFrame, copies: DataFrame, percent: int, slices: i
     for i in range(slices):
         mine = every.filter(F.pmod("of", F.lit(slices)) == i).distinct() if slices > 1 else every
         groups = mine.select("of", F.lit(0).cast("long").alias("deal"), F.explode("m").alias("rep"))
-        edges.append(kept(group_edges(groups.join(sketches, "rep"), percent, 2).select("rep", "other"), "edges"))
+        edges.append(kept(group_edges(groups.join(sketches, "rep"), percent).select("rep", "other"), "edges"))
     discard(*lists)
     written += [*large, *edges]
     if large:
         hot = reduce(DataFrame.unionByName, large)
         deal = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / KEY_SETS)).cast("long")
         dealt = hot.select(F.col("key").alias("of"), deal.alias("deal"), "rep")
-        first = materialize(group_edges(dealt.join(sketches, "rep"), percent, 2, True), "dealt")
+        first = materialize(group_edges(dealt.join(sketches, "rep"), percent, leaders_too=True), "dealt")
         leaders = first.filter("rep = other").select("of", F.lit(0).cast("long").alias("deal"), "rep").join(sketches, "rep")
         leaders = leaders.join(dealt.join(sketches, "rep").groupBy("of").agg(F.max("n_shingles").alias("largest")), "of")
-        edges += [first.filter("rep <> other").select("rep", "other"), group_edges(leaders, percent, 3).select("rep", "other")]
+        edges += [first.filter("rep <> other").select("rep", "other"), group_edges(leaders, percent, 1 + 2 * FOLLOW).select("rep", "other")]
         written.append(first)
     return written, reduce(DataFrame.unionByName, edges).distinct()
 
@@ -429,13 +442,23 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, block_postings: i
     written, edges = candidate_edges(found, copies, percent, slices)
     blocks = materialize(connected_components(edges), "cand")
     discard(keyed, copies, *written)
-    sized = sets.select(F.col("doc_id").alias("node"), "n_shingles").join(blocks, "node").groupBy("root").agg(F.sum("n_shingles").alias("postings"))
+    sized = materialize(sets.select(F.col("doc_id").alias("node"), "n_shingles").join(blocks, "node").groupBy("root").agg(F.sum("n_shingles").alias("postings")), "sized")
     dealt = blocks.join(sized.select("root", F.ceil(F.col("postings") / block_postings).cast("int").alias("of")), "root")
     dealt = dealt.select(F.col("root").alias("block"), F.col("node").alias("rep"), "of", F.pmod(F.xxhash64("node"), F.col("of")).cast("int").alias("part"))
-    tasks = rows.join(dealt, rows.doc_id == dealt.rep).select("block", "rep", "part", "text", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("other"))
-    tasks = tasks.select("block", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "rep", "text").repartition("block", "lo", "hi").sortWithinPartitions("block", "lo", "hi")
-    links = materialize(block_links(tasks, k, percent), "links")
-    joined = connected_components(links).select(F.col("node").alias("rep"), F.col("root").alias("joined"))
+    repeated = sized.agg(F.sum(F.col("postings") * F.ceil(F.col("postings") / block_postings))).first()[0] or 0
+    waves = 1 + int(repeated) // WAVE_SHINGLES
+    texts = rows.join(dealt, rows.doc_id == dealt.rep).select("block", "rep", "of", "part", "text")
+    if waves > 1:
+        texts = materialize(texts, "texts")
+    links = []
+    for i in range(waves):
+        tasks = texts.select("block", "rep", "part", "text", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("other"))
+        tasks = tasks.select("block", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "rep", "text")
+        tasks = tasks.filter(F.pmod(F.xxhash64("block", "lo", "hi"), F.lit(waves)) == i) if waves > 1 else tasks
+        links.append(materialize(block_links(tasks.repartition("block", "lo", "hi").sortWithinPartitions("block", "lo", "hi"), k, percent), "links"))
+    if waves > 1:
+        discard(texts)
+    joined = connected_components(reduce(DataFrame.unionByName, links)).select(F.col("node").alias("rep"), F.col("root").alias("joined"))
     least = reps.select("class_key", "rep").join(joined, "rep", "left").select("class_key", F.coalesce("joined", "rep").alias("least"))
     return sets.select("doc_id", "n_shingles", "class_key").join(least, "class_key", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 

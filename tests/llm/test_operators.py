@@ -454,3 +454,40 @@ def test_encoder_of_many_words_equals_the_tokenizer():
     assert own.encode(texts) == wanted
     single.last[:] = False  # no piece ends a word: words go one by one
     assert single.encode(texts) == wanted
+
+
+def test_join_chains_are_no_block(spark, monkeypatch):
+    """Sets that share keys and differ by more than a link allows stay apart, so chains of them make no growing block."""
+    rng = random.Random(5)
+    words = [f"w{rng.getrandbits(40)}" for _ in range(2300)]
+    rows = spark.createDataFrame([(i, " ".join(words[50 * i : 50 * i + 300])) for i in range(40)], "doc_id long, text string")
+    blocks = []
+
+    def kept(df, tag):
+        out = materialize(df, tag)
+        if tag == "cand":
+            blocks.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialize", kept)
+    assert ngram_join.components(rows, 5, 80).filter("component_id <> doc_id").count() == 0
+    assert blocks and blocks[0] <= 4
+
+
+def test_join_deals_blocks_in_waves(spark, monkeypatch):
+    """Parts of large blocks are shuffled wave after wave, with the same result."""
+    rng, links = random.Random(8), []
+    texts = [[f"w{rng.getrandbits(40)}" for _ in range(300)] for _ in range(4)]
+    for i in range(1, 6):
+        texts.append([f"edit{i}" if n % 50 == 7 and n < 50 * i else w for n, w in enumerate(texts[0])])
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+
+    def kept(df, tag):
+        links.extend([tag] if tag == "links" else [])
+        return materialize(df, tag)
+
+    monkeypatch.setattr(ngram_join, "materialize", kept)
+    monkeypatch.setattr(ngram_join, "WAVE_SHINGLES", 2000, raising=False)
+    got = {r.doc_id: r.component_id for r in ngram_join.components(rows, 5, 80, 500).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 3} | dict.fromkeys(range(4, 9), 0)
+    assert len(links) > 1
