@@ -411,10 +411,9 @@ def inexact_renames(t):
 def rename_similarity(t):
     blobs = t["head_texts"].select(F.sha1(F.col("text").cast("binary")).alias("blob_sha"), "text")
     ch = _changes(t)
-    gone = ch.filter("change_type = 'D'").select("commit_sha", F.col("src_blob_sha").alias("a_blob")).distinct()
-    new = ch.filter("change_type = 'A'").select("commit_sha", F.col("dst_blob_sha").alias("b_blob")).distinct()
-    pairs = gone.join(new, "commit_sha").filter("a_blob <> b_blob")
-    return renames.similarities(pairs, renames.line_profiles(blobs)).select("commit_sha", "a_blob", "b_blob", F.round("similarity", 6).alias("similarity"))
+    gone = ch.filter("change_type = 'D'").select("commit_sha", F.col("src_blob_sha").alias("blob_sha"))
+    new = ch.filter("change_type = 'A'").select("commit_sha", F.col("dst_blob_sha").alias("blob_sha"))
+    return renames.similar_within(gone, new, renames.line_lists(blobs)).filter("a_blob <> b_blob").select("commit_sha", "a_blob", "b_blob", F.round("similarity", 6).alias("similarity"))
 
 
 @query()
@@ -424,7 +423,7 @@ def lsh_candidates(t):
     ch = _changes(t)
     gone = ch.filter("change_type = 'D'").select("commit_sha", F.col("path").alias("old_path"), F.col("src_blob_sha").alias("blob_sha"))
     new = ch.filter("change_type = 'A'").select("commit_sha", "path", F.col("dst_blob_sha").alias("blob_sha"))
-    return renames.lsh_candidates(gone, new, renames.bands(renames.signatures(renames.line_profiles(blobs))), ["commit_sha"])
+    return renames.lsh_candidates(gone, new, renames.bands(renames.signatures(renames.line_profiles(renames.line_lists(blobs)))), ["commit_sha"])
 
 
 @query("declared gitlinks", " SELECT coalesce(d.path, g.path) AS path, name, url, pinned_sha, d.path IS NOT NULL AS in_gitmodules, g.path IS NOT NULL AS in_tree FROM declared d FULL JOIN gitlinks g ON d.path = g.path")

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import duckdb
 import pandas as pd
@@ -91,6 +92,26 @@ def test_inexact_renames(spark):
     assert [(r.old_path, r.path) for r in renames.exact_renames(df).collect()] == [("p", "q")]
 
 
+def test_similarity_of_all_pairs(spark):
+    """Against brute force, whatever the parts; lines are never joined for each pair."""
+    rng = random.Random(4)
+    blobs = {f"b{i}": "".join(f"l{rng.randrange(9)}\n" for _ in range(rng.randrange(30))) for i in range(24)}
+    sides = [{(str(rng.randrange(2)), f"b{rng.randrange(26)}") for _ in range(30)} for _ in range(2)]
+    gone, new = (spark.createDataFrame(sorted(s) * 2, "commit_sha string, blob_sha string") for s in sides)
+    lists = renames.line_lists(spark.createDataFrame([*blobs.items(), ("b1", blobs["b1"])], "blob_sha string, text string"))
+    lines = {b: Counter(t.splitlines()) for b, t in blobs.items() if t}
+    want = {(c, a, b): (lines[a] & lines[b]).total() / max(lines[a].total(), lines[b].total()) for c, a in sides[0] for d, b in sides[1] if c == d and a in lines and b in lines}
+    want = {k: v for k, v in want.items() if v}
+    for part in (250, 3):
+        rows = renames.similar_within(gone, new, lists, part).collect()
+        assert len(rows) == len(want) and {tuple(r)[:3]: r.similarity for r in rows} == want
+    pairs = gone.distinct().withColumnRenamed("blob_sha", "a_blob").join(new.distinct().withColumnRenamed("blob_sha", "b_blob"), "commit_sha")
+    assert {(r.commit_sha, r.a_blob, r.b_blob): r.similarity for r in renames.similarities(pairs, lists).collect()} == want
+    for name in ("rename_similarity", "inexact_renames"):
+        plan = queries.QUERIES[name](spark, TINY)._jdf.queryExecution().optimizedPlan().toString()
+        assert not [x for x in plan.splitlines() if "Join" in x and "line#" in x]
+
+
 def test_enclosing_spans(spark):
     rng = random.Random(3)
     spans = [(rng.randrange(3), f"s{i}", a := rng.randrange(900), a + rng.randrange(700)) for i in range(60)]
