@@ -2,12 +2,14 @@
 
 Pairs are built only inside groups that the rules bound (commits of at most
 ``bulk`` files, files of at most ``hub`` editors); larger groups are excluded
-by these rules themselves, before any pair exists.
+by these rules themselves, before any pair exists. Rows are dealt to as many
+tasks as there are, so a task's memory doesn't grow with the table.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orebody.functions.commits import is_bot
@@ -16,6 +18,8 @@ from orebody.operators.people import commit_identity
 BULK_FILES = 50
 MIN_CO_CHANGES = 3
 HUB_EDITORS = 25
+#: Rows of changed files for which one more task makes pairs, and one more adds them up.
+TASK_ROWS = 250_000
 
 
 def small_commits(commit_files: DataFrame, bulk: int = BULK_FILES) -> DataFrame:
@@ -23,16 +27,28 @@ def small_commits(commit_files: DataFrame, bulk: int = BULK_FILES) -> DataFrame:
     return commit_files.groupBy("commit_sha").agg(F.count("*").alias("n")).filter(F.col("n") <= bulk).select("commit_sha")
 
 
-def _pairs(groups: DataFrame, group: str, item: str) -> DataFrame:
-    """(a, b) with a < b, once per group, from bounded sets collected per group."""
-    sets = groups.groupBy(group).agg(F.sort_array(F.collect_set(item)).alias("s")).filter(F.size("s") > 1)
-    firsts = sets.select("s", F.posexplode("s").alias("k", "a"))
-    return firsts.select("a", F.explode(F.slice("s", F.col("k") + 2, F.size("s"))).alias("b"))
+def _dealt(rows: DataFrame, group: str, tasks: int) -> DataFrame:
+    """``rows`` with whole groups in each of so many partitions; Spark knows that ``__deal`` is not split."""
+    return rows.withColumn("__deal", F.pmod(F.xxhash64(group), F.lit(16 * tasks))).repartition(tasks, "__deal")
+
+
+def _pair_counts(dealt: DataFrame, group: str, item: str, tasks: int, name: str) -> DataFrame:
+    """(a, b, ``name``) with a < b: in how many groups both are, from bounded sets collected per group of ``_dealt`` rows.
+
+    Pairs are counted within a task before they are shuffled, so a pair of very many groups is few rows.
+    """
+    sets = dealt.groupBy("__deal", group).agg(F.sort_array(F.collect_set(item)).alias("s")).filter(F.size("s") > 1)
+    firsts = sets.select("__deal", "s", F.posexplode("s").alias("k", "a"))
+    pairs = firsts.select("__deal", "a", F.explode(F.slice("s", F.col("k") + 2, F.size("s"))).alias("b"))
+    counts = pairs.groupBy("__deal", "a", "b").agg(F.count("*").alias("n"))
+    return counts.repartition(tasks, "a", "b").groupBy("a", "b").agg(F.sum("n").alias(name))
 
 
 def coupling(commit_files: DataFrame, bulk: int = BULK_FILES, least: int = MIN_CO_CHANGES) -> DataFrame:
-    rows = commit_files.select("commit_sha", "file_id").join(small_commits(commit_files, bulk), "commit_sha", "left_semi")
-    together = _pairs(rows, "commit_sha", "file_id").groupBy("a", "b").agg(F.count("*").alias("co_changes"))
+    tasks = 1 + commit_files.count() // TASK_ROWS
+    rows = _dealt(commit_files.filter("commit_sha is not null").select("commit_sha", "file_id"), "commit_sha", tasks)
+    small = rows.withColumn("__n", F.count("*").over(W.partitionBy("__deal", "commit_sha"))).filter(F.col("__n") <= bulk).drop("__n")
+    together = _pair_counts(small, "commit_sha", "file_id", tasks, "co_changes")
     return together.filter(F.col("co_changes") >= least).select(F.col("a").alias("file_a_id"), F.col("b").alias("file_b_id"), "co_changes")
 
 
@@ -43,7 +59,8 @@ def collaboration(commit_files: DataFrame, commits: DataFrame, authors: DataFram
     calm = touched.groupBy("file_id").agg(F.count("*").alias("n")).filter(F.col("n") <= hub).select("file_id")
     kept = touched.join(calm, "file_id", "left_semi").filter("identity_id is not null")
     own = kept.groupBy("identity_id").agg(F.count("*").alias("n_files"))
-    shared = _pairs(kept, "file_id", "identity_id").groupBy("a", "b").agg(F.count("*").alias("shared_files"))
+    tasks = 1 + commit_files.count() // TASK_ROWS
+    shared = _pair_counts(_dealt(kept, "file_id", tasks), "file_id", "identity_id", tasks, "shared_files")
     out = shared.join(own.select(F.col("identity_id").alias("a"), F.col("n_files").alias("a_files")), "a").join(own.select(F.col("identity_id").alias("b"), F.col("n_files").alias("b_files")), "b")
     union = F.col("a_files") + F.col("b_files") - F.col("shared_files")
     return out.select(F.col("a").alias("identity_a"), F.col("b").alias("identity_b"), "shared_files", "a_files", "b_files", F.when(union > 0, F.col("shared_files").cast("double") / union).otherwise(0.0).alias("strength"))

@@ -1,11 +1,12 @@
 import random
 from collections import Counter
+from itertools import combinations
 
 import duckdb
 import pandas as pd
 import pytest
 
-from orebody.operators import code_graph, content, renames
+from orebody.operators import code_graph, content, coupling, renames
 from orebody.plans import queries
 from orebody.storage import components, ranked_ids
 from orebody.streaming import activity
@@ -191,3 +192,15 @@ def test_plans_stay_lean(spark):
         text = t[name]._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
         assert "l_extendedprice" not in text
+
+
+def test_pairs_are_dealt_by_rows(spark, monkeypatch):
+    """Tables of more rows make pairs in more tasks, with the same counts; commits above the bound make none."""
+    monkeypatch.setattr(coupling, "TASK_ROWS", 40, raising=False)
+    rng = random.Random(6)
+    changes = [(str(rng.randrange(60)), rng.randrange(12)) for _ in range(300)] + [("bulk", i) for i in range(40)]
+    commits = {c: {f for d, f in changes if d == c} for c, n in Counter(c for c, _ in changes).items() if n <= 8}
+    want = Counter(p for files in commits.values() for p in combinations(sorted(files), 2))
+    got = coupling.coupling(spark.createDataFrame([*changes, (None, 1), (None, 2), (None, 1), (None, 2)], "commit_sha string, file_id long"), 8, 2)
+    assert {(r.file_a_id, r.file_b_id): r.co_changes for r in got.collect()} == {k: n for k, n in want.items() if n >= 2}
+    assert got.rdd.getNumPartitions() == 1 + (len(changes) + 4) // 40
