@@ -7,6 +7,7 @@ tables are shuffled once, as partial counts.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orebody.functions.paths import area_of
@@ -22,14 +23,13 @@ def commit_stats(commit_files: DataFrame) -> DataFrame:
 def _shares(lines: DataFrame, keys: list[str], commits: DataFrame, authors: DataFrame, total: str) -> DataFrame:
     """Owned lines by (keys, identity); lines nobody is known for stay in the total.
 
-    One shuffle of per-commit partial counts; the totals come from a second,
-    much smaller aggregation of these counts, so no hot key is ever windowed.
+    One shuffle of per-commit partial counts; the totals are summed over what is
+    left of a key, one row a person, so the lines are counted and joined once.
     """
     per_commit = lines.groupBy(*keys, "commit_sha").agg(F.count("*").alias("n"))
     known = per_commit.join(commit_identity(commits, authors), "commit_sha", "left")
     by_person = known.groupBy(*keys, "identity_id").agg(F.sum("n").alias("owned_lines"))
-    totals = by_person.groupBy(*keys).agg(F.sum("owned_lines").alias(total))
-    return by_person.filter("identity_id is not null").join(totals, keys).withColumn("ownership_share", F.col("owned_lines").cast("double") / F.col(total))
+    return by_person.withColumn(total, F.sum("owned_lines").over(W.partitionBy(*keys))).filter("identity_id is not null").withColumn("ownership_share", F.col("owned_lines").cast("double") / F.col(total))
 
 
 def file_ownership(blame: DataFrame, commits: DataFrame, authors: DataFrame) -> DataFrame:

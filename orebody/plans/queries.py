@@ -13,6 +13,7 @@ from orebody.functions.content import SECRET_RULES
 from orebody.operators import code_graph, content, coupling, identity, insights, ownership, renames
 from orebody.plans import surfaces, views
 from orebody.plans.adapters import Adapted, with_tables
+from orebody.storage import durable
 
 #: Thresholds that leave rows on small tables; the rules are the same.
 LOW = insights.Rules(bus_lines=10, bus_share=0.25, area_lines=50, area_share=0.05, hotspot=25, hidden=2, hub=15, fragile=15)
@@ -34,7 +35,7 @@ class Index(Adapted):
             "area_ownership": lambda: ownership.area_ownership(self["file_ownership"], self["files"], self["non_authored"]),
             "coupling": lambda: coupling.coupling(self["commit_files"], BULK, 2),
             "module_deps": lambda: coupling.module_deps(self["symbol_refs"]),
-            "insights": lambda: insights.insights(self["file_ownership"], self["area_ownership"], self["coupling"], self["commit_files"], self["files"], self["identities"], self["module_deps"], self["non_authored"], LOW),
+            "insights": lambda: self.written("non_authored", "file_ownership", "area_ownership", "module_deps") or insights.insights(self["file_ownership"], self["area_ownership"], self["coupling"], self["commit_files"], self["files"], self["identities"], self["module_deps"], self["non_authored"], LOW),
             "code_markers": lambda: content.markers(self["head_texts"], ["file_id"], ["token", "the"]),
             "symbol_edges": lambda: code_graph.symbol_edges(self["symbols"], self["symbol_refs"]),
         }.get(name)
@@ -43,6 +44,11 @@ class Index(Adapted):
         self.made[name] = make()
         return self.made[name]
 
+    def written(self, *names: str) -> None:
+        """Tables that several rules read are written once, instead of being made again for each."""
+        for name in names:
+            self.made[name] = durable(self[name], name)
+
     def __contains__(self, name: object) -> bool:
         return name in ("file_ownership", "area_ownership", "coupling", "module_deps", "insights", "code_markers", "symbol_edges") or super().__contains__(name)
 

@@ -204,3 +204,14 @@ def test_pairs_are_dealt_by_rows(spark, monkeypatch):
     got = coupling.coupling(spark.createDataFrame([*changes, (None, 1), (None, 2), (None, 1), (None, 2)], "commit_sha string, file_id long"), 8, 2)
     assert {(r.file_a_id, r.file_b_id): r.co_changes for r in got.collect()} == {k: n for k, n in want.items() if n >= 2}
     assert got.rdd.getNumPartitions() == 1 + (len(changes) + 4) // 40
+
+
+def test_owners_are_counted_once(spark):
+    """One pass over the lines gives both owned lines and totals; for all risks the tables are read from what was written."""
+    for name in ("file_ownership", "snapshot_ownership"):
+        plan = queries.QUERIES[name](spark, TINY)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("lineitem") + sum("l_orderkey" in x for x in plan.splitlines() if "Relation" in x) == 1
+    for name in ("insights_all", "risks_view", "surface_risks"):
+        plan = queries.QUERIES[name](spark, TINY)._jdf.queryExecution().optimizedPlan().toString()
+        assert sum("l_orderkey" in x for x in plan.splitlines() if "Relation" in x) <= 3
+        assert not [x for x in plan.splitlines() if "bower_components" in x]
